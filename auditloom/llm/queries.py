@@ -47,3 +47,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op1").path
     manifest = write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"), end_id=2)
     return read_digests(spark, folder, manifest)
+
+
+@query("op10_bpe_digests")
+def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
