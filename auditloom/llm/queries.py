@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -54,3 +56,11 @@ def op10_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digests
 
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op9_substring_dedup", oracles.OP9)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import Scratch
+    from .substrings import substring_digests
+
+    return substring_digests(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).drop("removed_spans")

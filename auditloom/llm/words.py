@@ -137,3 +137,31 @@ def runs(chunk: Chunk, hashes: np.ndarray, n: int, base: int = FIRST) -> tuple[n
     at = np.arange(len(hashes))
     at = at[at + n <= chunk.last()]
     return at, span_hashes(hashes, at, at + n, base)
+
+
+def joined(chunk: Chunk, keep: np.ndarray | None = None, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's words, or those kept, one space between: the bytes of all texts, and their offsets."""
+    which = np.arange(len(chunk.start)) if keep is None else np.flatnonzero(keep)
+    text = np.searchsorted(chunk.first, which, "right") - 1
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    data = (chunk.folded if fold else chunk.data).copy()
+    data[chunk.end[which[inner]]] = 0x20
+    cover = np.zeros(len(data) + 1, np.int8)
+    cover[chunk.start[which]] = 1
+    stop = chunk.end[which]
+    stop[inner] += 1  # the byte behind a word that isn't its text's last is a separator
+    # Neighbours may touch: one ends where the next begins.
+    np.subtract.at(cover, stop, 1)
+    inside = np.cumsum(cover[:-1], dtype=np.int8).astype(bool)
+    offsets = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])[chunk.offsets]
+    return data[inside], offsets
+
+
+def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow string column over bytes and offsets."""
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit values as the long integers that Spark has."""
+    return np.ascontiguousarray(x).view(np.int64)
