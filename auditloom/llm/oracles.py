@@ -18,3 +18,19 @@ kept as (select doc_id, count(*) as n_words, sum(gone)::bigint as n_removed,
          from marked group by doc_id)
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256
 from documents d left join kept k on d.doc_id = k.doc_id"""
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5 = rf"""
+with recursive words as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents),
+shingles as (select distinct doc_id, s from (
+  select doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from words where len(ws) >= 5)
+  union all select doc_id, array_to_string(ws, ' ') from words where len(ws) between 1 and 4)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select u, v from common join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * c >= 75 * (x.n + y.n - c)),
+edges as (select u, v from links union select v, u from links),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, e.v from reach r join edges e on r.v = e.u),
+least as (select u, min(v) as component_id from reach group by u)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join least on least.u = d.doc_id left join sizes s on s.doc_id = d.doc_id"""

@@ -64,3 +64,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_digests
 
     return substring_digests(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).drop("removed_spans")
+
+
+@query("op5_minhash_neardup", oracles.OP5)
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near import near_duplicates
+    from .scratch import Scratch
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
