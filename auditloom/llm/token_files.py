@@ -27,16 +27,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import mapped, writing
+from .known import Known, unique_parts
 from .sizes import shuffle_partitions
-from .words import buffers, pieces
+from .words import buffers, pieces, span_hashes
 
-#: Unicode white space, as the tokenizer's own pattern has it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
-#: The tokenizer's pattern never joins a word to what stands before its one leading space, so it gives
-#: the same ids for a text as for these parts of it one by one.
-_PART = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
-#: Known parts per worker; more only cost time, as they are encoded again.
-CACHE = 300_000
+#: White space in ASCII, and the UTF-8 of any other character that the tokenizer's pattern takes for it.
+_ASCII_WHITE = np.zeros(256, bool)
+_ASCII_WHITE[[*range(0x09, 0x0E), 0x20]] = True
+_OTHER_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Known parts per worker.
+CACHE = 1_500_000
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of texts begin that encode alone as they do in the text.
+
+    The tokenizer's pattern never joins a word to what stands before its one leading space, and of a
+    run of white space before a word it leaves the last character to itself or to the word. So parts
+    begin at each text, at each end of a word, at the last white space before a word, and at a word
+    that has no space before it.
+    """
+    white = _ASCII_WHITE[data]
+    begin = np.zeros(len(data) + 1, bool)
+    begin[offsets] = True
+    begin[1:-1] |= white[1:] != white[:-1]
+    word = np.flatnonzero(begin[:-1] & ~white)
+    word = word[(word > 0)]
+    word = word[white[word - 1] & ~np.isin(word, offsets)]
+    begin[word - 1] = True
+    begin[word[data[word - 1] == 0x20]] = False
+    return np.flatnonzero(begin[:-1])
 
 
 class Encoder:
@@ -50,27 +70,69 @@ class Encoder:
         self.tokenizer.no_padding()
         highest = max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id)
         self.kind = np.dtype("<u2" if highest < 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.end_id = end_id
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What makes a text go through the library as a whole.
+        self.odd = re.compile("|".join([_OTHER_WHITE.pattern, *added]))
         spec = json.loads(self.tokenizer.to_str())
-        byte_level = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.by_part = byte_level and spec["pre_tokenizer"]["use_regex"] and not spec["pre_tokenizer"]["add_prefix_space"]
-        self.known: dict[str, bytes] = {}
+        before = spec["pre_tokenizer"] or {}
+        self.by_part = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.known = Known((self.kind,), CACHE)
+        self.lengths = np.zeros(highest + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.lengths[i] = len(token)  # the byte-level alphabet has one character for each byte
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids and the end id, packed."""
-        parts = [_PART.findall(t) if self.by_part and not (self.added and self.added.search(t)) else None for t in texts]
-        if len(self.known) > CACHE:
+    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+        """Encode new parts. Those of a space and a word keep their ids when run together, and the
+        lengths of their tokens say where each ends; one call for many of them is much the fastest."""
+        led = np.array([len(p) > 1 and p[0] == 0x20 and not _ASCII_WHITE[p[1]] for p in new], bool)
+        alone = [p.decode() for p, x in zip(new, led.tolist(), strict=True) if not x]
+        self.known.add(keys[~led], self._pack(alone))
+        run = [p for p, x in zip(new, led.tolist(), strict=True) if x]
+        packed: list[bytes] = []
+        for at in range(0, len(run), 20_000):
+            some = run[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p) for p in some])) + 1) * self.kind.itemsize
+            flat = ids.astype(self.kind).tobytes()
+            packed += [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        self.known.add(keys[led], packed)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column, each text's followed by the end id; their numbers."""
+        everything, offsets = buffers(column)
+        data, offsets = everything[offsets[0] : offsets[-1]], offsets - offsets[0]
+        texts = column.to_pylist()
+        whole = [k for k, t in enumerate(texts) if t and (not self.by_part or self.odd.search(t))]
+        if self.known.size > self.known.limit:
             self.known.clear()
-        new = list(set().union(*(p for p in parts if p)) - self.known.keys())
-        self.known.update(zip(new, self._pack(new), strict=True))
-        get = self.known.__getitem__
-        whole = iter(self._pack([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [(next(whole) if p is None else b"".join(map(get, p))) + self.end for p in parts]
+        begin = parts(data, offsets)
+        end = np.append(begin[1:], len(data)) if len(begin) else begin
+        if whole:
+            skip = np.zeros(len(texts), bool)
+            skip[whole] = True
+            text = np.searchsorted(offsets, begin, "right") - 1
+            begin, end = begin[~skip[text]], end[~skip[text]]
+        keys = span_hashes(data.astype(np.uint64) + np.uint64(1), begin, end)
+        rows = self.known.find(keys)
+        new = unique_parts(keys, rows)
+        if len(new):
+            raw = data.tobytes()
+            self._learn(keys[new], [raw[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            missing = rows < 0
+            rows[missing] = self.known.find(keys[missing])
+        ids, ends = self.known.gather(0, rows)
+        upto = ends[np.searchsorted(begin, offsets)]
+        if not whole:
+            return np.insert(ids, upto[1:], self.kind.type(self.end_id)), np.diff(upto) + 1
+        lists = [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+        for k, own in zip(whole, self._pack([texts[k] for k in whole]), strict=True):
+            lists[k] = np.frombuffer(own, self.kind)
+        tail = np.array([self.end_id], self.kind)
+        return np.concatenate([x for own in lists for x in (own, tail)]), np.array([len(x) + 1 for x in lists], np.int64)
 
 
 @lru_cache(4)
@@ -91,9 +153,9 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer_file:
             ids.append(doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             null.append(doc.is_null().to_numpy(zero_copy_only=False).astype("<i8"))
             for rows in pieces(buffers(text)[1]):
-                packed = enc.encode(text.slice(rows.start, rows.stop - rows.start).to_pylist())
-                lengths.append(np.array([len(x) for x in packed], "<i8") // enc.kind.itemsize)
-                out.write(b"".join(packed))
+                own, counts = enc.encode(text.slice(rows.start, rows.stop - rows.start))
+                lengths.append(counts)
+                out.write(own.tobytes())
     if not lengths:
         return
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
