@@ -34,3 +34,21 @@ reach as (select doc_id as u, doc_id as v from documents union select r.u, e.v f
 least as (select u, min(v) as component_id from reach group by u)
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join least on least.u = d.doc_id left join sizes s on s.doc_id = d.doc_id"""
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = rf"""
+with docs as (select doc_id, coalesce({_WORDS}, []) as ws from documents),
+bench as (select item_id, {_WORDS} as ws from benchmark),
+windows as (select distinct item_id, least(len(ws), 8) as n, array_to_string(list_slice(ws, i, i + least(len(ws), 8) - 1), ' ') as w
+            from (select item_id, ws, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) as i from bench where len(ws) > 0)),
+sizes as (select distinct n from windows),
+places as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from docs, sizes where len(ws) >= n),
+hits as (select distinct p.doc_id, p.i, p.n, w.item_id
+         from places p join windows w on w.n = p.n and w.w = array_to_string(list_slice(p.ws, p.i, p.i + p.n - 1), ' ')),
+covered as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names
+          from (select distinct doc_id, item_id::varchar as item_id from hits) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from docs d left join covered c on c.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id"""

@@ -72,3 +72,10 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scratch import Scratch
 
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
+@query("op3_decontaminate", oracles.OP3)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
