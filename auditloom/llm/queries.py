@@ -86,3 +86,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_rows
+
+    return language_rows(table(spark, sf_dir, "documents"))
