@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import buffers, pieces
+from .known import Known, unique_parts
+from .words import AS_IS, SPACED, buffers, chunks, pieces
 
 #: Unicode white space inside a character class.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _SPAN = re.compile(f"[^{WHITE}]+")
-#: Known words, and known spans between white space, per worker; more only cost time.
-CACHE = 200_000
+#: Known words, and known parts between white space, per worker.
+CACHE, SPANS = 300_000, 1_500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -64,7 +65,7 @@ class Bpe:
         self.added = added
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda x: [x]
         self.known_words: dict[str, list[int]] = {}
-        self.known_spans: dict[str, tuple[str, str, int]] = {}
+        self.known = Known(("u1", "u1", "<u4"), SPANS)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids of one word, from the ids of its characters."""
@@ -127,20 +128,30 @@ class Bpe:
         """The vocabulary's strings, one space between; special ones too."""
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def digests(self, column: pa.Array) -> tuple[list[int], list[str], list[str]]:
         """Per text: the number of ids, SHA-256 of the decimal ids and of the decoded text."""
-        spans = [_SPAN.findall(t) for t in texts]
-        if len(self.known_spans) >= CACHE:
-            self.known_spans.clear()
-        for span in set().union(*spans) - self.known_spans.keys():
-            ids = self.encode_span(span)
-            self.known_spans[span] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        get, out = self.known_spans.__getitem__, []
-        for own in spans:
-            found = [x for x in map(get, own) if x[2]]
-            ids, decoded = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-            out.append((sum([x[2] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-        return out
+        everything, offsets = buffers(column)
+        data, offsets = everything[offsets[0] : offsets[-1]], offsets - offsets[0]
+        # Parts between ASCII white space; a part with other white space is split further when it is encoded.
+        (c,) = chunks(column, SPACED, AS_IS, limit=len(data) + 1)
+        if self.known.size > self.known.limit:
+            self.known.clear()
+        keys = c.hashes()
+        rows = self.known.find(keys)
+        new = unique_parts(keys, rows)
+        if len(new):
+            raw = data.tobytes()
+            found = [self.encode(raw[a:b].decode()) for a, b in zip(c.start[new].tolist(), c.end[new].tolist(), strict=True)]
+            self.known.add(keys[new], [b"%d " * len(x) % tuple(x) for x in found], [b"".join([self.strings[i].encode() + b" " for i in x if i in self.strings]) for x in found], [len(x).to_bytes(4, "little") for x in found])
+            missing = rows < 0
+            rows[missing] = self.known.find(keys[missing])
+        counts = np.concatenate([[0], np.cumsum(self.known.gather(2, rows)[0], dtype=np.int64)])[c.first]
+        hashes = []
+        for column_of in (0, 1):
+            flat, ends = self.known.gather(column_of, rows)
+            view, upto = memoryview(flat), ends[c.first].tolist()
+            hashes.append([hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(upto, upto[1:], strict=False)])
+        return np.diff(counts).tolist(), *hashes
 
 
 @lru_cache(4)
@@ -153,8 +164,8 @@ def _each(batches: Iterator[pa.RecordBatch], row, fields: pa.Schema) -> Iterator
         text = batch.column(1).fill_null("")
         for rows in pieces(buffers(text)[1]):
             n = rows.stop - rows.start
-            results = row(text.slice(rows.start, n).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), *(pa.array(list(x), f.type) for x, f in zip(zip(*results, strict=True), list(fields)[1:], strict=True))], schema=fields)
+            results = row(text.slice(rows.start, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), *(pa.array(x, f.type) for x, f in zip(results, list(fields)[1:], strict=True))], schema=fields)
 
 
 def bpe_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -171,10 +182,10 @@ def bpe_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """Per row of ``docs``: doc_id, the ids and the text they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def both(texts: list[str]) -> list[tuple[np.ndarray, str]]:
+    def both(texts: pa.Array) -> tuple[list[list[int]], list[str]]:
         own = bpe(tokenizer_file)
-        ids = [own.encode(t) for t in texts]
-        return [(x, own.decode(x)) for x in ids]
+        ids = [own.encode(t) for t in texts.to_pylist()]
+        return ids, [own.decode(x) for x in ids]
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(lambda it: _each(it, both, schema), "doc_id long, ids array<int>, decoded string")

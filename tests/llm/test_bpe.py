@@ -33,6 +33,7 @@ def test_ids_and_decoding_equal_the_library():
 
 def test_query_rows(spark, monkeypatch):
     monkeypatch.setattr(module, "CACHE", 5)
+    monkeypatch.setattr(module, "SPANS", 5)
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1), (50, None, 1), (None, "x y", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
     got = bpe_digests(docs, P.path("word_bpe_49k.json")).collect()
