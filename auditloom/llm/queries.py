@@ -93,3 +93,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import language_rows
 
     return language_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rows
+
+    return quality_rows(table(spark, sf_dir, "documents"))
