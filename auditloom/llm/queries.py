@@ -100,3 +100,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rows
 
     return quality_rows(table(spark, sf_dir, "documents"))
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import Scratch
+    from .urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), Scratch(spark, "op2"))
