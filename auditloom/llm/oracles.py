@@ -52,3 +52,15 @@ found as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by i
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(names, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
 from docs d left join covered c on c.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id"""
+
+OP6 = """
+with recursive usable as (select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as v from usable a join usable b
+  on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+counts as (select u, count(*) as n from links group by u),
+reach as (select vec_id as u, vec_id as v from embeddings union select r.u, l.v from reach r join links l on r.v = l.u),
+least as (select u, min(v) as component_id from reach group by u)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings e join least on least.u = vec_id left join counts c on c.u = vec_id"""

@@ -108,3 +108,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"), Scratch(spark, "op2"))
+
+
+@query("op6_embedding_neardup", oracles.OP6)
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import Scratch
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op6"))
