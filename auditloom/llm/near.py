@@ -173,10 +173,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept; th (xxhash64 of the text) and group.
 
     Null and empty texts have an empty set and are linked with nothing: their component is their own
-    doc_id. component_id is the smallest doc_id of the component that isn't null; rows whose doc_id is
+    doc_id, their group null. component_id is the smallest doc_id of the component that isn't null; rows whose doc_id is
     null are compared like others, and are kept only where no row of their component has a doc_id.
     Rows of one doc_id are different documents; all that carry the component's smallest one are kept.
     """
@@ -232,8 +232,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, num:
     placed = classes.select("node", "f1", "f2", "n", "first_id").join(near.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = scratch.table(placed.join(far, "label", "left").select("f1", "f2", "n", "first_id", F.coalesce("component", "label").alias("component")), "placed")
     named = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = placed.join(named, "component").select("f1", "f2", "n", "component_id")
-    out = signs.select("doc_id", "f1", "f2", "n").join(by_class, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_class = placed.join(named, "component").select("f1", "f2", "n", "component_id", F.col("component").alias("group"))
+    component_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = signs.select("doc_id", "th", "f1", "f2", "n").join(by_class, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component_id, "th", "group")
     out = scratch.table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
     scratch.drop("signs", "classes", "members", "nodes", "sets", "star", "open", "blocks", "placed")
     return out
+
+
+def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each group the one with the least doc_id.
+
+    A null doc_id comes last; of rows with the same doc_id the one with the least text hash stays, and one
+    only of rows that repeat. Rows without words are linked with nothing and stay.
+    """
+    found = near_duplicates(docs, scratch).filter("group is not null")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("one"))
+    wanted = first.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = docs.filter(worded).withColumns({"_id0": F.col("doc_id").cast("long"), "_th0": F.xxhash64(F.col("text").cast("string"))})
+    kept = hashed.join(wanted, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_th0") == F.col("_th"))).dropDuplicates(["_id0", "_th0"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(~worded))

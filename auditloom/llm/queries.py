@@ -15,11 +15,15 @@ ORACLE: dict[str, str] = {}
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def query(name: str, oracle: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for k, v in BATCHES.items():
-                spark.conf.set(k, v)
+            bound_batches(spark)
             return f(spark, sf_dir)
 
         QUERIES[name] = run
@@ -71,7 +75,7 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near import near_duplicates
     from .scratch import Scratch
 
-    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5")).drop("th", "group")
 
 
 @query("op3_decontaminate", oracles.OP3)

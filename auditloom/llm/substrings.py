@@ -202,3 +202,25 @@ def substring_digests(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> Dat
     return plain.join(gone, _KEY, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", none).alias("removed_spans")
     )
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c in chunks(batch.column(batch.schema.get_field_index("text")), SPACED, AS_IS):
+            t1, t2 = _fingerprints(c)
+            yield pa.RecordBatch.from_arrays([*(x.slice(c.rows.start, c.rows.stop - c.rows.start) for x in batch.columns), pa.array(t1), pa.array(t2)], names=[*batch.schema.names, "_t1", "_t2"])
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> DataFrame:
+    """``docs``, all rows and columns, with repeated stretches taken out of the texts.
+
+    A text that loses words has those left with one space between, '' if none is; others stay as
+    they are. n_chars, where there is such a column, is the length of the new text.
+    """
+    own = docs.withColumn("text", F.col("text").cast("string"))
+    gone = repeated(own, scratch, k).filter("n_removed > 0").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("kept").alias("_kept"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", _t1 long, _t2 long"
+    joined = own.mapInArrow(_keyed, schema).join(gone, ["_t1", "_t2"], "left")
+    text = F.coalesce("_kept", "text")
+    new = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return joined.withColumns(new).select(*docs.columns)

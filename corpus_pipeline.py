@@ -1,15 +1,64 @@
-"""The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept.
+
+A stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``documents``:
+
+1. language: rows whose text has no known language go.
+2. near duplicates: one row of each group of near copies stays.
+3. substrings: word sequences of 35 and more that stand elsewhere too are taken out of the texts.
+4. benchmark: rows with passages of two or more benchmark items go.
+5. tokens: the texts' byte-pair ids and what they decode to, as digests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from auditloom.llm.bpe import bpe_digests
+from auditloom.llm.decontaminate import decontaminate
+from auditloom.llm.language import keep_identified
+from auditloom.llm.near import keep_one
+from auditloom.llm.queries import bound_batches, table, tokenizer
+from auditloom.llm.scratch import Scratch
+from auditloom.llm.substrings import remove_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return keep_one(docs, Scratch(spark, "pipeline-near"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return remove_repeats(docs, Scratch(spark, "pipeline-substrings"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return bpe_digests(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("benchmark", benchmark), ("tokens", tokens)]
+
+#: SQL has neither the language model nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.table(docs, name)
     return docs
