@@ -1,10 +1,259 @@
-"""The queries of the engine and the SQL that their results equal."""
+"""The queries of the engine and the SQL that their results equal.
+
+They run over the whole ``events`` of a data set, as the sessions that the adapter makes of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditloom.operators import audit_chain, chains, effects, graph, merkle, payloads, risk
+from auditloom.operators.records import prefix_metadata
+from auditloom.plans import adapter
+from auditloom.plans.oracle import ORACLE as _ORACLE
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+KEY, AT = graph.KEY, graph.AT
+
+
+def query(f: Query) -> Query:
+    name = f.__name__
+    QUERIES[name] = f
+    if name in _ORACLE:
+        ORACLE[name] = _ORACLE[name]
+    return f
+
+
+def _flags(column: str = "flags") -> F.Column:
+    return F.array_join(F.array_sort(column), ",").alias("flags")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.records(spark, sf_dir)
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.calls(_records(spark, sf_dir))
+
+
+def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.effects(_calls(spark, sf_dir))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.payloads(_records(spark, sf_dir))
+
+
+@query
+def tool_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.tool_call_stats(_calls(spark, sf_dir))
+
+
+@query
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_counts(_records(spark, sf_dir))
+
+
+@query
+def effect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects.effect_summary(_effects(spark, sf_dir))
+
+
+@query
+def effect_kind_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects.effect_kind_totals(_effects(spark, sf_dir))
+
+
+@query
+def paired_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir).filter("result is not null").select(KEY, AT, "call_id", "name", "duration_ms", "result.is_error", "result.text_bytes")
+
+
+@query
+def unpaired_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.unpaired_calls(_calls(spark, sf_dir)).select(KEY, AT, "call_id", "name")
+
+
+@query
+def orphan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orphan_results(_records(spark, sf_dir)).select(KEY, AT, "call_id")
+
+
+@query
+def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = graph.results(_records(spark, sf_dir)).filter("call_at is not null")
+    return bound.groupBy(KEY, "call_at").agg(F.count(F.lit(1)).alias("results"), F.max_by("text", AT).alias("last_text"), F.count_if("is_error").alias("errors"))
+
+
+@query
+def turn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.turns(_records(spark, sf_dir)).select(KEY, "turn", "started_at", "ended_at", "duration_ms", "end_reason", "errors", "n_calls", "input_tokens", "messages")
+
+
+@query
+def step_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.steps(_records(spark, sf_dir)).select(KEY, "turn", "step", "started_at", "ended_at", "duration_ms", "n_calls")
+
+
+@query
+def turn_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.turn_errors(_records(spark, sf_dir))
+
+
+@query
+def user_message_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.user_messages(_records(spark, sf_dir)).select(KEY, AT, "turn", "text")
+
+
+@query
+def usage_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.usage(graph.messages(_records(spark, sf_dir)))
+
+
+@query
+def usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.usage(graph.messages(_records(spark, sf_dir)), "model").select(KEY, "model", "input_tokens", "messages")
+
+
+@query
+def usage_all_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.usage_all(graph.messages(_records(spark, sf_dir))).select(KEY, "turn", "model", "input_tokens", "output_tokens", "messages")
+
+
+@query
+def usage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.messages(_records(spark, sf_dir)).select(KEY, AT, "turn", "model")
+
+
+@query
+def governance_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sessions(_records(spark, sf_dir)).select(KEY, "session_id", "cwd", "created_at", "agent_preset")
+
+
+@query
+def anomalies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.anomalies(_records(spark, sf_dir)).select(KEY, AT, "kind", "turn", "step", "detail")
+
+
+@query
+def anomaly_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.anomalies(_records(spark, sf_dir)).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), KEY).limit(15)
+
+
+@query
+def effects_attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _effects(spark, sf_dir).select(KEY, AT, "call_id", "tool_name", "kind", "fidelity", "raw_path", "source", "bytes", "detail", "undecidable")
+
+
+@query
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _effects(spark, sf_dir).filter("path is not null").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(KEY).alias("sessions"))
+
+
+@query
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _effects(spark, sf_dir).filter("content_hash is not null").groupBy("content_hash").agg(F.min("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def version_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.version_chains(_effects(spark, sf_dir))
+
+
+@query
+def contaminated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chains.version_chains(_effects(spark, sf_dir)).groupBy("contaminated", "created", "preexisting")
+    return found.agg(F.count(F.lit(1)).alias("chains"), F.sum("steps").alias("steps"), F.sum("shells_in_window").alias("shells"))
+
+
+@query
+def version_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.version_steps(_effects(spark, sf_dir)).select(KEY, "path", "position", "seq", "kind", "content_hash")
+
+
+@query
+def risk_by_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.assess(_effects(spark, sf_dir)).select(KEY, AT, "kind", "severity", _flags())
+
+
+@query
+def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.severity_histogram(_payloads(spark, sf_dir))
+
+
+@query
+def flagged_min_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.at_least(_payloads(spark, sf_dir), "high").select(KEY, "ts", "kind", "severity", "summary")
+
+
+@query
+def flagged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.payloads(_records(spark, sf_dir)).filter("kind = 'tool_call' and severity in ('high', 'critical')").select(KEY, F.col("source_seq").alias(AT), "severity", _flags(), "summary")
+
+
+@query
+def delete_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk.delete_targets(_effects(spark, sf_dir)).select(KEY, AT, "source", F.explode("verdicts").alias("v"))
+    return found.select(KEY, AT, "source", "v.severity", "v.flag")
+
+
+@query
+def compliance_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _payloads(spark, sf_dir).select(KEY, "session_id", "ts", "kind", "turn", "status", "duration_ms", "severity", _flags(), "summary", "source_seq", "record_id")
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree for each user: their events in order."""
+    from pyspark.sql import Window
+
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    data = F.encode(F.concat("event_id", F.lit(":"), "event_type"), "UTF-8")
+    return raw.select(F.col("user_id").cast("string").alias("tree"), pos.cast("long").alias("pos"), merkle.leaf_hash(data).alias("hash"))
+
+
+@query
+def merkle_leaf_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaves(spark, sf_dir)
+
+
+@query
+def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_roots(_leaves(spark, sf_dir))
+
+
+@query
+def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain form of the chain, a digest over a session's records in order."""
+    rows = _payloads(spark, sf_dir).select(KEY, F.struct("record_id", F.concat_ws("|", "record_id", "kind", "summary").alias("x")).alias("r"))
+    ordered = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("records"), F.sort_array(F.collect_list("r")).alias("rs"))
+    digest = F.aggregate(F.transform("rs", lambda r: r.x), F.lit(""), lambda acc, x: F.sha2(F.encode(F.concat(acc, F.lit("\n"), x), "UTF-8"), 256))
+    return ordered.select(KEY, "records", digest.alias("digest"))
+
+
+@query
+def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained documents of all sessions, checked again: no issue, and the highest severity of each."""
+    lines = audit_chain.chain(_payloads(spark, sf_dir)).select(F.col(KEY).alias("doc"), (F.col("record_id") + 1).alias("line_no"), "line")
+    return audit_chain.verify_documents(lines)
+
+
+@query
+def prefix_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","seq":'), "turn", F.lit(',"data":{}}'))
+    return prefix_metadata(raw.select("conv_id", "turn", line.alias("line"))).select("conv_id", "turn", "meta_type", "meta_seq")
+
+
+@query
+def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk patterns over free text, as a scan of everything."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    secret = next(p for p, n in risk.SENSITIVE if n == "secret-named")
+    pipe = next(p for p, n in risk.DESTRUCTIVE if n == "pipe-to-shell")
+    return docs.select("doc_id", F.when(F.col("text").rlike(f"(?i){secret}"), "secret-named").otherwise("").alias("flag"), F.col("text").rlike(f"(?i){pipe}").alias("pipes"))

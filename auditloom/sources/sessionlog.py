@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from auditloom.plans.workers import reach
 from auditloom.schemas import LINES
 from auditloom.sources.frames import Corrupt, Frame, Incomplete, decode, next_magic, walk
 from auditloom.sources.store import files_under, open_file, size_of
@@ -187,4 +188,5 @@ class SessionLogSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    reach(spark)
     spark.dataSource.register(SessionLogSource)
