@@ -24,7 +24,7 @@ def find_session_logs(spark: SparkSession, home: str, name: str = LOG_NAME) -> D
     parts = r"/([^/]+)/([^/]+)/[^/]+\z"
     found = files.select(path.alias("path"), F.regexp_extract("path", parts, 2).alias("session_id"), F.regexp_extract("path", parts, 1).alias("project"), F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("modified_at"))
     depth = len(f"{home.rstrip('/')}/sessions".strip("/").split("/")) + 3
-    return found.filter(F.size(F.split(F.trim(F.lit("/"), "path"), "/")) == depth).orderBy(F.desc("modified_at"), "path")
+    return found.filter(F.size(F.split(F.regexp_replace("path", "^/+", ""), "/")) == depth).orderBy(F.desc("modified_at"), "path")
 
 
 def resolve_log(spark: SparkSession, text: str, home: str) -> str:
