@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .known import Known, unique_parts
+from .known import Known, release, unique_parts
 from .words import AS_IS, SPACED, buffers, chunks, pieces
 
 #: Unicode white space inside a character class.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _SPAN = re.compile(f"[^{WHITE}]+")
 #: Known words, and known parts between white space, per worker.
-CACHE, SPANS = 300_000, 1_500_000
+CACHE, SPANS = 200_000, 800_000
 
 
 def byte_alphabet() -> list[str]:
@@ -134,6 +134,7 @@ class Bpe:
         data, offsets = everything[offsets[0] : offsets[-1]], offsets - offsets[0]
         # Parts between ASCII white space; a part with other white space is split further when it is encoded.
         (c,) = chunks(column, SPACED, AS_IS, limit=len(data) + 1)
+        release(self.known)
         if self.known.size > self.known.limit:
             self.known.clear()
         keys = c.hashes()

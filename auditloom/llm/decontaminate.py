@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .known import release
 from .words import ALNUM, LOWER, Chunk, chunks
 
 WINDOW, ITEMS = 8, 2
 #: Benchmark texts of a block have about as many characters; an item that is longer is a block of its own.
 BLOCK_SIZE = 4 << 20
-_SHARD = 4 << 20
+_SHARD = 1 << 20
 
 
 class Block(NamedTuple):
@@ -143,6 +144,7 @@ def matches(chunk: Chunk, block: Block, width: int) -> tuple[np.ndarray, np.ndar
 
 def _hits(batches: Iterator[pa.RecordBatch], block: Block | None, width: int, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Per text: n_words, the covered stretches, the items, and the longest match with its places."""
+    release()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
         for c in chunks(column, ALNUM, LOWER, limit=_SHARD):

@@ -7,13 +7,28 @@ at once. The table is emptied when full: that costs time only.
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Callable
+
 import numpy as np
 
+#: What each operator keeps in this worker, and how to let go of it.
+_holders: weakref.WeakKeyDictionary[object, Callable[[], None]] = weakref.WeakKeyDictionary()
+
+
+def release(keep: object = None) -> None:
+    """Let go of what other operators keep: a worker outlives its tasks and serves one operator after another."""
+    for holder, clear in list(_holders.items()):
+        if holder is not keep:
+            clear()
+
 
 class Known:
     def __init__(self, kinds: tuple[np.dtype | str, ...], limit: int):
         self.kinds, self.limit = [np.dtype(k) for k in kinds], limit
         self.clear()
+        own = weakref.ref(self)
+        _holders[self] = lambda: (k := own()) and k.size and k.clear()
 
     def clear(self) -> None:
         self.size = 0

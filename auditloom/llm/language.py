@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .known import Known, unique_parts
+from .known import Known, release, unique_parts
 from .words import Chunk, LOWER, chunks, mix, span_hashes
 
 #: Texts of each language to learn from, at most so many languages, and bytes of a text so used at most in all.
@@ -33,7 +33,7 @@ UNKNOWN = "und"
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Known words per worker; words of a block of the forward-backward scan.
-CACHE, STEP = 1_000_000, 64
+CACHE, STEP = 500_000, 64
 
 
 def words_of(column: pa.Array) -> Iterator[Chunk]:
@@ -169,23 +169,27 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 5, le
     """Fit weights and transitions by AdaGrad on the conditional likelihood of mixed sequences."""
     rng, labels = np.random.default_rng(seed), sorted(set(langs))
     gold_of = np.array([labels.index(x) for x in langs])
-    slots, hashes, gold, first = [], [], [], [np.zeros(1, np.int64)]
-    held: list[tuple[Chunk, np.ndarray]] = []
-    for c in words_of(pa.array(texts, pa.string())):
-        h = c.hashes()
-        held.append((c, h))
-        hashes.append(h)
-        gold.append(np.repeat(gold_of[c.rows], c.counts))
+    column = pa.array(texts, pa.string())
+    hashes, gold = [], []
+    for c in words_of(column):
+        hashes.append(c.hashes())
+        gold.append(np.repeat(gold_of[c.rows], c.counts).astype(np.int32))
     every, truth = np.concatenate(hashes), np.concatenate(gold)
-    kinds, count = np.unique(every, return_counts=True)
+    kinds, known_at, kind_of, count = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
     lexicon = kinds[count >= FREQUENT]
-    at = 0
-    for c, h in held:
-        s, b = features(c.folded, c.start, c.end, h, lexicon)
-        slots.append(s)
-        first.append(b[1:] + at)
-        at += len(s)
-    slot, begin = np.concatenate(slots), np.concatenate(first)
+    # Features of each different word once.
+    by_place = np.argsort(known_at)
+    slots, sizes_of, at, done = [], np.zeros(len(kinds), np.int64), 0, 0
+    for c in words_of(column):
+        upto = int(np.searchsorted(known_at[by_place], at + len(c.start)))
+        own, place = by_place[done:upto], known_at[by_place[done:upto]] - at
+        s, b = features(c.folded, c.start[place], c.end[place], every[at + place], lexicon)
+        slots.append(s.astype(np.int32))
+        sizes_of[own] = np.diff(b)
+        at, done = at + len(c.start), upto
+    slot = np.concatenate(slots)
+    begin_of = np.zeros(len(kinds), np.int64)
+    begin_of[by_place] = np.cumsum(sizes_of[by_place]) - sizes_of[by_place]
     # Stretches of 8 to 60 words of one label, in random order, make sequences of mixed languages.
     cuts = np.cumsum(rng.integers(8, 61, len(every) // 8 + 2))
     cuts = np.unique(np.concatenate([[0, len(every)], cuts[cuts < len(every)], np.flatnonzero(np.diff(truth)) + 1]))
@@ -199,9 +203,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 5, le
         for group in np.array_split(rng.permutation(len(sequences)), max(1, len(sequences) // batch)):
             own = [sequences[i] for i in group]
             ids, sizes = np.concatenate(own), np.array([len(x) for x in own])
-            span = begin[ids + 1] - begin[ids]
+            span = sizes_of[kind_of[ids]]
             local = np.concatenate([[0], np.cumsum(span)])
-            use = slot[np.repeat(begin[ids] - local[:-1], span) + np.arange(local[-1])]
+            use = slot[np.repeat(begin_of[kind_of[ids]] - local[:-1], span) + np.arange(local[-1])]
             edges = np.concatenate([[0], np.cumsum(sizes)])
             scores = emissions(weights, use, local)
             p = forward_backward(scores, transitions, edges)
@@ -234,6 +238,7 @@ def probabilities(c: Chunk, model: Model) -> np.ndarray:
         _caches.clear()
         _caches[model.name] = Known(("<f4",), CACHE)
     known, n = _caches[model.name], len(model.labels)
+    release(known)
     if known.size > known.limit:
         known.clear()
     keys = c.hashes()

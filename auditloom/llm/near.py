@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .known import release
 from .scratch import Scratch
 from .words import FIRST, LOWER, SECOND, SPACED, Chunk, chunks, mix, runs, signed, span_hashes
 
@@ -67,6 +68,7 @@ def minima(flat: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, n: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for c in chunks(batch.column(2), SPACED, LOWER):
             flat, offsets = shingle_sets(c, size)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .known import release
 from .scratch import Scratch
 from .words import AS_IS, FIRST, SECOND, SPACED, Chunk, chunks, joined, signed, span_hashes, string_array
 
@@ -54,6 +55,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long_texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for c in chunks(batch.column(0), SPACED, AS_IS):
             t1, t2 = _fingerprints(c)

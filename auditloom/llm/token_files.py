@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import mapped, writing
-from .known import Known, unique_parts
+from .known import Known, release, unique_parts
 from .sizes import shuffle_partitions
 from .words import buffers, pieces, span_hashes
 
@@ -107,6 +107,7 @@ class Encoder:
         data, offsets = everything[offsets[0] : offsets[-1]], offsets - offsets[0]
         texts = column.to_pylist()
         whole = [k for k, t in enumerate(texts) if t and (not self.by_part or self.odd.search(t))]
+        release(self.known)
         if self.known.size > self.known.limit:
             self.known.clear()
         begin = parts(data, offsets)
