@@ -26,7 +26,7 @@ LOWER[0x41:0x5B] += 0x20
 
 #: Odd multipliers of the running sums; the second makes 128 bits of a hash where 64 aren't enough.
 FIRST, SECOND = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -42,7 +42,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             return np.cumprod(out, dtype=np.uint64)
 
         known = (row(base), row(pow(base, -1, 1 << 64)))
-        if size <= 4 * _CHUNK:  # tables for one huge text aren't worth keeping
+        if size <= 2 * _CHUNK + 1:  # tables for one huge text aren't worth keeping
             _powers[base] = known
     return known
 
