@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Set while an intermediate table is written: its shuffle files go as soon as it is complete.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Small shuffle partitions are put together to files of about so many bytes at least.
+_FILE_BYTES, _ADVISORY = 32 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: On a mounted folder a table's files need no checksum files beside them.
+_MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,8 +61,10 @@ class Scratch:
     def table(self, frame: DataFrame, name: str) -> DataFrame:
         """``frame`` written as Parquet and read again, without its lineage."""
         path = f"{self.path}/{name}"
-        with settings(self.spark, _WRITING):
-            frame.write.mode("overwrite").parquet(path)
+        plain = path.startswith("file:") or "://" not in path
+        own = self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(self.spark.conf.get(_ADVISORY))
+        with settings(self.spark, _WRITING | {_ADVISORY: str(max(own, _FILE_BYTES))}):
+            frame.write.mode("overwrite").options(**(_MOUNTED if plain else {})).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
