@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,7 +152,8 @@ def issues(read: DataFrame, hash_chain: bool = True) -> DataFrame:
 
 def verify_documents(lines: DataFrame, hash_chain: bool = True) -> DataFrame:
     """Per document: records, number of issues, the first ten of them, and the highest severity."""
-    read = check_lines(lines)
+    # Parsed once: three looks are taken at what the lines claim.
+    read = check_lines(lines).persist(StorageLevel.DISK_ONLY)
     top = read.groupBy("doc").agg(F.count_if("json").alias("records"), F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
     found = issues(read, hash_chain)
     counts = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "issue")).alias("first"))

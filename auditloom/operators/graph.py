@@ -90,16 +90,19 @@ def calls(records: DataFrame) -> DataFrame:
     """One row for each call, with its last result (null without one), duration and effect.
 
     The duration is missing where either time is 0. A call is bound to results up to the next call with
-    its id.
+    its id. Calls meet their results in one shuffle: a call is a row of its own group.
     """
-    bound = results(records).filter("call_at is not null")
-    last = bound.groupBy(KEY, F.col("call_at").alias("_at")).agg(F.max_by(F.struct("is_error", "text", "text_bytes", "time", "seq", "frame_index"), AT).alias("result"), F.max_by("time", F.when(F.col("time") != 0, F.col(AT))).alias("_until"))
-    own = of_type(records, "tool/call").withColumns({"turn": _or_zero("turn"), "step": _or_zero("step")})
-    joined = own.alias("c").join(last.withColumnRenamed(KEY, "_key"), (F.col(f"c.{KEY}") == F.col("_key")) & (F.col(f"c.{AT}") == F.col("_at")), "left")
-    duration = F.when((F.col("time") != 0) & F.col("_until").isNotNull(), F.col("_until") - F.col("time"))
-    fields = ("call_id", "name", "raw_arguments", "arguments_state", "args", "args_json", "replace_all", "turn", "step", "seq", "time", "frame_index", "frame_start", "result")
-    out = joined.select(F.col(f"c.{KEY}"), F.col(f"c.{AT}"), *fields, duration.alias("duration_ms"))
-    return effects_of(with_cwd(out, records))
+    rows = calls_and_results(records).filter("call_at is not null")
+    is_call, is_result = F.col("type") == "tool/call", F.col("type") == "tool/result"
+    own = ("name", "raw_arguments", "arguments_state", "args", "args_json", "replace_all", "turn", "step", "seq", "time", "frame_index", "frame_start")
+    result = F.struct("is_error", "text", F.octet_length("text").cast("long").alias("text_bytes"), "time", "seq", "frame_index")
+    grouped = rows.groupBy(KEY, "call_id", F.col("call_at").alias(AT)).agg(
+        F.max_by(F.struct(*own), F.when(is_call, F.col(AT))).alias("c"), F.max_by(result, F.when(is_result, F.col(AT))).alias("result"),
+        F.max_by("time", F.when(is_result & (F.col("time") != 0), F.col(AT))).alias("until"),
+    )
+    duration = F.when((F.col("c.time") != 0) & F.col("until").isNotNull(), F.col("until") - F.col("c.time"))
+    fields = [_or_zero(f"c.{f}").alias(f) if f in ("turn", "step") else F.col(f"c.{f}") for f in own]
+    return effects_of(with_cwd(grouped.select(KEY, AT, "call_id", *fields, "result", duration.alias("duration_ms")), records))
 
 
 def effects(called: DataFrame) -> DataFrame:
@@ -201,43 +204,53 @@ def user_messages(records: DataFrame) -> DataFrame:
     return counted.filter("new = 0").select(KEY, AT, "turn", "text", "time")
 
 
+_ANOMALY = ("turn", "step", "time", "seq", "frame_index", "frame_start", "detail", "data")
+
+
+def _anomaly(frame: DataFrame, kind: Column, at: Column, **given: Column) -> DataFrame:
+    columns = {c: F.col(c) for c in ("time", "seq", "frame_index", "frame_start")} | {c: F.lit(None) for c in ("turn", "step", "data")} | given
+    types = {"detail": "string", "data": "string"}
+    return frame.select(KEY, at.cast("long").alias(AT), F.col(AT).alias("order_index"), kind.alias("kind"), *[columns[c].cast(types.get(c, "long")).alias(c) for c in _ANOMALY])
+
+
+def announced(records: DataFrame) -> DataFrame:
+    """Anomalies that a record tells by itself, in one pass over those types."""
+    t, kind = F.col("type"), F.lit(None).cast("string")
+    state = F.when(F.col("arguments_state") == "invalid", " arguments were not valid JSON").otherwise(" arguments were not an object")
+    cases = [
+        ("turn/end", "turn-aborted", (F.col("end_reason") != "") & (F.col("end_reason") != "completed"), F.concat(F.lit("turn "), _or_zero("turn"), F.lit(" ended with "), F.col("end_reason"))),
+        ("tool/call", "tool-error", F.col("arguments_state") != "ok", F.concat(F.lit("tool call "), F.coalesce("detail", F.lit("undefined")), state)),
+        ("approval/asked", "approval-asked", F.lit(True), F.col("detail")),
+        ("approval/decided", "approval-denied", F.col("outcome").startswith("denied") | (F.col("outcome") == "rejected"), F.concat(F.lit("approval "), F.col("outcome"))),
+        ("command/run", "permission-change", F.col("name") == "permission", F.col("detail")),
+        ("compaction/start", "compaction", F.lit(True), F.col("detail")),
+        ("llm/retry", "llm-retry", F.lit(True), F.col("detail")),
+    ]
+    detail = F.lit(None).cast("string")
+    for type_, name, test, text in cases:
+        kind, detail = F.when((t == type_) & test, name).otherwise(kind), F.when(t == type_, text).otherwise(detail)
+    found = of_type(records, *[c[0] for c in cases]).withColumn("_kind", kind).filter("_kind is not null")
+    turn = F.when(t == "turn/end", _or_zero("turn")).when(t.isin("approval/asked", "compaction/start", "llm/retry"), F.col("turn"))
+    return _anomaly(found, F.col("_kind"), F.col(AT), turn=turn, step=F.when(t == "llm/retry", F.col("step")), detail=detail, data=F.when(t.isin("turn/end", "tool/call"), F.lit(None)).otherwise(F.col("data")))
+
+
 def anomalies(records: DataFrame) -> DataFrame:
     """All anomalies: kind, turn, step, time, seq, detail, data (JSON), and the record they came with."""
-    nothing = F.lit(None)
-
-    def rows(frame: DataFrame, kind: str | Column, detail: Column, turn: Column = nothing, step: Column = nothing, data: Column = nothing, at: Column | None = None) -> DataFrame:
-        return frame.select(
-            KEY, (F.col(AT) if at is None else at).cast("long").alias(AT), F.col(AT).alias("order_index"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), turn.cast("long").alias("turn"), step.cast("long").alias("step"),
-            "time", "seq", "frame_index", "frame_start", detail.cast("string").alias("detail"), data.cast("string").alias("data"),
-        )
 
     def named(*pairs: tuple[str, Column]) -> Column:
         parts = [F.concat(F.lit(f'"{k}":'), _json_string(v)) for k, v in pairs]
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
-    t, s, detail, data = F.col("turn"), F.col("step"), F.col("detail"), F.col("data")
-    ended = of_type(records, "turn/end").filter("end_reason <> '' and end_reason <> 'completed'")
-    bad_arguments = of_type(records, "tool/call").filter("arguments_state <> 'ok'")
-    state = F.when(F.col("arguments_state") == "invalid", " arguments were not valid JSON").otherwise(" arguments were not an object")
-    bound = results(records)
-    failed = bound.filter("call_at is not null and is_error")
+    orphan = F.col("call_at").isNull()
+    bad = results(records).filter(orphan | F.col("is_error"))
+    failed = F.concat(F.col("call_name"), F.lit(" failed: "), F.substring("text", 1, 160))
+    from_results = _anomaly(
+        bad, F.when(orphan, "orphan-tool-result").otherwise("tool-error"), F.col(AT), turn=F.when(~orphan, F.col("call_turn")), step=F.when(~orphan, F.col("call_step")),
+        detail=F.when(orphan, F.concat(F.lit("result for unknown call "), F.col("call_id"))).otherwise(failed), data=F.when(~orphan, named(("callId", F.col("call_id")), ("tool", F.col("call_name")))),
+    )
     lonely = unpaired_calls(calls(records))
-    parts = [
-        rows(ended, "turn-aborted", F.concat(F.lit("turn "), _or_zero("turn"), F.lit(" ended with "), F.col("end_reason")), _or_zero("turn")),
-        rows(bad_arguments, "tool-error", F.concat(F.lit("tool call "), F.coalesce(detail, F.lit("undefined")), state)),
-        rows(failed, "tool-error", F.concat(F.col("call_name"), F.lit(" failed: "), F.substring("text", 1, 160)), F.col("call_turn"), F.col("call_step"), named(("callId", F.col("call_id")), ("tool", F.col("call_name")))),
-        rows(bound.filter("call_at is null"), "orphan-tool-result", F.concat(F.lit("result for unknown call "), F.col("call_id"))),
-        rows(of_type(records, "approval/asked"), "approval-asked", detail, t, data=data),
-        rows(of_type(records, "approval/decided").filter("outcome like 'denied%' or outcome = 'rejected'"), "approval-denied", F.concat(F.lit("approval "), F.col("outcome")), data=data),
-        rows(of_type(records, "command/run").filter("name = 'permission'"), "permission-change", detail, data=data),
-        rows(of_type(records, "compaction/start"), "compaction", detail, t, data=data),
-        rows(of_type(records, "llm/retry"), "llm-retry", detail, t, s, data),
-        rows(lonely.select(*[c for c in lonely.columns if c != "detail"]), "unpaired-tool-call", F.concat(F.lit("no result recorded for "), F.col("name")), t, s, named(("callId", F.col("call_id"))), F.lit(-1)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    unpaired = _anomaly(lonely, F.lit("unpaired-tool-call"), F.lit(-1), turn=F.col("turn"), step=F.col("step"), detail=F.concat(F.lit("no result recorded for "), F.col("name")), data=named(("callId", F.col("call_id"))))
+    return announced(records).unionByName(from_results).unionByName(unpaired)
 
 
 def _json_string(text: Column) -> Column:

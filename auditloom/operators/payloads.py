@@ -53,21 +53,27 @@ def payloads(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:
     heads = graph.sessions(records).select(F.col(KEY).alias("_key"), F.coalesce("session_id", F.lit("unknown-session")).alias("_session"), F.col("created_at").alias("_created"), F.col("agent_preset").alias("_preset"), F.col("cwd").alias("_cwd"))
     no_list, no_text, no_number = F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("long")
 
-    def rows(frame: DataFrame, rank_: int, order: list[Column], **given: Column) -> DataFrame:
+    def rows(frame: DataFrame, rank_: int | Column, order: list[Column], **given: Column) -> DataFrame:
         joined = frame.join(heads, F.col(KEY) == F.col("_key"), "left")
         empty = {"turn": no_number, "step": no_number, "tool_name": no_text, "call_id": no_text, "args_digest": no_text, "status": no_text, "duration_ms": no_number, "severity": F.lit("info"), "flags": no_list, "detail": no_text, "files_read": no_list, "files_written": no_list, "network": no_list, "actor": no_text, "source_type": F.lit(source_type), "source_seq": no_number, "session_id": F.coalesce("_session", F.lit("unknown-session"))}
         columns = empty | given
         first, second = (order + [F.lit(0).cast("long")])[:2]
-        return joined.select(F.col(KEY), F.lit(rank_).alias("rank"), first.cast("long").alias("o1"), second.cast("long").alias("o2"), *[columns[c].alias(c) for c in FIELDS])
-
-    turns, turn = graph.turns(records), F.col("turn")
-    reason, errors = F.col("end_reason"), F.col("errors")
-    starts = rows(turns, 0, [turn], ts=F.coalesce("started_at", "_created", F.lit(0).cast("long")), kind=F.lit("turn_start"), turn=turn, summary=F.concat(F.lit("turn "), turn, F.lit(" started")), actor=F.col("_preset"))
-    ends = rows(
-        turns, 2, [turn], ts=F.coalesce("ended_at", "started_at", F.lit(0).cast("long")), kind=F.lit("turn_end"), turn=turn,
-        status=F.coalesce(reason, F.when(F.col("unterminated"), "unterminated").otherwise("completed")), duration_ms=F.col("duration_ms"),
-        severity=F.when(errors > 0, "medium").otherwise("info"), flags=F.when((reason != "") & (reason != "completed"), F.array(F.concat(F.lit("turn:"), reason))).otherwise(no_list),
-        summary=F.concat(F.lit("turn "), turn, F.lit(" ended ("), F.coalesce(reason, F.lit("unterminated")), F.lit(")")), detail=F.when(errors > 0, F.concat(errors, F.lit(" tool error(s) in this turn"))),
+        return joined.select(F.col(KEY), (rank_ if isinstance(rank_, Column) else F.lit(rank_)).alias("rank"), first.cast("long").alias("o1"), second.cast("long").alias("o2"), *[columns[c].alias(c) for c in FIELDS])
+
+    turn, reason, errors, ends = F.col("turn"), F.col("end_reason"), F.col("errors"), F.col("edge") == 2
+
+    def at_end(end: Column, start: Column) -> Column:
+        return F.when(ends, end).otherwise(start)
+
+    # Each turn gives two records from one pass.
+    edges = graph.turns(records).withColumn("edge", F.explode(F.array(F.lit(0), F.lit(2))))
+    turns = rows(
+        edges, F.col("edge"), [turn], ts=at_end(F.coalesce("ended_at", "started_at", F.lit(0).cast("long")), F.coalesce("started_at", "_created", F.lit(0).cast("long"))),
+        kind=at_end(F.lit("turn_end"), F.lit("turn_start")), turn=turn, status=at_end(F.coalesce(reason, F.when(F.col("unterminated"), "unterminated").otherwise("completed")), no_text),
+        duration_ms=at_end(F.col("duration_ms"), no_number), severity=F.when(ends & (errors > 0), "medium").otherwise("info"),
+        flags=F.when(ends & (reason != "") & (reason != "completed"), F.array(F.concat(F.lit("turn:"), reason))).otherwise(no_list),
+        summary=F.concat(F.lit("turn "), turn, at_end(F.concat(F.lit(" ended ("), F.coalesce(reason, F.lit("unterminated")), F.lit(")")), F.lit(" started"))),
+        detail=F.when(ends & (errors > 0), F.concat(errors, F.lit(" tool error(s) in this turn"))), actor=at_end(no_text, F.col("_preset")),
     )
     # Risk is judged against the session's last working directory; the effects' paths keep their own.
     last_cwd = heads.select(F.col("_key").alias("_k2"), F.col("_cwd").alias("_c2"))
@@ -80,11 +86,11 @@ def payloads(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:
         summary=F.concat("name", F.lit(": "), summary_line(F.col("kind"), F.col("path"), F.col("source"), F.col("name"))), detail=F.when(F.array_contains("flags", "effects-undecidable"), _UNDECIDABLE),
         files_read=F.col("files_read"), files_written=F.col("files_written"), network=F.col("network"), actor=F.col("_preset"), source_seq=F.col("seq"),
     )
-    loud = graph.anomalies(records).filter(F.col("kind").isin("permission-change", "approval-asked", "approval-denied"))
+    loud = graph.announced(records).filter(F.col("kind").isin("permission-change", "approval-asked", "approval-denied"))
     governance = rows(
         loud, 3, [F.coalesce("seq", "time", F.lit(0)), F.col("order_index")], ts=F.coalesce("time", F.lit(0).cast("long")), kind=F.lit("session_live"), turn=turn, step=F.col("step"), status=F.col("kind"),
         severity=F.when(F.col("kind") == "approval-denied", "medium").otherwise("high"), flags=F.array("kind"), summary=F.col("detail"), detail=F.col("data"), actor=F.lit("governance"), source_seq=F.col("seq"),
     )
-    every = starts.unionByName(tools).unionByName(ends).unionByName(governance)
+    every = turns.unionByName(tools).unionByName(governance)
     order = Window.partitionBy(KEY).orderBy("ts", "rank", "o1", "o2")
     return every.withColumn("record_id", F.row_number().over(order).cast("long")).select(KEY, "record_id", "rank", *FIELDS)

@@ -6,6 +6,9 @@ the record's place. The same mapping stands as SQL in ``oracle`` for comparison.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,28 +28,26 @@ def _case(key: Column, values: dict) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with a number k, their turn (day) and step (hour), and which are first and last of those."""
+    """Events with a number k, their turn (day) and step (hour), their tool and call id."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ts = F.col("ts").cast("timestamp")
-    day = F.concat(F.date_format(ts, "yyyyMMdd")).cast("long")
+    ts, i = F.col("ts").cast("timestamp"), F.col("id")
     base = raw.select(
         F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("id"), F.unix_millis(ts).alias("time"), "event_type",
-        F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).alias("k"), day.alias("turn"), F.hour(ts).cast("long").alias("step"),
+        F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).alias("k"), (F.year(ts) * 10000 + F.month(ts) * 100 + F.day(ts)).cast("long").alias("turn"), F.hour(ts).cast("long").alias("step"),
     )
-    turn, step = Window.partitionBy("session_key", "turn"), Window.partitionBy("session_key", "turn", "step")
-    flags = {f"{edge}_{name}": F.col("id") == f("id").over(w) for name, w in (("turn", turn), ("step", step)) for edge, f in (("first", F.min), ("last", F.max))}
-    return base.withColumns(flags)
+    return base.withColumns({"tool": _case(F.col("event_type"), TOOLS), "call_id": F.when(i % 23 == 0, "dup").otherwise(F.concat(F.lit("c"), i))})
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed records of all sessions."""
+    """Typed records of all sessions.
+
+    Each type is a branch of a union with its type as a constant: what asks for some types reads only
+    their branches, as the optimizer drops the others.
+    """
     e = events(spark, sf_dir)
-    k, i = F.col("k"), F.col("id")
-    tool = _case(F.col("event_type"), TOOLS)
+    k, i, tool, now = F.col("k"), F.col("id"), F.col("tool"), F.col("time")
     path = F.when(k % 25 == 0, "conf/.env").when(k % 20 == 0, "/etc/app.conf").otherwise(F.concat(F.lit("src/f"), k, F.lit(".txt")))
     command = _case(k % 6, dict(enumerate(COMMANDS)))
-    call_id = F.when(i % 23 == 0, "dup").otherwise(F.concat(F.lit("c"), i))
-    raw = F.concat(tool, F.lit("#"), k)
 
     def strings(**values: Column) -> Column:
         return F.create_map(*[x for key, v in values.items() for x in (F.lit(key), v)])
@@ -57,37 +58,35 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     usage = F.struct((k + 1).alias("input_tokens"), (k * 2).alias("output_tokens"), (i % 100).alias("cache_read_tokens"), (k % 7).alias("reasoning_tokens"))
 
-    def part(place: int, kind: str, test: Column, **values: Column) -> Column:
-        names = [f for f in RECORDS.fields if f.name not in ("session_key", "frame_index", "frame_start")]
-        given = {"record_index": i * 10 + place, "valid": F.lit(True), "type": F.lit(kind), "seq": i * 10 + place, "time": F.col("time")} | values
-        fields = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in names]
-        return F.when(test, F.struct(*fields))
-
-    always, where = F.lit(True), {"turn": F.col("turn"), "step": F.col("step")}
-    result_time = F.col("time") + i % 50 + 1
-    kinds = [
-        part(0, "turn/start", F.col("first_turn"), turn=F.col("turn")),
-        part(1, "step/start", F.col("first_step"), **where),
-        part(2, "tool/call", always, call_id=call_id, name=tool, raw_arguments=raw, arguments_state=F.when(i % 53 == 0, "invalid").otherwise("ok"), args=args, args_json=F.lit("{}"), replace_all=k % 2 == 0, detail=tool, **where),
-        part(3, "tool/result", i % 7 != 0, call_id=call_id, is_error=i % 11 == 0, text=F.concat(F.lit("out "), k), time=result_time),
-        part(4, "tool/result", i % 13 == 0, call_id=call_id, is_error=i % 2 == 0, text=F.lit("again"), time=result_time + 5),
-        part(5, "tool/result", i % 17 == 0, call_id=F.concat(F.lit("x"), i), is_error=F.lit(False), text=F.lit("?"), time=result_time),
-        part(6, "assistant/message", always, message_id=F.concat(F.lit("m"), k % 50), model=F.concat(F.lit("model-"), i % 3), usage=F.when(i % 29 != 0, usage), texts=F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("t"), k).alias("text"))), **where),
-        part(7, "step/end", F.col("last_step"), **where),
-        part(8, "turn/end", F.col("last_turn"), turn=F.col("turn"), end_reason=F.when(i % 31 == 0, F.lit(None)).when(i % 5 == 0, "aborted").otherwise("completed")),
-        part(9, "command/run", i % 41 == 0, name=F.lit("permission"), detail=F.concat(F.lit("permission preset changed to p"), k), data=F.concat(F.lit('{"args":"p'), k, F.lit('"}'))),
-        part(9, "approval/asked", (i % 37 == 0) & (i % 41 != 0), detail=F.concat(F.lit("approval requested for "), tool), turn=F.col("turn"), data=F.lit("{}")),
-        part(9, "approval/decided", (i % 43 == 0) & (i % 41 != 0) & (i % 37 != 0), outcome=F.when(k % 2 == 0, "denied-by-user").otherwise("approved"), data=F.lit("{}")),
-        part(9, "user/message", (i % 3 == 0) & (i % 41 != 0) & (i % 37 != 0) & (i % 43 != 0), text=F.concat(F.lit("say "), k)),
-    ]
-    rows = e.select("session_key", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("r")).select("session_key", "r.*")
+    def part(frame: DataFrame, place: int, kind: str, test: Column | None = None, **values: Column) -> DataFrame:
+        index = i * 10 + place
+        given = {"session_key": F.col("session_key"), "record_index": index, "frame_index": index, "frame_start": index * 100, "valid": F.lit(True), "type": F.lit(kind), "seq": index, "time": now} | values
+        rows = frame if test is None else frame.filter(test)
+        return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORDS.fields])
+
+    def edge(f: Callable[[str], Column], *keys: str) -> DataFrame:
+        """The first or last event of each turn or step."""
+        return e.groupBy("session_key", *keys).agg(f(F.struct("id", "time", "k", "turn", "step")).alias("one")).select("session_key", "one.*")
+
+    turn, where = {"turn": F.col("turn")}, {"turn": F.col("turn"), "step": F.col("step")}
+    late = now + i % 50 + 1
     # A header before a session's first event; a second one for some, from its 20th event on.
     place = F.row_number().over(Window.partitionBy("session_key").orderBy("id"))
     heads = e.withColumn("n", place).filter("n = 1 or (n = 20 and cast(session_key as int) % 5 = 0)")
-    head = {
-        "record_index": F.col("id") * 10 - 1, "valid": F.lit(True), "type": F.lit("session"), "time": F.lit(0), "session_id": F.concat(F.lit("session-"), "session_key"), "created_at": F.col("time"),
-        "cwd": F.when(F.col("n") == 1, CWD).otherwise("/w/src"), "agent_preset": F.concat(F.lit("p"), F.col("session_key").cast("int") % 3),
-    }
-    headers = heads.select("session_key", *[head.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORDS.fields if f.name not in ("session_key", "frame_index", "frame_start")])
-    place_of = {"frame_index": F.col("record_index"), "frame_start": F.col("record_index") * 100}
-    return rows.unionByName(headers).withColumns(place_of).select(*[f.name for f in RECORDS.fields])
+    parts = [
+        part(heads, -1, "session", seq=F.lit(None), time=F.lit(0), session_id=F.concat(F.lit("session-"), "session_key"), created_at=now, cwd=F.when(F.col("n") == 1, CWD).otherwise("/w/src"), agent_preset=F.concat(F.lit("p"), F.col("session_key").cast("int") % 3)),
+        part(edge(F.min, "turn"), 0, "turn/start", **turn),
+        part(edge(F.min, "turn", "step"), 1, "step/start", **where),
+        part(e, 2, "tool/call", call_id=F.col("call_id"), name=tool, raw_arguments=F.concat(tool, F.lit("#"), k), arguments_state=F.when(i % 53 == 0, "invalid").otherwise("ok"), args=args, args_json=F.lit("{}"), replace_all=k % 2 == 0, detail=tool, **where),
+        part(e, 3, "tool/result", i % 7 != 0, call_id=F.col("call_id"), is_error=i % 11 == 0, text=F.concat(F.lit("out "), k), time=late),
+        part(e, 4, "tool/result", i % 13 == 0, call_id=F.col("call_id"), is_error=i % 2 == 0, text=F.lit("again"), time=late + 5),
+        part(e, 5, "tool/result", i % 17 == 0, call_id=F.concat(F.lit("x"), i), is_error=F.lit(False), text=F.lit("?"), time=late),
+        part(e, 6, "assistant/message", message_id=F.concat(F.lit("m"), k % 50), model=F.concat(F.lit("model-"), i % 3), usage=F.when(i % 29 != 0, usage), texts=F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("t"), k).alias("text"))), **where),
+        part(edge(F.max, "turn", "step"), 7, "step/end", **where),
+        part(edge(F.max, "turn"), 8, "turn/end", end_reason=F.when(i % 31 == 0, F.lit(None)).when(i % 5 == 0, "aborted").otherwise("completed"), **turn),
+        part(e, 9, "command/run", i % 41 == 0, name=F.lit("permission"), detail=F.concat(F.lit("permission preset changed to p"), k), data=F.concat(F.lit('{"args":"p'), k, F.lit('"}'))),
+        part(e, 9, "approval/asked", (i % 37 == 0) & (i % 41 != 0), detail=F.concat(F.lit("approval requested for "), tool), data=F.lit("{}"), **turn),
+        part(e, 9, "approval/decided", (i % 43 == 0) & (i % 41 != 0) & (i % 37 != 0), outcome=F.when(k % 2 == 0, "denied-by-user").otherwise("approved"), data=F.lit("{}")),
+        part(e, 9, "user/message", (i % 3 == 0) & (i % 41 != 0) & (i % 37 != 0) & (i % 43 != 0), text=F.concat(F.lit("say "), k)),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 from typing import NamedTuple
 
 import zstandard
@@ -87,6 +88,11 @@ def walk(data: bytes | memoryview, at: int = 0) -> Frame | Incomplete | Corrupt
     return Frame(at, cursor, content, False, blocks)
 
 
+@lru_cache(1)
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def next_magic(data: bytes, start: int = 0) -> int:
     """Where the next frame may begin, -1 if nowhere."""
     return data.find(MAGIC, start)
@@ -96,7 +102,7 @@ def decode(data: bytes | memoryview, frame: Frame) -> str:
     """The frame's text; a skippable frame has none, bytes that aren't UTF-8 become U+FFFD."""
     if frame.skippable:
         return ""
-    stream = zstandard.ZstdDecompressor().decompressobj()
+    stream = _decompressor().decompressobj()
     text = stream.decompress(bytes(data[frame.start : frame.end]))
     if not stream.eof:
         raise zstandard.ZstdError("the frame's data end early")
