@@ -50,7 +50,7 @@ def summary_line(kind: Column, path: Column, source: Column, tool: Column) -> Co
 
 def payloads(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:
     """One row for each audit record, with record_id from 1 in the session's order of ts, rank and place."""
-    heads = graph.sessions(records).select(F.col(KEY).alias("_key"), F.coalesce("session_id", F.lit("unknown-session")).alias("_session"), F.col("created_at").alias("_created"), F.col("agent_preset").alias("_preset"), F.col("cwd").alias("_cwd"))
+    heads = graph.sessions(graph.of_type(records, "session")).select(F.col(KEY).alias("_key"), F.coalesce("session_id", F.lit("unknown-session")).alias("_session"), F.col("created_at").alias("_created"), F.col("agent_preset").alias("_preset"), F.col("cwd").alias("_cwd"))
     no_list, no_text, no_number = F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("long")
 
     def rows(frame: DataFrame, rank_: int | Column, order: list[Column], **given: Column) -> DataFrame:
