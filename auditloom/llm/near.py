@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, num:
     classes = scratch.table(grouped.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", "first_id", "one.doc_id", "one.th", "one.sign"), "classes")
 
     each = classes.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sign", 4 * rows * b + 1, 4 * rows)) for b in range(bands)])).alias("bucket"))
-    shared = scratch.table(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("root"), F.sum("n").alias("total")).filter("m > 1"), "shared")
+    counted = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("least"), F.sum("n").alias("total")).filter("m > 1")
+    shared = scratch.table(counted.select("bucket", "m", F.col("least.node").alias("root"), F.col("least.n").alias("root_n"), "total"), "shared")
     members = scratch.table(each.join(shared, "bucket"), "members")
     scratch.drop("shared")
     nodes = scratch.table(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "doc_id", "th", "sign"), "nodes")
@@ -207,9 +208,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, num:
         a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "uv")
         return likely.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(lambda it: _linked(it, num, den), "u long, v long")
 
-    sizes = nodes.select(F.col("node").alias("root"), F.col("n").alias("root_n"))
     fits = F.lit(den) * F.least("n", "root_n") >= F.lit(num) * F.greatest("n", "root_n")
-    star = members.filter("node <> root").select("root", "node", "n").distinct().join(sizes, "root").filter(fits)
+    star = members.filter("node <> root").filter(fits).select("root", "node").distinct()
     star_links = scratch.table(confirmed(star.select(F.col("root").alias("u"), F.col("node").alias("v"))), "star")
     near = components(star_links, scratch, "near")
 
