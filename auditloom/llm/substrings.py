@@ -171,7 +171,7 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     bundles = scratch.table(places.groupBy("m", "s1", "s2").agg(F.sum("copies").alias("weight"), F.min(F.struct("t1", "t2", "at", "n")).alias("source")), "bundles")
 
     # Branches: expand one copy of each path from its source coordinates into single edges.
-    branching = bundles.filter("weight = 1").select("m").distinct()
+    branching = scratch.table(bundles.filter("weight = 1").select("m").distinct(), "branching")
     open_paths = bundles.join(branching, "m", "left_semi")
     wanted = open_paths.groupBy("source.t1", "source.t2").agg(F.collect_list(F.struct("source.at", "source.n", "weight")).alias("paths"))
     edges = scratch.table(texts.join(wanted, _KEY).select("t1", "t2", "words", "paths").mapInArrow(lambda it: _edges(it, k), "e1 long, e2 long, weight long, t1 long, t2 long, at int"), "edges")
@@ -187,7 +187,7 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     spans = F.array(F.struct(F.lit(0).alias("first"), n_words.cast("int").alias("stop")))
     copied = texts.filter("copies > 1").select("t1", "t2", n_words.alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), F.lit("").alias("kept"), spans.alias("spans"))
     out = scratch.table(once.unionByName(copied), "repeated")
-    scratch.drop("texts", "places", "bundles", "edges", "twice")
+    scratch.drop("texts", "places", "bundles", "branching", "edges", "twice")
     return out
 
 
