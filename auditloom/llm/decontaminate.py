@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import sheltered
 from .known import release
 from .words import ALNUM, LOWER, Chunk, chunks
 
@@ -234,5 +235,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = ITEM
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = ITEMS, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, in which fewer than ``least_items`` items have a window."""
-    found = find_benchmark(docs, benchmark, width)
-    return found.filter(F.size(F.array_distinct("_items")) < least_items).select(*docs.columns)
+    own, restored = sheltered(docs, "text")
+    return restored(find_benchmark(own, benchmark, width).filter(F.size(F.array_distinct("_items")) < least_items))

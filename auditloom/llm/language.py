@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import sheltered
 from .known import Known, release, unique_parts
 from .words import Chunk, LOWER, chunks, mix, span_hashes
 
@@ -342,4 +343,5 @@ def language_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
 def keep_identified(docs: DataFrame, least: float = 0.35, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
-    return identify(docs, fit(docs, per_language)).filter((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    own, restored = sheltered(docs, "doc_id", "text", "lang")
+    return restored(identify(own, fit(own, per_language)).filter((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least)))

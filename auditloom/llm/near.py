@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import sheltered
 from .components import components
 from .known import release
 from .scratch import Scratch
@@ -248,10 +249,11 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     A null doc_id comes last; of rows with the same doc_id the one with the least text hash stays, and one
     only of rows that repeat. Rows without words are linked with nothing and stay.
     """
+    docs, restored = sheltered(docs, "doc_id", "text")
     found = near_duplicates(docs, scratch).filter("group is not null")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("one"))
     wanted = first.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     hashed = docs.filter(worded).withColumns({"_id0": F.col("doc_id").cast("long"), "_th0": F.xxhash64(F.col("text").cast("string"))})
     kept = hashed.join(wanted, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_th0") == F.col("_th"))).dropDuplicates(["_id0", "_th0"]).select(*docs.columns)
-    return kept.unionByName(docs.filter(~worded))
+    return restored(kept.unionByName(docs.filter(~worded)))

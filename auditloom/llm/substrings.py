@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import sheltered
 from .known import release
 from .scratch import Scratch
 from .words import AS_IS, FIRST, SECOND, SPACED, Chunk, chunks, joined, signed, span_hashes, string_array
@@ -219,10 +220,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> DataFr
     A text that loses words has those left with one space between, '' if none is; others stay as
     they are. n_chars, where there is such a column, is the length of the new text.
     """
+    docs, restored = sheltered(docs, "text", "n_chars")
     own = docs.withColumn("text", F.col("text").cast("string"))
     gone = repeated(own, scratch, k).filter("n_removed > 0").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("kept").alias("_kept"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", _t1 long, _t2 long"
     joined = own.mapInArrow(_keyed, schema).join(gone, ["_t1", "_t2"], "left")
     text = F.coalesce("_kept", "text")
     new = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return joined.withColumns(new).select(*docs.columns)
+    return restored(joined.withColumns(new))

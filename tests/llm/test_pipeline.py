@@ -86,3 +86,14 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     folder, _ = stages(spark, [], corpus()[1], tmp_path)
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    rows, items = corpus()
+    folder, docs = stages(spark, rows, items, tmp_path)
+    names = ["_pred", "_score", "_items", "_n_words", "_t1", "_kept", "_id", "_th", "_id0", "th", "group", "component id", "a.b"]
+    wide = docs.selectExpr("*", *[f"doc_id as `{n}`" for n in names]).drop("source")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, wide, folder)
+        assert [(f.name, f.dataType) for f in after.schema] == [(f.name, f.dataType) for f in wide.schema]
+        assert all(r[n] == r["doc_id"] for r in after.collect() for n in names)
