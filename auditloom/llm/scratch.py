@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Set while an intermediate table is written: its shuffle files go as soon as it is complete.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Small shuffle partitions are put together to files of about so many bytes at least.
-_FILE_BYTES, _ADVISORY = 32 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_FILE_BYTES, _ADVISORY = 14 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: On a mounted folder a table's files need no checksum files beside them.
 _MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
