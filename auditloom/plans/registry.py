@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.ledger import read_lines, records_of
 from auditloom.operators import audit_chain, chains, effects, graph, merkle, payloads, risk
 from auditloom.operators.records import prefix_metadata
 from auditloom.plans import adapter
+from auditloom.plans.logs import write_logs
 from auditloom.plans.oracle import ORACLE as _ORACLE
+from auditloom.plans.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +230,22 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_roots(_leaves(spark, sf_dir))
 
 
+@query
+def merkle_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof that a user's sixth event is in the user's tree, a row for each step upwards."""
+    leaves = _leaves(spark, sf_dir)
+    proof = merkle.prove(leaves, "1", 5)
+    return spark.createDataFrame([(i, s["hash"], s["side"]) for i, s in enumerate(proof["path"])], "step long, hash string, side string")
+
+
+@query
+def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query over real logs: the sessions are written as zstd frames and read by the log source."""
+    folder = shared_folder(spark, "logs")
+    write_logs(_records(spark, sf_dir), folder)
+    return graph.tool_call_stats(graph.calls(records_of(read_lines(spark, folder))))
+
+
 @query
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain form of the chain, a digest over a session's records in order."""

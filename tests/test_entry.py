@@ -20,7 +20,7 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["tool_call_stats", "turn_nodes", "version_chains", "risk_by_effect", "merkle_root"])
+@pytest.mark.parametrize("name", ["tool_call_stats", "turn_nodes", "version_chains", "risk_by_effect", "merkle_root", "merkle_proof", "log_round_trip"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__
