@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words (operator 8).
 
 Licence texts are templates. A template's words are indexed with their places, and each word's inverse
-document frequency is counted over all documents. Words that many documents have aren't indexed. Of
+document frequency is counted over all documents. Every word is indexed, however many documents have it. Of
 each document the indexed words with the highest IDF are looked up; every posting they meet says where
 the template would have to begin, and postings that agree on the beginning are intersected. An
 alignment counts when enough of the template's IDF weight stands in its place and all of the
@@ -41,8 +41,8 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["released into the public domain"]),
 ]
 
-#: Words in more than this share of the documents aren't indexed; of a document the RAREST are looked up.
-COMMON, RAREST = 0.05, 16
+#: Of a document so many indexed words are looked up.
+RAREST = 16
 #: The least share of a template's IDF weight in its place, and how far a mandatory phrase may be from its place.
 LEAST, SLACK = 0.6, 4
 
@@ -106,11 +106,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa
     yield pa.RecordBatch.from_pydict({"word": pa.array(np.arange(-1, len(counts)), pa.int32()), "n": np.concatenate([[texts], counts])})
 
 
-def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, rare: np.ndarray, rarest: int, least: float, slack: int) -> dict[int, tuple[set[str], float]]:
+def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, rarest: int, least: float, slack: int) -> dict[int, tuple[set[str], float]]:
     """Labels and best score of each text that has a verified alignment."""
     at, word = _known(index, hashes)
-    seed = rare[word]
-    at, word = at[seed], word[seed]
     if not len(at):
         return {}
     text = np.searchsorted(c.first, at, "right") - 1
@@ -132,7 +130,7 @@ def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, rare
     weight = idf[np.repeat(word, n)]
     keys, inverse = np.unique(np.stack([np.repeat(text, n), template, start], 1), axis=0, return_inverse=True)
     votes = np.bincount(inverse.ravel(), weights=weight)
-    indexed = np.where(rare, idf, 0)[index.words]
+    indexed = idf[index.words]
     most = np.array([indexed[a:b].sum() for a, b in zip(index.first[:-1], index.first[1:], strict=True)])
     out: dict[int, tuple[set[str], float]] = {}
     for (t, tpl, s), vote in zip(keys.tolist(), votes.tolist(), strict=True):
@@ -162,7 +160,7 @@ def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, rare
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, rare: np.ndarray, phrases: list[tuple[np.ndarray, str]], rarest: int, least: float, slack: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, phrases: list[tuple[np.ndarray, str]], rarest: int, least: float, slack: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column(1), ALNUM, LOWER):
             hashes, last, n = c.hashes(), c.last(), c.rows.stop - c.rows.start
@@ -177,7 +175,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, rare
             for places, (_, label) in zip(found, phrases, strict=True):
                 for t in np.unique(np.searchsorted(c.first, places, "right") - 1).tolist():
                     base[t].add(label)
-            aligned = alignments(c, hashes, index, idf, rare, rarest, least, slack)
+            aligned = alignments(c, hashes, index, idf, rarest, least, slack)
             none = final < 0
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).slice(c.rows.start, n), "n_words": c.counts, "n_base": np.bincount(text, minlength=n).astype(np.int64),
@@ -188,7 +186,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, rare
             })
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, list[str]]] = TEMPLATES, common: float = COMMON, rarest: int = RAREST, least: float = LEAST, slack: int = SLACK) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, list[str]]] = TEMPLATES, rarest: int = RAREST, least: float = LEAST, slack: int = SLACK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, the phrases' places and labels, all labels and a score.
 
     A null text counts as empty: no words, no places (first_word and last_word null), labels '' and
@@ -201,9 +199,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     by_word = {r.word: r.n for r in counts.collect()}
     total = by_word.get(-1, 0)
     df = np.array([by_word.get(i, 0) for i in range(len(index.vocabulary))], np.float64)
-    idf = np.log((total + 1) / (df + 1)) + 1e-9
-    rare = df <= common * total
+    # Smoothed: a word that all rows have still weighs something against one that none has.
+    idf = np.log((total + 1) / (df + 1)) + 1
     wanted = list(zip(_hashes(list(phrases)), phrases.values(), strict=True))
     return own.mapInArrow(
-        lambda it: _scan(it, index, idf, rare, wanted, rarest, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        lambda it: _scan(it, index, idf, wanted, rarest, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )

@@ -42,3 +42,19 @@ def test_templates_found_and_near_misses_not(spark):
         assert label in got[i].labels.split(",") and got[i].score > 0.99, (label, got[i])
     assert got[100].labels == got[101].labels == "" and got[102].labels == "bsd" and 0.6 <= got[102].score < 1
     assert all(got[200 + i].labels == "" and got[200 + i].score == 0 for i in range(600))
+
+
+def test_notice_of_a_third_of_the_rows_is_found(spark):
+    for label, notice, _ in (TEMPLATES[10], TEMPLATES[8], TEMPLATES[7]):
+        rows = [(i, f"prose number {i} before it. {notice if i % 3 == 0 else ''} And more.") for i in range(300)]
+        got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all((r.labels, r.score > 0.99) == ((label, True) if i % 3 == 0 else ("", False)) for i, r in got.items())
+
+
+def test_notices_in_a_table_of_five_rows(spark):
+    changed = TEMPLATES[8][1].replace("provided", "given")
+    rows = [(0, TEMPLATES[8][1]), (1, f"see {TEMPLATES[10][1]}"), (2, "prose"), (3, None), (4, changed)]
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "bsd", 1: "cc-by-nc", 2: "", 3: "", 4: "bsd"}
+    all_changed = scan_licenses(spark.createDataFrame([(i, changed) for i in range(5)], "doc_id long, text string")).collect()
+    assert {r.labels for r in all_changed} == {"bsd"}
