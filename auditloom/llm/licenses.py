@@ -1,11 +1,11 @@
-"""Licence scans by a positional index of rare words (operator 8).
+"""Licence scans by a positional index of the templates' words (operator 8).
 
 Licence texts are templates. A template's words are indexed with their places, and each word's inverse
-document frequency is counted over all documents. Every word is indexed, however many documents have it. Of
-each document the indexed words with the highest IDF are looked up; every posting they meet says where
-the template would have to begin, and postings that agree on the beginning are intersected. An
-alignment counts when enough of the template's IDF weight stands in its place and all of the
-template's mandatory phrases stand near theirs.
+document frequency is counted over all documents. Every word is indexed, however many documents have it. In
+each document that has all mandatory phrases of a template, all of the template's words are looked up;
+every posting they meet says where the template would have to begin, and postings that agree on the
+beginning are intersected. An alignment counts when enough of the template's IDF weight stands in its
+place and all of the template's mandatory phrases stand near theirs.
 """
 
 from __future__ import annotations
@@ -41,10 +41,10 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["released into the public domain"]),
 ]
 
-#: Of a document so many indexed words are looked up.
-RAREST = 16
 #: The least share of a template's IDF weight in its place, and how far a mandatory phrase may be from its place.
 LEAST, SLACK = 0.6, 4
+#: Alignments that are compared with the text at one time.
+_ALIGNED = 20_000
 
 
 class Index(NamedTuple):
@@ -106,61 +106,64 @@ def _frequencies(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa
     yield pa.RecordBatch.from_pydict({"word": pa.array(np.arange(-1, len(counts)), pa.int32()), "n": np.concatenate([[texts], counts])})
 
 
-def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, rarest: int, least: float, slack: int) -> dict[int, tuple[set[str], float]]:
+def _stand(c: Chunk, found: np.ndarray, size: int, text: np.ndarray, near: np.ndarray, slack: int) -> np.ndarray:
+    """Whether one of a phrase's places (sorted) is inside the text and at most ``slack`` from ``near``."""
+    low, high = np.maximum(c.first[text], near - slack), np.minimum(c.first[text + 1] - size, near + slack)
+    return np.searchsorted(found, low, "left") < np.searchsorted(found, high, "right")
+
+
+def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, least: float, slack: int) -> dict[int, tuple[set[str], float]]:
     """Labels and best score of each text that has a verified alignment."""
-    at, word = _known(index, hashes)
-    if not len(at):
-        return {}
-    text = np.searchsorted(c.first, at, "right") - 1
-    # Of each text the indexed words with the highest IDF.
-    pair = np.unique(np.stack([text, word], 1), axis=0)
-    pair = pair[np.lexsort((pair[:, 1], -idf[pair[:, 1]], pair[:, 0]))]
-    rank = np.arange(len(pair)) - np.searchsorted(pair[:, 0], pair[:, 0])
-    chosen = np.sort(pair[rank < rarest] @ np.array([len(idf), 1]))
-    own = text * len(idf) + word
-    looked = chosen[np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)] == own
-    at, word, text = at[looked], word[looked], text[looked]
-    # Postings: where would each template begin?
-    order = np.argsort(index.words, kind="stable")
-    begin, end = np.searchsorted(index.words[order], word, "left"), np.searchsorted(index.words[order], word, "right")
-    n = end - begin
-    posting = order[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    template = np.searchsorted(index.first, posting, "right") - 1
-    start = np.repeat(at, n) - (posting - index.first[template])
-    weight = idf[np.repeat(word, n)]
-    keys, inverse = np.unique(np.stack([np.repeat(text, n), template, start], 1), axis=0, return_inverse=True)
-    votes = np.bincount(inverse.ravel(), weights=weight)
-    indexed = idf[index.words]
-    most = np.array([indexed[a:b].sum() for a, b in zip(index.first[:-1], index.first[1:], strict=True)])
     out: dict[int, tuple[set[str], float]] = {}
-    for (t, tpl, s), vote in zip(keys.tolist(), votes.tolist(), strict=True):
-        if vote < 0.5 * least * most[tpl]:
+    at, word = _known(index, hashes)
+    text, last = np.searchsorted(c.first, at, "right") - 1, c.last()
+    n = len(c.first) - 1
+    for tpl, label in enumerate(index.labels):
+        # Without all of its mandatory phrases a text can't have the template.
+        found = [places_of(hashes, phrase, last) for phrase, _ in index.phrases[tpl]]
+        has = np.ones(n, bool)
+        for places in found:
+            one = np.zeros(n, bool)
+            one[np.searchsorted(c.first, places, "right") - 1] = True
+            has &= one
+        if not has.any():
             continue
-        low, high = int(c.first[t]), int(c.first[t + 1])
         want = index.words[index.first[tpl] : index.first[tpl + 1]]
-        same = np.zeros((2 * slack + 1, len(want)), bool)
-        for shift, row in enumerate(same):
-            place = np.arange(len(want)) + s + shift - slack
-            inside = (place >= low) & (place < high)
-            row[inside] = hashes[place[inside]] == index.vocabulary[want[inside]]
-        # Words in place count twice as much as words that an insertion or omission has moved a little.
-        score = float((idf[want[same[slack]]].sum() + idf[want[same.any(0)]].sum()) / (2 * idf[want].sum()))
-        if score < least:
-            continue
-
-        def stands(phrase: np.ndarray, where: int, low: int = low, high: int = high, s: int = s) -> bool:
-            for p in range(max(low, s + where - slack), min(high - len(phrase), s + where + slack) + 1):
-                if np.array_equal(hashes[p : p + len(phrase)], phrase):
-                    return True
-            return False
-
-        if all(stands(phrase, where) for phrase, where in index.phrases[tpl]):
-            labels, best = out.get(t, (set(), 0.0))
-            out[t] = (labels | {index.labels[tpl]}, max(best, min(score, 1.0)))
+        weight, total = idf[want], float(idf[want].sum())
+        # Postings of all its words in those texts: where would the template begin?
+        order = np.argsort(want, kind="stable")
+        mine = has[text] & np.isin(word, want)
+        begin, end = np.searchsorted(want[order], word[mine], "left"), np.searchsorted(want[order], word[mine], "right")
+        size = end - begin
+        posting = order[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        span = len(hashes) + len(want)
+        keys = np.repeat(text[mine], size) * span + np.repeat(at[mine], size) - posting + len(want)
+        near = np.ones(len(keys), bool)
+        for places, (phrase, where) in zip(found, index.phrases[tpl], strict=True):
+            near &= _stand(c, places, len(phrase), keys // span, keys % span - len(want) + where, slack)
+        keys, inverse = np.unique(keys[near], return_inverse=True)
+        votes = np.bincount(inverse, weights=weight[posting[near]], minlength=len(keys))
+        # Words in place weigh half of the score, so with fewer votes it can't reach the least one.
+        keys = keys[votes >= (2 * least - 1) * total - 1e-9]
+        for k in range(0, len(keys), _ALIGNED):
+            t, s = keys[k : k + _ALIGNED] // span, keys[k : k + _ALIGNED] % span - len(want)
+            moved = np.zeros((len(t), len(want)), bool)
+            for shift in range(-slack, slack + 1):
+                place = (s + shift)[:, None] + np.arange(len(want))
+                inside = (place >= c.first[t][:, None]) & (place < c.first[t + 1][:, None])
+                same = inside & (hashes[np.clip(place, 0, len(hashes) - 1)] == index.vocabulary[want])
+                moved |= same
+                if shift == 0:
+                    placed = same @ weight
+            # Words in place count twice as much as words that an insertion or omission has moved a little.
+            score = (placed + moved @ weight) / (2 * total)
+            for own, x in zip(t[score >= least].tolist(), score[score >= least].tolist(), strict=True):
+                labels, best = out.get(own, (set(), 0.0))
+                out[own] = (labels | {label}, max(best, min(x, 1.0)))
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, phrases: list[tuple[np.ndarray, str]], rarest: int, least: float, slack: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, phrases: list[tuple[np.ndarray, str]], least: float, slack: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column(1), ALNUM, LOWER):
             hashes, last, n = c.hashes(), c.last(), c.rows.stop - c.rows.start
@@ -175,7 +178,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, phra
             for places, (_, label) in zip(found, phrases, strict=True):
                 for t in np.unique(np.searchsorted(c.first, places, "right") - 1).tolist():
                     base[t].add(label)
-            aligned = alignments(c, hashes, index, idf, rarest, least, slack)
+            aligned = alignments(c, hashes, index, idf, least, slack)
             none = final < 0
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).slice(c.rows.start, n), "n_words": c.counts, "n_base": np.bincount(text, minlength=n).astype(np.int64),
@@ -186,7 +189,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, phra
             })
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, list[str]]] = TEMPLATES, rarest: int = RAREST, least: float = LEAST, slack: int = SLACK) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, list[str]]] = TEMPLATES, least: float = LEAST, slack: int = SLACK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, the phrases' places and labels, all labels and a score.
 
     A null text counts as empty: no words, no places (first_word and last_word null), labels '' and
@@ -203,5 +206,5 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     idf = np.log((total + 1) / (df + 1)) + 1
     wanted = list(zip(_hashes(list(phrases)), phrases.values(), strict=True))
     return own.mapInArrow(
-        lambda it: _scan(it, index, idf, wanted, rarest, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        lambda it: _scan(it, index, idf, wanted, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )

@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from auditloom.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,3 +60,57 @@ def test_notices_in_a_table_of_five_rows(spark):
     assert got == {0: "bsd", 1: "cc-by-nc", 2: "", 3: "", 4: "bsd"}
     all_changed = scan_licenses(spark.createDataFrame([(i, changed) for i in range(5)], "doc_id long, text string")).collect()
     assert {r.labels for r in all_changed} == {"bsd"}
+
+
+def test_texts_with_many_templates_have_all_of_them(spark):
+    every, labels = [t for _, t, _ in TEMPLATES], sorted({x for x, _, _ in TEMPLATES})
+    rare = " ".join(w for k in (1, 4, 7, 9, 12, 13) for w in WORD.findall(TEMPLATES[k][1].translate(FOLD))[::-1])
+    rows = [(0, " ".join(every)), (1, "\n\n".join(reversed(every))), (2, " ".join(every[k] for k in (1, 8, 9)))]
+    rows += [(10 + k, f"{rare} {'some more prose ' * 50} {t}") for k, t in enumerate(every)]
+    # Words that only the long texts have are the rarest there.
+    rows += [(100 + i, f"prose number {i} {every[i % 14] if i % 5 == 0 else ''}") for i in range(400)]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].labels.split(",") == got[1].labels.split(",") == labels and got[2].labels == "bsd,isc,mit"
+    assert all(label in got[10 + k].labels.split(",") and got[10 + k].score > 0.99 for k, (label, _, _) in enumerate(TEMPLATES))
+
+
+def test_alignments_equal_a_search_of_all_places(spark):
+    rng = np.random.default_rng(5)
+    vocab = sorted({w for _, t, _ in TEMPLATES for w in WORD.findall(t.translate(FOLD))})
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            own = WORD.findall(TEMPLATES[rng.integers(0, 14)][1].translate(FOLD))
+            for _ in range(rng.integers(0, 6)):
+                k = int(rng.integers(0, len(own)))
+                own[k : k + int(rng.integers(0, 2))] = [str(x) for x in rng.choice(vocab, rng.integers(0, 2))]
+            parts += own[rng.integers(0, 3) :] + [str(x) for x in rng.choice(vocab, rng.integers(0, 5))]
+        texts.append(parts)
+    df = {w: sum(w in t for t in texts) for w in vocab}
+    idf = {w: np.log((len(texts) + 1) / (df[w] + 1)) + 1 for w in vocab}
+
+    def search(text):
+        labels, best = set(brute(" ".join(text))[4].split(",")) - {""}, 0.0
+        for label, template, phrases in TEMPLATES:
+            want = WORD.findall(template.translate(FOLD))
+            total = sum(idf[w] for w in want)
+            for s in range(-len(want), len(text)):
+                def at(i):
+                    return text[i] if 0 <= i < len(text) else None
+                placed = sum(idf[w] for i, w in enumerate(want) if at(s + i) == w)
+                score = (placed + sum(idf[w] for i, w in enumerate(want) if w in [at(s + i + d) for d in range(-4, 5)])) / (2 * total)
+                if score < 0.6:
+                    continue
+                near = []
+                for phrase in map(str.split, phrases):
+                    where = next(i for i in range(len(want)) if want[i : i + len(phrase)] == phrase)
+                    near.append(any(text[p : p + len(phrase)] == phrase for p in range(max(0, s + where - 4), s + where + 5)))
+                if all(near):
+                    labels, best = labels | {label}, max(best, min(score, 1.0))
+        return ",".join(sorted(labels)), best
+
+    rows = scan_licenses(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    want = [search(t) for t in texts]
+    assert [r.labels for r in sorted(rows)] == [x for x, _ in want]
+    assert np.allclose([r.score for r in sorted(rows)], [x for _, x in want])
