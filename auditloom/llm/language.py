@@ -266,13 +266,14 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, with_runs:
         column = batch.column(batch.schema.get_field_index("text"))
         for c in words_of(column):
             n = c.rows.stop - c.rows.start
-            pred, score = np.zeros(n, np.int64), np.zeros(n)
+            pred, score, sure = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             runs: list[list[dict]] = [[] for _ in range(n)]
-            full = np.flatnonzero(c.counts) if model else np.zeros(0, np.int64)
-            if len(full):
+            full = np.flatnonzero(c.counts)
+            if model and len(full):
                 p = probabilities(c, model)
                 mean = np.add.reduceat(p, c.first[full], axis=0) / c.counts[full][:, None]
                 pred[full], score[full] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
+                sure[full] = np.add.reduceat(p.max(1), c.first[full]) / c.counts[full]
                 if with_runs:
                     best, text = p.argmax(1), c.texts()
                     turn = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (text[1:] != text[:-1])]))
@@ -286,13 +287,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, with_runs:
             plain = np.concatenate([[0], np.cumsum((c.folded[c.start] < 0x80) if len(c.start) else np.zeros(0, bool))])
             for t in np.flatnonzero(~und & (plain[c.first[1:]] == plain[c.first[:-1]])).tolist():
                 und[t] = _no_letter(texts[t].as_py())
-            langs = [UNKNOWN if u else model.labels[k] for u, k in zip(und.tolist(), pred.tolist(), strict=True)]
+            langs = [UNKNOWN if u or not model else model.labels[k] for u, k in zip(und.tolist(), pred.tolist(), strict=True)]
             columns = [x.slice(c.rows.start, n) for x in batch.columns]
             names = batch.schema.names
-            columns += [pa.array(langs, pa.string()), pa.array(np.where(und, 0.0, score))]
+            columns += [pa.array(langs, pa.string()), pa.array(np.where(und, 0.0, score)), pa.array(~und), pa.array(np.where(und, 0.0, sure))]
             if with_runs:
                 columns.append(pa.array([[] if u else r for u, r in zip(und.tolist(), runs, strict=True)], pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_pred", "_score", *(["_runs"] if with_runs else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_pred", "_score", "_lettered", "_sure", *(["_runs"] if with_runs else [])])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -325,12 +326,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None, with_runs: bool = False) -> DataFrame:
-    """``docs`` with _pred, _score and, if asked for, _runs (stretches of words with one label).
+    """``docs`` with _pred, _score, _lettered, _sure and, if asked for, _runs (stretches of words with one label).
 
-    A text that is null or has no letter is 'und' with score 0; so is any text without a model.
+    A text that is null or has no letter is 'und' with score 0; so is any text without a model. _sure is
+    the mean of the words' highest probabilities, whichever labels these are of.
     """
     own = docs.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", _pred string, _score double" + (", _runs array<struct<first:int,stop:int,lang:string>>" if with_runs else "")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", _pred string, _score double, _lettered boolean, _sure double" + (", _runs array<struct<first:int,stop:int,lang:string>>" if with_runs else "")
     return own.mapInArrow(lambda it: _predict(it, model, with_runs), schema)
 
 
@@ -342,6 +344,13 @@ def language_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    """The rows of ``docs``, all columns, whose words' languages are known.
+
+    Texts without a letter go, and those whose words' highest probabilities have a mean below ``least``.
+    A text of several languages stays if its words are sure, however small each one's share is. If there
+    are no labelled rows to learn from, all texts with a letter stay.
+    """
     own, restored = sheltered(docs, "doc_id", "text", "lang")
-    return restored(identify(own, fit(own, per_language)).filter((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least)))
+    model = fit(own, per_language)
+    known = (F.col("_pred") != UNKNOWN) & (F.col("_sure") >= least) if model else F.lit(True)
+    return restored(identify(own, model).filter(F.col("_lettered") & known))

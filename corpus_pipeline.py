@@ -2,7 +2,7 @@
 
 A stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``documents``:
 
-1. language: rows whose text has no known language go.
+1. language: rows whose text has no letter or whose words are of no known language go.
 2. near duplicates: one row of each group of near copies stays.
 3. substrings: word sequences of 35 and more that stand elsewhere too are taken out of the texts.
 4. benchmark: rows with passages of two or more benchmark items go.

@@ -78,3 +78,20 @@ def test_stage_and_empty_tables(spark, rows):
     assert language_rows(docs.limit(0)).count() == 0
     unlabelled = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_rows(unlabelled).collect()} == {"und"}
+
+
+def test_stage_keeps_texts_of_many_languages_and_unlabelled_tables(spark, rows):
+    rng = np.random.default_rng(11)
+    SOUNDS["dd"] = ["wyż", "qo", "pfy", "xen"]
+    more = [(2000 + i, " ".join(prose(rng, "dd", rng.integers(5, 200))).title(), "dd") for i in range(80)]
+    mixed = [(3000 + i, " ".join(w for lang in SOUNDS for w in prose(rng, lang, 25)), None) for i in range(5)]
+    del SOUNDS["dd"]
+    kept = {r.doc_id for r in keep_identified(frame(spark, rows + more + mixed)).collect()}
+    assert {i for i, _, _ in mixed} <= kept and {900, 901, 902}.isdisjoint(kept)
+    # No labels at all, and none outside of the held-out share.
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for some in ([(i, t, None) for i, t, _ in rows], [(i, "kamo tiru", "aa") for i in held] + rows[-7:-4] + [(2, "...", None)]):
+        docs = spark.createDataFrame([(*r, "s", 0.5) for r in some if r[0] not in (900, 901)] + [(900, None, None, "s", 0.5), (901, "", None, "s", 0.5)], frame(spark, rows).schema)
+        stage = keep_identified(docs)
+        want = sum(t is not None and any(map(str.isalpha, t)) for i, t, _ in some if i not in (900, 901))
+        assert stage.schema == docs.schema and stage.count() == want > 0
