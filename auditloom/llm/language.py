@@ -94,9 +94,21 @@ def emissions(weights: np.ndarray, slots: np.ndarray, begin: np.ndarray) -> np.n
     return np.add.reduceat(weights[slots], begin[:-1], axis=0) / np.sqrt(np.diff(begin))[:, None] if len(begin) > 1 else np.zeros((0, weights.shape[1]))
 
 
-def forward_backward(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> np.ndarray:
+def pair_counts(p: np.ndarray, forward: np.ndarray, transitions: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Expected number of each pair of labels of the words ``at`` and their successors.
+
+    alpha[i] A psi[i + 1] beta[i + 1], where p[i + 1] is (alpha[i] A) psi[i + 1] beta[i + 1].
+    """
+    a = np.exp(transitions - transitions.max())
+    alpha = forward[at]
+    return a * (alpha.T @ (p[at + 1] / (alpha @ a)))
+
+
+def forward_backward(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray, forward: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities of each word; sequence d has words first[d] to first[d + 1].
 
+    ``forward`` gets each word's label probabilities given the words up to it.
+
     Sequences are cut into blocks of STEP words. The blocks' transfer matrices are made side by side,
     carried along each sequence, and then all blocks run side by side, so the number of numpy
     steps doesn't grow with the longest text but with its number of blocks.
@@ -152,6 +164,9 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, first: np.ndar
         v = (v[:m] @ a) * psi[:m, j]
         v /= v.sum(1, keepdims=True)
         alpha[:m, j] = v
+    inside = np.arange(STEP) < size[:, None]
+    if forward is not None:
+        forward[words[inside]] = alpha[inside]
     v = right.copy()
     for j in range(STEP - 1, -1, -1):
         m = active[j]
@@ -161,7 +176,6 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, first: np.ndar
         alpha[:m, j] = p / p.sum(1, keepdims=True)
         w = (psi[:m, j] * v[:m]) @ a.T
         v[:m] = w / w.sum(1, keepdims=True)
-    inside = np.arange(STEP) < size[:, None]
     out[words[inside]] = alpha[inside]
     return out
 
@@ -209,7 +223,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 5, le
             use = slot[np.repeat(begin_of[kind_of[ids]] - local[:-1], span) + np.arange(local[-1])]
             edges = np.concatenate([[0], np.cumsum(sizes)])
             scores = emissions(weights, use, local)
-            p = forward_backward(scores, transitions, edges)
+            forward = np.empty_like(scores)
+            p = forward_backward(scores, transitions, edges, forward)
             error = p.copy()
             error[np.arange(len(ids)), truth[ids]] -= 1
             spread = np.repeat(error / np.sqrt(span)[:, None], span, axis=0)
@@ -217,10 +232,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 5, le
             inner = np.ones(len(ids) - 1, bool)
             inner[edges[1:-1] - 1] = False
             i = np.flatnonzero(inner)
-            # Expected pairs, from both words' probabilities under the transitions.
-            pair = p[i][:, :, None] * np.exp(transitions)[None] * p[i + 1][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            grad_t = pair.sum(0)
+            grad_t = pair_counts(p, forward, transitions, i)
             np.subtract.at(grad_t, (truth[ids][i], truth[ids][i + 1]), 1)
             grad_t /= len(group)
             seen_w += grad**2

@@ -95,3 +95,23 @@ def test_stage_keeps_texts_of_many_languages_and_unlabelled_tables(spark, rows):
         stage = keep_identified(docs)
         want = sum(t is not None and any(map(str.isalpha, t)) for i, t, _ in some if i not in (900, 901))
         assert stage.schema == docs.schema and stage.count() == want > 0
+
+
+def test_pair_counts_equal_enumeration(monkeypatch):
+    monkeypatch.setattr(language, "STEP", 3)
+    rng = np.random.default_rng(2)
+    first = np.array([0, 1, 8, 8, 13])
+    scores, trans = rng.normal(size=(13, 3)) * 2, rng.normal(size=(3, 3)) * 2
+    want = np.zeros((3, 3))
+    for a, b in zip(first, first[1:]):
+        total, pairs = 0.0, np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=b - a):
+            w = np.exp(np.log(np.exp(trans[:, path[0]]).sum()) + scores[a + np.arange(b - a), path].sum() + sum(trans[x, y] for x, y in zip(path, path[1:]))) if b > a else 1.0
+            total += w
+            for x, y in zip(path, path[1:]):
+                pairs[x, y] += w
+        want += pairs / total
+    forward = np.empty_like(scores)
+    p = forward_backward(scores, trans, first, forward)
+    at = np.setdiff1d(np.arange(12), first[1:] - 1)
+    assert np.allclose(language.pair_counts(p, forward, trans, at), want)
