@@ -39,7 +39,9 @@ class Block(NamedTuple):
     items: list[int | None]
     keys: np.ndarray  # low and high key of each window's words
     length: np.ndarray  # words of each window
-    place: np.ndarray  # where in ``words`` one of its occurrences begins
+    places: np.ndarray  # where in ``words`` its occurrences begin, by window and then by all words up to the item's end
+    from_place: np.ndarray  # where each window's places begin
+    item_of: np.ndarray  # item of each word
     of_window: np.ndarray  # item of each (window, item), sorted by window
     first: np.ndarray  # where each window's items begin
     least: int  # words of the shortest window
@@ -54,6 +56,17 @@ def _keys(words: np.ndarray, at: np.ndarray, length: np.ndarray | int, width: in
     return out.view(f"S{words.itemsize * width}").ravel()
 
 
+def _ranks(words: np.ndarray, longest: int) -> np.ndarray:
+    """Ranks that sort the suffixes of ``words`` by their words up to a 0, by doubling; a 0 is least."""
+    rank, k = words.astype(np.int64), 1
+    while k < longest + 1:
+        then = np.zeros(len(rank), np.int64)
+        then[:-k] = rank[k:]
+        _, rank = np.unique(rank * (int(rank.max()) + 1) + np.where(words > 0, then, 0), return_inverse=True)
+        k *= 2
+    return rank
+
+
 def _pack(hashes: np.ndarray, first: np.ndarray, items: list[int | None], width: int) -> Block:
     vocabulary = np.unique(hashes)
     ids = (np.searchsorted(vocabulary, hashes) + 1).astype(np.uint16 if len(vocabulary) < 0xFFFF else np.uint32)
@@ -68,10 +81,11 @@ def _pack(hashes: np.ndarray, first: np.ndarray, items: list[int | None], width:
     at, size, item_of = at[begins], size[begins].astype(np.int64), item_of[begins]
     # A window is its words: shorter ones end in zeros, which no word is.
     _, one, window = np.unique(_keys(words, at, size, width), return_index=True, return_inverse=True)
+    order = np.lexsort((at, _ranks(words, int(counts.max(initial=0)))[at], window)) if len(one) < len(at) else one
     pairs = np.unique(np.stack([window, item_of], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
     low = _keys(words, at[one], size[one], width)
     high = _keys(words, at[one], size[one], width, high=True)
-    return Block(vocabulary, words, items, np.stack([low, high]), size[one], at[one], pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(one) + 1)), int(size.min(initial=width)))
+    return Block(vocabulary, words, items, np.stack([low, high]), size[one], at[order], np.searchsorted(window[order], np.arange(len(one) + 1)), np.repeat(np.arange(len(items)), counts + 1), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(one) + 1)), int(size.min(initial=width)))
 
 
 def benchmark_blocks(items: DataFrame, width: int = WINDOW, block_size: int = BLOCK_SIZE) -> Iterator[Block]:
@@ -132,6 +146,26 @@ class SuffixArray:
             length[going] += 1
         return length
 
+    def longest(self, at: np.ndarray, window: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The longest match of each place with any occurrence of its window, and where that occurrence begins.
+
+        Binary search among the window's sorted occurrences; both neighbours of the place's suffix are met.
+        """
+        low, high = block.from_place[window].copy(), block.from_place[window + 1].copy()
+        best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        going = np.arange(len(at))
+        while len(going):
+            middle = (low[going] + high[going]) // 2
+            place = block.places[middle]
+            length = self.extend(at[going], block.words, place, block.length[window[going]])
+            more = length > best[going]
+            best[going[more]], where[going[more]] = length[more], place[more]
+            own = np.minimum(at[going] + length, len(self.words) - 1)
+            right = block.words[np.minimum(place + length, len(block.words) - 1)] <= self.words[own]
+            low[going[right]], high[going[~right]] = middle[right] + 1, middle[~right]
+            going = going[low[going] < high[going]]
+        return best, where
+
 
 def matches(chunk: Chunk, block: Block, width: int) -> tuple[np.ndarray, np.ndarray, SuffixArray]:
     """All places of all windows: the place in the array's words, and the window."""
@@ -169,12 +203,12 @@ def _hits(batches: Iterator[pa.RecordBatch], block: Block | None, width: int, it
                 item = block.of_window[np.repeat(block.first[window] - np.cumsum(per) + per, per) + np.arange(per.sum())]
                 for t, i in np.unique(np.stack([np.repeat(text, per), item], 1), axis=0).tolist():
                     items[t].append(block.items[i])
-                length = array.extend(at, block.words, block.place[window], block.length[window])
+                length, place = array.longest(at, window, block)
                 order = np.lexsort((at, -length, text))
                 _, best = np.unique(text[order], return_index=True)
                 for k in order[best].tolist():
                     t = int(text[k])
-                    longest[t] = {"length": int(length[k]), "word": int(at[k] - base[t]), "item": block.items[int(block.of_window[block.first[window[k]]])]}
+                    longest[t] = {"length": int(length[k]), "word": int(at[k] - base[t]), "item": block.items[int(block.item_of[place[k]])]}
             yield pa.RecordBatch.from_arrays(
                 [*(x.slice(c.rows.start, n) for x in batch.columns), pa.array(c.counts), pa.array(stretches, _STRETCHES), pa.array(items, pa.list_(item_type)), pa.array(longest, pa.struct([("length", pa.int32()), ("word", pa.int32()), ("item", item_type)]))],
                 names=[*batch.schema.names, *_ADDED],

@@ -88,3 +88,21 @@ def test_empty_tables(spark):
     docs, bench = frames(spark, rows, items)
     assert got(contamination(docs.limit(0), bench)) == []
     assert got(contamination(docs, bench.limit(0))) == brute(rows, [])
+
+
+def test_longest_match_is_over_all_items_that_share_a_header(spark):
+    rng = np.random.default_rng(4)
+    header = [f"h{i}" for i in range(100)]
+    items = [(i, header + [f"q{x}" for x in rng.integers(0, 3, 60)]) for i in range(20)]
+    rows = [(i, ["x"] + w + ["y"]) for i, w in items] + [(100 + i, w[:130] + ["x"] + w[90:150]) for i, w in items] + [(200 + i, w[100:120]) for i, w in items]
+    docs, bench = frames(spark, [(i, " ".join(w)) for i, w in rows], [(i, " ".join(w)) for i, w in items])
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    text, item = dict(rows), dict(items)
+    for r in contamination(docs, bench).collect():
+        m, w = r.longest_match, text[r.doc_id]
+        assert m.length == max(common(w[p:], b[q:]) for _, b in items for p in range(len(w)) for q in range(len(b)) if w[p] == b[q])
+        assert any(item[m.item][q : q + m.length] == w[m.word : m.word + m.length] for q in range(160))
+        assert r.doc_id >= 100 or (m.length, m.word, m.item) == (160, 1, r.doc_id)
