@@ -25,8 +25,8 @@ from .columns import sheltered
 from .known import Known, release, unique_parts
 from .words import Chunk, LOWER, chunks, mix, span_hashes
 
-#: Texts of each language to learn from, at most so many languages, and bytes of a text so used at most in all.
-PER_LANGUAGE, LANGUAGES = 150, 200
+#: Texts of each language to learn from, and of all languages together; every language keeps one at least.
+PER_LANGUAGE, SAMPLE = 150, 30_000
 #: Hashed features; words that occur so often in the sample are in the lexicon.
 FEATURES, FREQUENT = 1 << 15, 4
 UNKNOWN = "und"
@@ -249,7 +249,7 @@ def probabilities(c: Chunk, model: Model) -> np.ndarray:
     """Label probabilities of a chunk's words; known words' emissions are kept."""
     if model.name not in _caches:
         _caches.clear()
-        _caches[model.name] = Known(("<f4",), CACHE)
+        _caches[model.name] = Known(("<f4",), min(CACHE, (256 << 20) // (4 * len(model.labels))))
     known, n = _caches[model.name], len(model.labels)
     release(known)
     if known.size > known.limit:
@@ -257,8 +257,9 @@ def probabilities(c: Chunk, model: Model) -> np.ndarray:
     keys = c.hashes()
     rows = known.find(keys)
     new = unique_parts(keys, rows)
-    for at in range(0, len(new), 50_000):
-        some = new[at : at + 50_000]
+    step = max(500, min(50_000, 2_000_000 // n))
+    for at in range(0, len(new), step):
+        some = new[at : at + step]
         slots, begin = features(c.folded, c.start[some], c.end[some], keys[some], model.lexicon)
         flat = emissions(model.weights, slots, begin).astype("<f4").tobytes()
         known.add(keys[some], [flat[4 * n * k : 4 * n * (k + 1)] for k in range(len(some))])
@@ -266,7 +267,11 @@ def probabilities(c: Chunk, model: Model) -> np.ndarray:
         missing = rows < 0
         rows[missing] = known.find(keys[missing])
     scores = known.gather(0, rows)[0].reshape(-1, n).astype(np.float64)
-    return forward_backward(scores, model.transitions, c.first)
+    # With many labels the texts run in several parts, as a block's transfer matrix grows with their square.
+    part = np.cumsum(-(-c.counts // STEP)) // max(1, (32 << 20) // (8 * n * n))
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(c.counts)]]).tolist()
+    parts = [forward_backward(scores[c.first[a] : c.first[b]], model.transitions, c.first[a : b + 1] - c.first[a]) for a, b in zip(edge, edge[1:])]
+    return np.concatenate(parts)
 
 
 def _no_letter(text: str | None) -> bool:
@@ -313,15 +318,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """A model from labelled rows of ``docs`` (doc_id, text, lang) that aren't held out, or None without any.
 
-    The driver gets the number of rows of each language and about ``per_language`` whole texts of each.
+    The driver gets the number of rows of each language and about ``per_language`` whole texts of each, or
+    fewer if there are so many languages that these would be more than ``sample`` together.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(~held_out())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(1, sample // len(counts)))
     h = F.xxhash64(F.lit(17), "doc_id")
     # Half as many again as wanted are expected under this share of the hash range; the least of them are taken.
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.5 * per_language + 20) / n))])

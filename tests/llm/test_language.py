@@ -115,3 +115,23 @@ def test_pair_counts_equal_enumeration(monkeypatch):
     p = forward_backward(scores, trans, first, forward)
     at = np.setdiff1d(np.arange(12), first[1:] - 1)
     assert np.allclose(language.pair_counts(p, forward, trans, at), want)
+
+
+def test_every_one_of_many_labels_is_learned_from(spark, monkeypatch):
+    rows = [(i, f"word{i} text", f"l{i % 230}") for i in range(230 * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    monkeypatch.setattr(language, "train", lambda texts, langs: langs)
+    assert len(want) > 200 and set(fit(docs)) == want
+    few = fit(docs, sample=460)
+    assert set(few) == want and len(few) <= 460 and set(fit(docs, sample=1)) == want
+
+
+def test_probabilities_in_parts_equal_the_whole():
+    rng = np.random.default_rng(6)
+    labels = [f"l{i}" for i in range(210)]
+    model = language.Model("parts", labels, rng.normal(size=(language.FEATURES, 210)).astype(np.float32), np.clip(rng.normal(size=(210, 210)), -8, 0), np.zeros(0, np.uint64))
+    (c,) = language.words_of(language.pa.array([" ".join(prose(rng, "aa", n)) for n in (3, 0, 1200, 700, 6500, 1, 64)]))
+    got = language.probabilities(c, model)
+    slots, begin = language.features(c.folded, c.start, c.end, c.hashes(), model.lexicon)
+    assert np.allclose(got, forward_backward(language.emissions(model.weights, slots, begin).astype(np.float64), model.transitions, c.first), atol=1e-5)
