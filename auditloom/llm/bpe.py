@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .known import Known, release, unique_parts
+from .known import Known, release
 from .words import AS_IS, SPACED, buffers, chunks, pieces
 
 #: Unicode white space inside a character class.
@@ -128,6 +128,12 @@ class Bpe:
         """The vocabulary's strings, one space between; special ones too."""
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
+    def _work(self, places: np.ndarray, new: list[bytes]) -> Iterator[tuple]:
+        found = [self.encode(part.decode()) for part in new]
+        decimal = [b"%d " * len(x) % tuple(x) for x in found]
+        strings = [b"".join([self.strings[i].encode() + b" " for i in x if i in self.strings]) for x in found]
+        yield np.arange(len(new)), decimal, strings, [len(x).to_bytes(4, "little") for x in found]
+
     def digests(self, column: pa.Array) -> tuple[list[int], list[str], list[str]]:
         """Per text: the number of ids, SHA-256 of the decimal ids and of the decoded text."""
         everything, offsets = buffers(column)
@@ -135,20 +141,10 @@ class Bpe:
         # Parts between ASCII white space; a part with other white space is split further when it is encoded.
         (c,) = chunks(column, SPACED, AS_IS, limit=len(data) + 1)
         release(self.known)
-        if self.known.size > self.known.limit:
-            self.known.clear()
-        keys = c.hashes()
-        rows = self.known.find(keys)
-        new = unique_parts(keys, rows)
-        if len(new):
-            raw = data.tobytes()
-            found = [self.encode(raw[a:b].decode()) for a, b in zip(c.start[new].tolist(), c.end[new].tolist(), strict=True)]
-            self.known.add(keys[new], [b"%d " * len(x) % tuple(x) for x in found], [b"".join([self.strings[i].encode() + b" " for i in x if i in self.strings]) for x in found], [len(x).to_bytes(4, "little") for x in found])
-            missing = rows < 0
-            rows[missing] = self.known.find(keys[missing])
-        counts = np.concatenate([[0], np.cumsum(self.known.gather(2, rows)[0], dtype=np.int64)])[c.first]
+        rows = self.known.rows_of(c.hashes(), c.data, c.start, c.end, self._work)
+        counts = np.concatenate([[0], np.cumsum(self.known.gather(3, rows)[0], dtype=np.int64)])[c.first]
         hashes = []
-        for column_of in (0, 1):
+        for column_of in (1, 2):
             flat, ends = self.known.gather(column_of, rows)
             view, upto = memoryview(flat), ends[c.first].tolist()
             hashes.append([hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(upto, upto[1:], strict=False)])

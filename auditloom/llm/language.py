@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import sheltered
-from .known import Known, release, unique_parts
-from .words import Chunk, LOWER, chunks, mix, span_hashes
+from .known import Known, release
+from .words import Chunk, LOWER, chunks, mix, gram_hashes
 
 #: Texts of each language to learn from, and of all languages together; every language keeps one at least.
 PER_LANGUAGE, SAMPLE = 150, 30_000
@@ -73,11 +73,11 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.nd
     found, owner = [], []
     for n in (1, 2, 3):
         own = at[at + n <= last]
-        found.append(span_hashes(edged, own, own + n) + np.uint64(n))
+        found.append(gram_hashes(edged, own, own + n) + np.uint64(n))
         owner.append(word[own])
     for n in (3, 4, 5):
         own = np.flatnonzero(length >= n)
-        found += [span_hashes(edged, offset[own], offset[own] + n + 1) + np.uint64(10 + n), span_hashes(edged, offset[own + 1] - n - 1, offset[own + 1]) + np.uint64(20 + n)]
+        found += [gram_hashes(edged, offset[own], offset[own] + n + 1) + np.uint64(10 + n), gram_hashes(edged, offset[own + 1] - n - 1, offset[own + 1]) + np.uint64(20 + n)]
         owner += [own, own]
     place = np.minimum(np.searchsorted(lexicon, hashes), max(len(lexicon) - 1, 0))
     own = np.flatnonzero(lexicon[place] == hashes) if len(lexicon) else np.zeros(0, np.int64)
@@ -252,21 +252,18 @@ def probabilities(c: Chunk, model: Model) -> np.ndarray:
         _caches[model.name] = Known(("<f4",), min(CACHE, (256 << 20) // (4 * len(model.labels))))
     known, n = _caches[model.name], len(model.labels)
     release(known)
-    if known.size > known.limit:
-        known.clear()
     keys = c.hashes()
-    rows = known.find(keys)
-    new = unique_parts(keys, rows)
     step = max(500, min(50_000, 2_000_000 // n))
-    for at in range(0, len(new), step):
-        some = new[at : at + step]
-        slots, begin = features(c.folded, c.start[some], c.end[some], keys[some], model.lexicon)
-        flat = emissions(model.weights, slots, begin).astype("<f4").tobytes()
-        known.add(keys[some], [flat[4 * n * k : 4 * n * (k + 1)] for k in range(len(some))])
-    if len(new):
-        missing = rows < 0
-        rows[missing] = known.find(keys[missing])
-    scores = known.gather(0, rows)[0].reshape(-1, n).astype(np.float64)
+
+    def work(places: np.ndarray, new: list[bytes]) -> Iterator[tuple]:
+        for at in range(0, len(new), step):
+            some = places[at : at + step]
+            slots, begin = features(c.folded, c.start[some], c.end[some], keys[some], model.lexicon)
+            flat = emissions(model.weights, slots, begin).astype("<f4").tobytes()
+            yield np.arange(at, at + len(some)), [flat[4 * n * k : 4 * n * (k + 1)] for k in range(len(some))]
+
+    rows = known.rows_of(keys, c.folded, c.start, c.end, work)
+    scores = known.gather(1, rows)[0].reshape(-1, n).astype(np.float64)
     # With many labels the texts run in several parts, as a block's transfer matrix grows with their square.
     part = np.cumsum(-(-c.counts // STEP)) // max(1, (32 << 20) // (8 * n * n))
     edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(c.counts)]]).tolist()

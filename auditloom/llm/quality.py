@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, SPACED, Chunk, chunks, mix, span_hashes
+from .words import LOWER, SPACED, Chunk, chunks, mix, gram_hashes
 
 #: Texts that train the scorer at most, and hashed features.
 SAMPLE, SLOTS = 3000, 1 << 18
@@ -138,7 +138,7 @@ def slots(c: Chunk, hashes: np.ndarray) -> np.ndarray:
     turn[1:] = kind[1:] != kind[:-1]
     turn[c.start] = True
     at = np.concatenate([[0], np.cumsum(turn)])
-    shape = span_hashes(kind[turn].astype(np.uint64) + np.uint64(1), at[c.start], at[c.end])
+    shape = gram_hashes(kind[turn].astype(np.uint64) + np.uint64(1), at[c.start], at[c.end])
     same = np.zeros(len(hashes), np.uint64)
     same[1:] = hashes[1:] == hashes[:-1]
     same[c.first[:-1][c.counts > 0]] = 0

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import mapped, writing
-from .known import Known, release, unique_parts
+from .known import Known, release
 from .sizes import shuffle_partitions
-from .words import buffers, pieces, span_hashes
+from .words import buffers, byte_hashes, pieces
 
 #: White space in ASCII, and the UTF-8 of any other character that the tokenizer's pattern takes for it.
 _ASCII_WHITE = np.zeros(256, bool)
@@ -85,12 +85,12 @@ class Encoder:
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+    def _work(self, places: np.ndarray, new: list[bytes]) -> Iterator[tuple]:
         """Encode new parts. Those of a space and a word keep their ids when run together, and the
         lengths of their tokens say where each ends; one call for many of them is much the fastest."""
         led = np.array([len(p) > 1 and p[0] == 0x20 and not _ASCII_WHITE[p[1]] for p in new], bool)
         alone = [p.decode() for p, x in zip(new, led.tolist(), strict=True) if not x]
-        self.known.add(keys[~led], self._pack(alone))
+        yield np.flatnonzero(~led), self._pack(alone)
         run = [p for p, x in zip(new, led.tolist(), strict=True) if x]
         packed: list[bytes] = []
         for at in range(0, len(run), 20_000):
@@ -99,7 +99,7 @@ class Encoder:
             cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p) for p in some])) + 1) * self.kind.itemsize
             flat = ids.astype(self.kind).tobytes()
             packed += [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-        self.known.add(keys[led], packed)
+        yield np.flatnonzero(led), packed
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string column, each text's followed by the end id; their numbers."""
@@ -108,8 +108,6 @@ class Encoder:
         texts = column.to_pylist()
         whole = [k for k, t in enumerate(texts) if t and (not self.by_part or self.odd.search(t))]
         release(self.known)
-        if self.known.size > self.known.limit:
-            self.known.clear()
         begin = parts(data, offsets)
         end = np.append(begin[1:], len(data)) if len(begin) else begin
         if whole:
@@ -117,15 +115,8 @@ class Encoder:
             skip[whole] = True
             text = np.searchsorted(offsets, begin, "right") - 1
             begin, end = begin[~skip[text]], end[~skip[text]]
-        keys = span_hashes(data.astype(np.uint64) + np.uint64(1), begin, end)
-        rows = self.known.find(keys)
-        new = unique_parts(keys, rows)
-        if len(new):
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-            missing = rows < 0
-            rows[missing] = self.known.find(keys[missing])
-        ids, ends = self.known.gather(0, rows)
+        rows = self.known.rows_of(byte_hashes(data, begin, end), data, begin, end, self._work)
+        ids, ends = self.known.gather(1, rows)
         upto = ends[np.searchsorted(begin, offsets)]
         if not whole:
             return np.insert(ids, upto[1:], self.kind.type(self.end_id)), np.diff(upto) + 1

@@ -1,12 +1,13 @@
 """Words of many texts at once, as arrays.
 
 Every word rule of these operators is about ASCII bytes only, so a text's UTF-8 bytes decide: a batch
-of texts becomes one byte array, words become start and end offsets in it, and hashes of words or of
-runs of words come from running sums, without a Python object for each word.
+of texts becomes one byte array, words become start and end offsets in it, and hashes of words and of
+runs of words are worked out side by side, without a Python object for each word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,9 +25,86 @@ AS_IS = np.arange(256, dtype=np.uint8)
 LOWER = AS_IS.copy()
 LOWER[0x41:0x5B] += 0x20
 
-#: Odd multipliers of the running sums; the second makes 128 bits of a hash where 64 aren't enough.
-FIRST, SECOND = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: Seeds of two independent hashes; both together make 128 bits where 64 aren't enough.
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _CHUNK = 1 << 19
+#: Bytes of a word that are hashed side by side with other words'; longer ones go through a library hash.
+_LANED = 64
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit."""
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def _both(a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """A hash of two hashes, in order. Every step is mixed, so no sum or power of a long run is left to cancel out."""
+    return mix(a * np.uint64(base) + b * np.uint64(0xA0761D6478BD642F) + np.uint64(base >> 7))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = FIRST) -> np.ndarray:
+    """A hash of the bytes ``data[start:end]`` for each pair: eight bytes after another, long ones by BLAKE2."""
+    n = end - start
+    out = mix(n.astype(np.uint64) + np.uint64(base))
+    lanes = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    long = np.flatnonzero(n > _LANED)
+    going = np.flatnonzero((n > 0) & (n <= _LANED))
+    at, left = start[going], n[going]
+    while len(going):
+        out[going] = _both(out[going], lanes[at] & _LANE[np.minimum(left, 8)], base)
+        on = left > 8
+        going, at, left = going[on], at[on] + 8, left[on] - 8
+    if len(long):
+        salt = base.to_bytes(8, "little")
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [int.from_bytes(hashlib.blake2b(view[a:b], digest_size=8, salt=salt).digest(), "little") for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+def run_hashes(values: np.ndarray, n: int, base: int = FIRST) -> np.ndarray:
+    """A hash of each ``values[i:i + n]``, n fixed: runs of 1, 2, 4 ... are put together."""
+    size, have, out = len(values) - n + 1, 0, None
+    if size <= 0:
+        return np.zeros(0, np.uint64)
+    level, length = values, 1
+    while True:
+        if n & length:
+            part = level[have : have + size]
+            out, have = part if out is None else _both(out, part, base), have + length
+        if 2 * length > n:
+            return out
+        level, length = _both(level[:-length], level[length:], base), 2 * length
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = FIRST) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each pair, the same wherever the span stands."""
+    n, at = end - start, start.copy()
+    out = mix(n.astype(np.uint64) + np.uint64(base))
+    level, length, longest = values, 1, int(n.max(initial=0))
+    while length <= longest:
+        some = np.flatnonzero(n & length)
+        out[some] = _both(out[some], level[at[some]], base)
+        at[some] += length
+        if 2 * length <= longest:
+            level = _both(level[:-length], level[length:], base)
+        length *= 2
+    return out
+
+
+def gram_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = FIRST) -> np.ndarray:
+    """Hashes of short spans from one running sum modulo 2**64: for features of a model, never to tell texts apart."""
+    up, down = powers(base | 1, len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -47,24 +125,6 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    x = x ^ (x >> np.uint64(33))
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = FIRST) -> np.ndarray:
-    """A hash of ``values[start:end]`` for each pair, the same wherever the span stands."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
-
-
 class Chunk(NamedTuple):
     """Texts ``rows`` of a batch: word i is ``data[start[i]:end[i]]``; text d has words first[d] to first[d + 1]."""
 
@@ -82,7 +142,7 @@ class Chunk(NamedTuple):
 
     def hashes(self, base: int = FIRST) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return span_hashes(self.folded.astype(np.uint64) + np.uint64(1), self.start, self.end, base)
+        return byte_hashes(self.folded, self.start, self.end, base)
 
     def last(self) -> np.ndarray:
         """For each word, the end of its text's words."""
@@ -134,9 +194,9 @@ def chunks(column: pa.Array, wordy: np.ndarray, fold: np.ndarray, limit: int = _
 
 def runs(chunk: Chunk, hashes: np.ndarray, n: int, base: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all runs of n words that lie in one text, and a hash of each."""
-    at = np.arange(len(hashes))
-    at = at[at + n <= chunk.last()]
-    return at, span_hashes(hashes, at, at + n, base)
+    every = run_hashes(hashes, n, base)
+    at = np.flatnonzero(np.arange(n, n + len(every)) <= chunk.last()[: len(every)])
+    return at, every[at]
 
 
 def joined(chunk: Chunk, keep: np.ndarray | None = None, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
