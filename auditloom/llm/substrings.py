@@ -1,22 +1,23 @@
-"""Removal of long repeated word sequences (operator 9), by a compacted De Bruijn graph.
-
-The graph's edges are the corpus's runs of k words. Counting all of them one by one would shuffle a
-row for each word of the corpus, so edges are compacted first:
-
-* Each edge is assigned to its minimizer, the least of its runs of m words by hash. Equal edges have
-  the same minimizer at the same place, so an edge repeats only where its minimizer does.
-* Neighbouring edges of one minimizer in one text are a path. A path is kept as a 128-bit hash of its
-  words and its source coordinates: one row for about a dozen edges.
-* A path that occurs twice is a repeated, nonbranching stretch: all its edges repeat. A join with the
-  paths' counts marks all its places.
-* Where a minimizer has several different paths the graph branches there. Only these paths are
-  expanded, one copy of each, from their source coordinates into single edges; edges are counted by
-  128-bit hashes with the weight of their paths, and the counts say which edges of the paths that
-  occur once repeat in another path.
-
-A window's fate is that of its edge; every word of a repeated edge goes. Texts with equal words are
-one text with a count, so copies cost nothing, and no step gathers a group of texts in one task: groups
-are only counted (with partial sums) or joined.
+"""Removal of long repeated word sequences (operator 9), by De Bruijn compaction.
+
+Edges are the runs of k words, nodes the runs of k - 1 words at their ends; what is wanted are the edges
+that occur twice.
+
+1. Equal texts are one text with a count. An edge can repeat only where its minimizer does, the least of
+   its runs of m words by hash, so a text's neighbouring edges of one minimizer are a strand, one row for
+   about a dozen edges, and strands whose minimizer occurs once are left out.
+2. One copy of each different strand is expanded from its source coordinates into edges. Edges are counted
+   by 128-bit hashes, with the weight of their strands; those counted twice are the graph.
+3. In- and out-degrees of the nodes are counted. Edges that follow each other through a node with one
+   edge in and one out are a piece; pieces are compacted into nonbranching paths by joins of end node with
+   begin node and pointer doubling: each round of joins doubles the pieces that are put together.
+4. Every place of a strand is projected onto the paths: stretches of a text that run along one path. A
+   stretch is compared word by word with the words of its path, which come from the source coordinates of
+   the path's pieces; a stretch whose words differ stays. All words of the others go.
+
+No step gathers a group of places: they are counted with partial sums or joined, and a join with a frequent
+strand or path is split by adaptive execution. Lists are bounded by a text, a strand (k edges) or a block
+of a path (``BLOCK`` edges).
 """
 
 from __future__ import annotations
@@ -26,42 +27,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import sheltered
 from .known import release
 from .scratch import Scratch
-from .words import AS_IS, FIRST, SECOND, SPACED, Chunk, chunks, joined, signed, span_hashes, string_array
+from .words import AS_IS, FIRST, SECOND, SPACED, Chunk, chunks, joined, run_hashes, signed, span_hashes, string_array
 
 WINDOW, MINIMIZER = 35, 12
+#: Edges of a path that are compared with texts as one.
+BLOCK = 256
 _KEY = ["t1", "t2"]
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _fingerprints(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each text's sequence of words."""
-    a, b = chunk.first[:-1], chunk.first[1:]
-    return tuple(signed(span_hashes(chunk.hashes(base), a, b, base)) for base in (FIRST, SECOND))
+def _words_digests(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The texts' words with one space between, as bytes and offsets, and SHA-256 of each text's."""
+    data, offsets = joined(chunk)
+    view = memoryview(data)
+    return data, offsets, [hashlib.sha256(view[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _fingerprints(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each digest."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(len(digests), -1)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column(1), SPACED, AS_IS):
-            t1, t2 = _fingerprints(c)
-            data, offsets = joined(c)
-            view = memoryview(data)
-            sha = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), "t1": t1, "t2": t2, "n_words": c.counts, "sha": sha})
+            digests = _words_digests(c)[2]
+            t1, t2 = _fingerprints(digests)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(c.rows.start, c.rows.stop - c.rows.start), "t1": t1, "t2": t2, "n_words": c.counts, "sha": [d.hex() for d in digests]})
 
 
 def _long_texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
         for c in chunks(batch.column(0), SPACED, AS_IS):
-            t1, t2 = _fingerprints(c)
-            words = string_array(*joined(c))
-            yield pa.RecordBatch.from_pydict({"t1": t1, "t2": t2, "words": words}).filter(pa.array(c.counts >= k))
+            data, offsets, digests = _words_digests(c)
+            t1, t2 = _fingerprints(digests)
+            yield pa.RecordBatch.from_pydict({"t1": t1, "t2": t2, "words": string_array(data, offsets)}).filter(pa.array(c.counts >= k))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,16 +81,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - length)], x[width - length :])
 
 
-def paths(chunk: Chunk, h1: np.ndarray, h2: np.ndarray, k: int, m: int) -> dict[str, np.ndarray]:
-    """The paths of a chunk's texts: minimizer, hashes, text, first window (a word of the text), number of windows."""
+def strands(chunk: Chunk, h1: np.ndarray, h2: np.ndarray, k: int, m: int) -> dict[str, np.ndarray]:
+    """The strands of a chunk's texts: minimizer, hashes, text, first edge (a word of the text), number of edges."""
     n = len(h1)
     if n < k:
         none = np.zeros(0, np.int64)
         return {"m": none, "s1": none, "s2": none, "text": none, "at": none, "n": none}
-    every = np.arange(n - m + 1)
-    grams = span_hashes(h1, every, every + m, FIRST)
+    grams = run_hashes(h1, m)
     # The upper half orders, the place decides ties: the leftmost.
-    least = _sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | every.astype(np.uint64), k - m + 1) & np.uint64(0xFFFFFFFF)
+    least = _sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams)).astype(np.uint64), k - m + 1) & np.uint64(0xFFFFFFFF)
     start = np.arange(n - k + 1)
     start = start[start + k <= chunk.last()[: n - k + 1]]
     place = least[start].astype(np.int64)
@@ -92,13 +99,13 @@ def paths(chunk: Chunk, h1: np.ndarray, h2: np.ndarray, k: int, m: int) -> dict[
     return {"m": grams[place[turn]], "s1": span_hashes(h1, a, end, FIRST), "s2": span_hashes(h2, a, end, SECOND), "text": text, "at": a - chunk.first[text], "n": count}
 
 
-def _paths(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+def _strands(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        t1, t2, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        for c in chunks(batch.column(3), SPACED, AS_IS):
-            p = paths(c, c.hashes(FIRST), c.hashes(SECOND), k, m)
+        tid, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        for c in chunks(batch.column(2), SPACED, AS_IS):
+            p = strands(c, c.hashes(FIRST), c.hashes(SECOND), k, m)
             row = p["text"] + c.rows.start
-            yield pa.RecordBatch.from_pydict({"m": signed(p["m"]), "s1": signed(p["s1"]), "s2": signed(p["s2"]), "t1": t1[row], "t2": t2[row], "copies": copies[row], "at": pa.array(p["at"], pa.int32()), "n": pa.array(p["n"], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"m": signed(p["m"]), "s1": signed(p["s1"]), "s2": signed(p["s2"]), "tid": tid[row], "copies": copies[row], "at": pa.array(p["at"], pa.int32()), "n": pa.array(p["n"], pa.int32())})
 
 
 def _lists(column: pa.Array, rows: slice) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -110,32 +117,61 @@ def _lists(column: pa.Array, rows: slice) -> tuple[np.ndarray, dict[str, np.ndar
 
 
 def _edges(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The single windows of listed paths; a window of a path that occurs once has its place, others have place -1."""
+    """The edges of listed strands with their nodes; a strand's first edge carries the strand's words.
+
+    An edge's ``home`` is k times its strand plus its place in the strand.
+    """
     for batch in batches:
-        t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        for c in chunks(batch.column(2), SPACED, AS_IS):
-            row, f = _lists(batch.column(3), c.rows)
-            n = f["n"].astype(np.int64)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(f["at"], n) + inside
-            start = np.repeat(c.first[row], n) + at
-            text, weight = np.repeat(row, n) + c.rows.start, np.repeat(f["weight"], n)
-            e1, e2 = (signed(span_hashes(c.hashes(base), start, start + k, base)) for base in (FIRST, SECOND))
-            yield pa.RecordBatch.from_pydict({"e1": e1, "e2": e2, "weight": weight, "t1": t1[text], "t2": t2[text], "at": pa.array(np.where(weight == 1, at, -1), pa.int32())})
+        for c in chunks(batch.column(0), SPACED, AS_IS):
+            row, f = _lists(batch.column(1), c.rows)
+            h1, h2 = c.hashes(FIRST), c.hashes(SECOND)
+            e1, e2, nodes = run_hashes(h1, k), run_hashes(h2, k, SECOND), run_hashes(h1, k - 1)
+            begin, n, raw = c.first[row] + f["at"], f["n"].astype(np.int64), c.data.tobytes()
+            # A few strands of a text at a time: all of a long text's edges would be many rows.
+            for at in range(0, len(n), 20_000):
+                some, first = n[at : at + 20_000], begin[at : at + 20_000]
+                inside = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+                edge = np.repeat(first, some) + inside
+                own, lead = np.repeat(f["sid"][at : at + 20_000], some), np.flatnonzero(inside == 0)
+                cuts = np.stack([c.start[first], c.end[first + some + k - 2]], 1)
+                words = np.full(len(edge), None, object)
+                words[lead] = [raw[a:b].decode() for a, b in cuts.tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "e1": signed(e1[edge]), "e2": signed(e2[edge]), "u": signed(nodes[edge]), "v": signed(nodes[edge + 1]),
+                    "home": own * k + inside, "weight": np.repeat(f["weight"][at : at + 20_000], some), "words": pa.array(words, pa.string()),
+                })
+
+
+def _verified(c: Chunk, first: np.ndarray, n: np.ndarray, skip: np.ndarray, paths: pa.Array) -> np.ndarray:
+    """Whether the n words from each place of the chunk are those of the path's words from ``skip`` on."""
+    (p,) = chunks(paths, SPACED, AS_IS, limit=1 << 62)
+    other = p.first[:-1] + skip
+    a, b = c.start[first], p.start[other]
+    size = c.end[first + n - 1] - a
+    same = size == p.end[other + n - 1] - b
+    some = np.flatnonzero(same)
+    offsets = np.concatenate([[0], np.cumsum(size[some])])
+    step = np.arange(offsets[-1])
+    differ = np.flatnonzero(c.data[np.repeat(a[some] - offsets[:-1], size[some]) + step] != p.data[np.repeat(b[some] - offsets[:-1], size[some]) + step])
+    same[some[np.searchsorted(offsets, differ, "right") - 1]] = False
+    return same
 
 
 def _kept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """What is left of texts with listed repeated windows."""
+    """What is left of texts (t1, t2, words) without the listed stretches that have the words of their path."""
     for batch in batches:
         for c in chunks(batch.column(2), SPACED, AS_IS):
-            row, f = _lists(batch.column(3), c.rows)
+            n = c.rows.stop - c.rows.start
+            listed = batch.column(3).slice(c.rows.start, n)
+            row = np.repeat(np.arange(n), np.diff(listed.offsets.to_numpy()))
+            at, count, skip, paths = listed.flatten().flatten()
+            first, size = c.first[row] + at.to_numpy(), count.to_numpy() + k - 1
+            good = _verified(c, first, size, skip.to_numpy(), paths)
             cover = np.zeros(len(c.start) + 1, np.int64)
-            first = c.first[row] + f["at"]
-            np.add.at(cover, first, 1)
-            np.subtract.at(cover, first + f["n"] - 1 + k, 1)
+            np.add.at(cover, first[good], 1)
+            np.subtract.at(cover, first[good] + size[good], 1)
             gone = np.cumsum(cover[:-1]) > 0
-            data, offsets = joined(c, ~gone)
-            kept = string_array(data, offsets)
+            kept = string_array(*joined(c, ~gone))
             removed = np.concatenate([[0], np.cumsum(gone)])
             edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             # Spans don't cross texts: cut where a text begins.
@@ -147,7 +183,6 @@ def _kept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             text = np.searchsorted(c.first, begin, "right") - 1
             spans = pa.StructArray.from_arrays([pa.array(begin - c.first[text], pa.int32()), pa.array(end - c.first[text], pa.int32())], ["first", "stop"])
             sha = [hashlib.sha256(x.as_buffer()).hexdigest() if x.as_buffer() is not None else _EMPTY for x in kept.cast(pa.binary())]
-            n = c.rows.stop - c.rows.start
             yield pa.RecordBatch.from_pydict({
                 "t1": batch.column(0).slice(c.rows.start, n), "t2": batch.column(1).slice(c.rows.start, n),
                 "n_removed": np.diff(removed[c.first]), "kept_sha256": sha, "kept": kept,
@@ -155,6 +190,53 @@ def _kept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             })
 
 
+def _stretches(frame: DataFrame, group: str, at: str, n: str | int) -> DataFrame:
+    """Rows of a group (``at``, ``n`` edges, path, off) that continue each other along a path, put together."""
+    order, size = Window.partitionBy(group).orderBy(at), F.lit(n) if isinstance(n, int) else F.col(n)
+    ends = F.struct(F.col(at) + size, "path", F.col("off") + size)
+    fresh = F.coalesce(F.lag(ends).over(order) != F.struct(F.col(at), "path", "off"), F.lit(True))
+    numbered = frame.withColumn("_fresh", fresh.cast("long")).withColumn("_run", F.sum("_fresh").over(order))
+    return numbered.groupBy(group, "_run").agg(F.min(at).alias("at"), F.sum(size).cast("int").alias("n"), F.first("path").alias("path"), F.min("off").alias("off")).drop("_run")
+
+
+def compacted(edges: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
+    """The nonbranching paths of a graph with edges (e1, e2, home, u, v).
+
+    Returns the edges with their pieces (e1, e2, piece, i: the edge's place in it) and the pieces with
+    their place in a path (piece, n, path, off). A piece's id is the home of its first edge, a path's id its
+    first piece. Pieces of a circle, which has no beginning, are paths by themselves.
+    """
+    # One edge in, one edge out: the node is inside a path.
+    ends = edges.selectExpr("stack(2, u, 1, 0, v, 0, 1) as (node, outs, ins)").groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    inner = ends.filter("outs = 1 and ins = 1").select(F.col("node").alias("u"), F.lit(True).alias("inner"))
+    flagged = edges.join(inner, "u", "left").withColumn("strand", F.expr(f"home div {k}"))
+    order = Window.partitionBy("strand").orderBy("home")
+    begins = F.col("inner").isNull() | F.coalesce(F.lag("home").over(order) != F.col("home") - 1, F.lit(True))
+    pieced = flagged.withColumn("piece", F.when(begins, F.col("home"))).withColumn("piece", F.last("piece", True).over(order))
+    pieced = scratch.table(pieced.select("e1", "e2", "piece", (F.col("home") - F.col("piece")).cast("int").alias("i"), "u", "v", "inner"), "pieced")
+    pieces = pieced.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "u", "inner")).alias("head"), F.max(F.struct("i", "v")).alias("tail"))
+    pieces = scratch.table(pieces.select("piece", "n", "head.u", "head.inner", "tail.v"), "pieces")
+
+    # A piece's predecessor ends where it begins; pointers are doubled until all reach a path's first piece.
+    before = pieces.select(F.col("piece").alias("ptr"), F.col("n").alias("dist"), F.col("v").alias("u"))
+    after = pieces.filter("inner").select("piece", "u").join(before, "u").select("piece", "ptr", "dist")
+    first = pieces.select("piece").join(after, "piece", "left")
+    state = scratch.table(first.select("piece", F.coalesce("ptr", "piece").alias("ptr"), F.coalesce("dist", F.lit(0)).alias("dist"), F.col("ptr").isNull().alias("done")), "chain0")
+    left, step = state.filter("not done").count(), 0
+    while left:
+        ahead = state.select(F.col("piece").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        moved = state.filter("not done").join(ahead, "ptr").select("piece", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"))
+        state = scratch.table(state.filter("done").unionByName(moved), f"chain{step + 1}")
+        scratch.drop(f"chain{step}")
+        step += 1
+        now = state.filter("not done").count()
+        if now == left:  # only circles are left
+            break
+        left = now
+    placed = pieces.select("piece", "n").join(state, "piece")
+    return pieced.select("e1", "e2", "piece", "i"), placed.select("piece", "n", F.when(F.col("done"), F.col("ptr")).otherwise(F.col("piece")).alias("path"), F.when(F.col("done"), F.col("dist")).otherwise(0).alias("off"))
+
+
 def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMIZER) -> DataFrame:
     """One row for each distinct sequence of words of ``docs.text`` that has a repeated window.
 
@@ -162,33 +244,54 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     one space between), spans (first and stop word of each removed stretch).
     """
     long_texts = docs.select("text").mapInArrow(lambda it: _long_texts(it, k), "t1 long, t2 long, words string")
-    texts = scratch.table(long_texts.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words")), "texts")
-    found = texts.select("t1", "t2", "copies", "words").mapInArrow(lambda it: _paths(it, k, m), "m long, s1 long, s2 long, t1 long, t2 long, copies long, at int, n int")
-
-    # Nodes that repeat, and the paths through them.
-    nodes = scratch.table(found.groupBy("m").agg(F.sum("copies").alias("total")).filter("total > 1").select("m"), "nodes")
-    places = scratch.table(found.join(nodes, "m", "left_semi"), "places")
-    scratch.drop("nodes")
-    bundles = scratch.table(places.groupBy("m", "s1", "s2").agg(F.sum("copies").alias("weight"), F.min(F.struct("t1", "t2", "at", "n")).alias("source")), "bundles")
-
-    # Branches: expand one copy of each path from its source coordinates into single edges.
-    branching = scratch.table(bundles.filter("weight = 1").select("m").distinct(), "branching")
-    open_paths = bundles.join(branching, "m", "left_semi")
-    wanted = open_paths.groupBy("source.t1", "source.t2").agg(F.collect_list(F.struct("source.at", "source.n", "weight")).alias("paths"))
-    edges = scratch.table(texts.join(wanted, _KEY).select("t1", "t2", "words", "paths").mapInArrow(lambda it: _edges(it, k), "e1 long, e2 long, weight long, t1 long, t2 long, at int"), "edges")
-    twice = scratch.table(edges.groupBy("e1", "e2").agg(F.sum("weight").alias("total"), F.min("weight").alias("least")).filter("total > 1 and least = 1").select("e1", "e2"), "twice")
-    single = edges.filter("at >= 0").join(twice, ["e1", "e2"], "left_semi").select("t1", "t2", "at", F.lit(1).alias("n"))
-
-    # Paths that occur twice repeat as a whole, at all their places.
-    whole = places.filter("copies = 1").join(bundles.filter("weight > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("t1", "t2", "at", "n")
-    marks = whole.unionByName(single).groupBy(*_KEY).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    one = texts.filter("copies = 1").join(marks, _KEY).select("t1", "t2", "words", "marks")
+    texts = long_texts.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
+    texts = scratch.table(texts.select(F.monotonically_increasing_id().alias("tid"), *_KEY, "copies", "words"), "texts")
+
+    # Strands whose minimizer occurs more than once, and one source of each different one.
+    found = texts.select("tid", "copies", "words").mapInArrow(lambda it: _strands(it, k, m), "m long, s1 long, s2 long, tid long, copies long, at int, n int")
+    often = scratch.table(found.groupBy("m").agg(F.sum("copies").alias("total")).filter("total > 1").select("m"), "often")
+    places = scratch.table(found.join(often, "m", "left_semi").drop("m"), "places")
+    scratch.drop("often")
+    sources = places.groupBy("s1", "s2").agg(F.sum("copies").alias("weight"), F.min(F.struct("tid", "at", "n")).alias("source"))
+    sources = scratch.table(sources.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "weight", "source"), "sources")
+
+    # Their edges; those that occur more than once are the graph.
+    wanted = sources.groupBy("source.tid").agg(F.collect_list(F.struct("sid", "source.at", "source.n", "weight")).alias("strands"))
+    edges = texts.select("tid", "words").join(wanted, "tid").select("words", "strands").mapInArrow(lambda it: _edges(it, k), "e1 long, e2 long, u long, v long, home long, weight long, words string")
+    edges = scratch.table(edges, "edges")
+    graph = edges.groupBy("e1", "e2").agg(F.sum("weight").alias("total"), F.min("home").alias("home"), F.first("u").alias("u"), F.first("v").alias("v")).filter("total > 1").drop("total")
+    pieced, pieces = compacted(scratch.table(graph, "graph"), scratch, k)
+    pieces = scratch.table(pieces, "placed")
+    scratch.drop("graph")
+
+    # Where each strand runs along which path, and so each of its places.
+    along = edges.select("e1", "e2", "home").join(pieced, ["e1", "e2"]).select("home", "piece", "i").join(pieces.select("piece", "path", "off"), "piece")
+    along = along.select(F.expr(f"home div {k}").alias("sid"), F.expr(f"cast(home % {k} as int)").alias("rel"), "path", (F.col("off") + F.col("i")).alias("off"))
+    runs = _stretches(along, "sid", "rel", 1).groupBy("sid").agg(F.collect_list(F.struct("at", "n", "path", "off")).alias("runs"))
+    runs = scratch.table(sources.select("sid", "s1", "s2").join(runs, "sid").drop("sid"), "runs")
+    marks = places.filter("copies = 1").select("s1", "s2", "tid", F.col("at").alias("begin")).join(runs, ["s1", "s2"]).select("tid", "begin", F.explode("runs").alias("r"))
+    marks = marks.select("tid", (F.col("begin") + F.col("r.at")).alias("at"), "r.n", "r.path", "r.off")
+
+    # Paths in blocks, with their words from the sources of their pieces.
+    lead = edges.filter("words is not null").select(F.expr(f"home div {k}").alias("sid"), "words")
+    own = pieces.withColumn("sid", F.expr(f"piece div {k}")).join(lead, "sid").withColumn("ws", F.slice(F.split("words", " "), F.expr(f"cast(piece % {k} as int) + 1"), F.expr(f"cast(n as int) + {k - 1}")))
+    cut = F.sequence(F.expr(f"off div {BLOCK}"), F.expr(f"(off + n - 1) div {BLOCK}"))
+    blocks = own.select("path", F.explode(cut).alias("block"), F.struct("off", "n", "ws").alias("p")).groupBy("path", "block").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    joined_words = F.expr(f"array_join(concat(flatten(transform(ps, p -> slice(p.ws, 1, cast(p.n as int)))), slice(element_at(ps, -1).ws, cast(element_at(ps, -1).n as int) + 1, {k - 1})), ' ')")
+    blocks = scratch.table(blocks.select("path", "block", F.expr("ps[0].off").alias("base"), joined_words.alias("path_words")), "blocks")
+    scratch.drop("edges", "pieced", "pieces", "placed")
+
+    long = _stretches(marks, "tid", "at", "n").withColumn("block", F.explode(cut))
+    begin, end = F.greatest(F.col("off"), F.col("block") * BLOCK), F.least(F.col("off") + F.col("n"), (F.col("block") + 1) * BLOCK)
+    long = long.select("tid", (F.col("at") + begin - F.col("off")).cast("int").alias("at"), (end - begin).cast("int").alias("n"), begin.alias("off"), "path", "block")
+    listed = long.join(blocks, ["path", "block"]).groupBy("tid").agg(F.collect_list(F.struct("at", "n", (F.col("off") - F.col("base")).cast("int").alias("skip"), "path_words")).alias("stretches"))
+    one = texts.filter("copies = 1").select("tid", *_KEY, "words").join(listed, "tid").select(*_KEY, "words", "stretches")
     once = one.mapInArrow(lambda it: _kept(it, k), "t1 long, t2 long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:int,stop:int>>")
     n_words = (F.length("words") - F.length(F.translate("words", " ", "")) + 1).cast("long")
     spans = F.array(F.struct(F.lit(0).alias("first"), n_words.cast("int").alias("stop")))
     copied = texts.filter("copies > 1").select("t1", "t2", n_words.alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), F.lit("").alias("kept"), spans.alias("spans"))
     out = scratch.table(once.unionByName(copied), "repeated")
-    scratch.drop("texts", "places", "bundles", "branching", "edges", "twice")
+    scratch.drop("texts", "places", "sources", "runs", "blocks")
     return out
 
 
@@ -196,7 +299,8 @@ def substring_digests(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> Dat
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and the removed spans.
 
     A null text has no words, an empty one neither; texts of fewer than k words lose nothing. Rows that
-    repeat, also with one doc_id or none, count as different documents with equal words.
+    repeat, also with one doc_id or none, count as different documents with equal words. An empty table
+    gives no row, and other columns of ``docs`` are left out, whatever their names.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = repeated(own, scratch, k).select("t1", "t2", "n_removed", "kept_sha256", "spans")
@@ -210,7 +314,7 @@ def substring_digests(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> Dat
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column(batch.schema.get_field_index("text")), SPACED, AS_IS):
-            t1, t2 = _fingerprints(c)
+            t1, t2 = _fingerprints(_words_digests(c)[2])
             yield pa.RecordBatch.from_arrays([*(x.slice(c.rows.start, c.rows.stop - c.rows.start) for x in batch.columns), pa.array(t1), pa.array(t2)], names=[*batch.schema.names, "_t1", "_t2"])
 
 

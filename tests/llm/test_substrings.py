@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 
+import pyarrow as pa
+
 from auditloom.llm.scratch import Scratch
-from auditloom.llm.substrings import substring_digests
+from auditloom.llm.substrings import _kept, compacted, substring_digests
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,3 +74,57 @@ def test_few_different_words(spark):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == brute([(1, None)], 35)
+
+
+def brute_paths(edges):
+    """The nonbranching paths of edges (name, u, v) that have a beginning."""
+    into, out = {}, {}
+    for e, u, v in edges:
+        out.setdefault(u, []).append(e)
+        into.setdefault(v, []).append(e)
+    inner = {x for x in out if len(out[x]) == 1 and len(into.get(x, ())) == 1}
+    ends = {e: (u, v) for e, u, v in edges}
+    found = []
+    for e, (u, _) in ends.items():
+        if u not in inner:
+            path = [e]
+            while ends[path[-1]][1] in inner:
+                path.append(out[ends[path[-1]][1]][0])
+            found.append(tuple(path))
+    return sorted(found)
+
+
+def test_paths_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    k, homes = 6, {}
+    texts = [rng.integers(0, 3, rng.integers(10, 90)).tolist() for _ in range(25)] + [[0, 1, 2, 3, 4, 5] * 4, list(range(10, 400)), [*range(100, 140), *range(700, 730)], [8] * 30]
+    for t, w in enumerate(texts):
+        for i in range(len(w) - k + 1):
+            # Strands of up to 5 edges.
+            homes.setdefault(tuple(w[i : i + k]), (t * 100 + i // 5) * k + i % 5)
+    names = {e: n for n, e in enumerate(sorted(homes))}
+    nodes = {x: n for n, x in enumerate(sorted({e[:-1] for e in names} | {e[1:] for e in names}))}
+    edges = [(n, nodes[e[:-1]], nodes[e[1:]]) for e, n in names.items()]
+    rows = [(n, 0, homes[e], nodes[e[:-1]], nodes[e[1:]]) for e, n in names.items()]
+    pieced, pieces = compacted(spark.createDataFrame(rows, "e1 long, e2 long, home long, u long, v long"), Scratch(spark, "t"), k)
+    place = {r.piece: (r.path, r.off) for r in pieces.collect()}
+    found = {}
+    for r in pieced.collect():
+        path, off = place[r.piece]
+        found.setdefault(path, []).append((off + r.i, r.e1))
+    paths = []
+    for path in found.values():
+        assert [i for i, _ in sorted(path)] == list(range(len(path)))
+        paths.append(tuple(e for _, e in sorted(path)))
+    want = brute_paths(edges)
+    circles = set(names.values()) - {e for p in want for e in p}
+    assert circles and sorted(p for p in paths if p[0] not in circles) == want and max(map(len, want)) > 200
+
+
+def test_stretches_with_other_words_stay():
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("skip", pa.int32()), ("path_words", pa.string())]))
+    text = "a b c d e f g h"
+    for path, skip, removed in (("a b c d", 0, 4), ("x a b c d", 1, 4), ("a b c x", 0, 0), ("a bb c d", 0, 0), ("a b cd d", 0, 0)):
+        batch = pa.RecordBatch.from_pydict({"t1": [1], "t2": [2], "words": [text], "stretches": pa.array([[{"at": 0, "n": 2, "skip": skip, "path_words": path}]], kind)})
+        (out,) = _kept([batch], 3)
+        assert out.column("n_removed").to_pylist() == [removed] and out.column("kept").to_pylist() == [" ".join(text.split()[removed:])]
