@@ -3,11 +3,13 @@
 Edges are the runs of k words, nodes the runs of k - 1 words at their ends; what is wanted are the edges
 that occur twice.
 
-1. Equal texts are one text with a count. An edge can repeat only where its minimizer does, the least of
-   its runs of m words by hash, so a text's neighbouring edges of one minimizer are a strand, one row for
-   about a dozen edges, and strands whose minimizer occurs once are left out.
-2. One copy of each different strand is expanded from its source coordinates into edges. Edges are counted
-   by 128-bit hashes, with the weight of their strands; those counted twice are the graph.
+1. Equal texts are one text with a count. A text's neighbouring nodes that have one minimizer, the least of
+   their runs of m words by hash, are a strand; it owns the edges that leave them. All occurrences of a
+   node have its minimizer, so strands whose minimizer occurs once are left out, and where all strands of
+   a minimizer are equal, with the words before and behind them, no node inside has a second edge.
+2. One copy of each different strand is read from its source coordinates: one of a minimizer that has no
+   other becomes one compacted edge, others are expanded into edges. These are counted by 128-bit hashes,
+   with the weight of their strands; those counted twice are the graph.
 3. In- and out-degrees of the nodes are counted. Edges that follow each other through a node with one
    edge in and one out are a piece; pieces are compacted into nonbranching paths by joins of end node with
    begin node and pointer doubling: each round of joins doubles the pieces that are put together.
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from .columns import sheltered
 from .known import release
 from .scratch import Scratch
-from .words import AS_IS, FIRST, SECOND, SPACED, Chunk, chunks, joined, run_hashes, signed, span_hashes, string_array
+from .words import AS_IS, FIRST, SECOND, SPACED, Chunk, chunks, joined, mix, run_hashes, signed, span_hashes, string_array
 
-WINDOW, MINIMIZER = 35, 12
+WINDOW, MINIMIZER = 35, 16
 #: Edges of a path that are compared with texts as one.
 BLOCK = 256
 _KEY = ["t1", "t2"]
@@ -82,21 +84,30 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def strands(chunk: Chunk, h1: np.ndarray, h2: np.ndarray, k: int, m: int) -> dict[str, np.ndarray]:
-    """The strands of a chunk's texts: minimizer, hashes, text, first edge (a word of the text), number of edges."""
-    n = len(h1)
-    if n < k:
+    """The strands of a chunk's texts: minimizer, hashes, text, first node (a word of the text), number of edges owned.
+
+    The hashes are of all words of the strand's edges, the one into its first node included, and tell a text's ends.
+    """
+    n, width = len(h1), k - 1
+    start = np.arange(n - width + 1) if n >= width else np.zeros(0, np.int64)
+    start = start[start + width <= chunk.last()[: len(start)]]
+    if not len(start):
         none = np.zeros(0, np.int64)
         return {"m": none, "s1": none, "s2": none, "text": none, "at": none, "n": none}
     grams = run_hashes(h1, m)
     # The upper half orders, the place decides ties: the leftmost.
-    least = _sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams)).astype(np.uint64), k - m + 1) & np.uint64(0xFFFFFFFF)
-    start = np.arange(n - k + 1)
-    start = start[start + k <= chunk.last()[: n - k + 1]]
+    least = _sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams)).astype(np.uint64), width - m + 1) & np.uint64(0xFFFFFFFF)
     place = least[start].astype(np.int64)
-    turn = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-    a, count = start[turn], np.diff(np.concatenate([turn, [len(place)]]))
-    end, text = a + count - 1 + k, np.searchsorted(chunk.first, a, "right") - 1
-    return {"m": grams[place[turn]], "s1": span_hashes(h1, a, end, FIRST), "s2": span_hashes(h2, a, end, SECOND), "text": text, "at": a - chunk.first[text], "n": count}
+    turn = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    a, nodes = start[turn], np.diff(np.concatenate([turn, [len(place)]]))
+    text = np.searchsorted(chunk.first, a, "right") - 1
+    before, stop = np.maximum(a - 1, chunk.first[text]), a + nodes + width
+    end = np.minimum(stop, chunk.first[text + 1])
+    ends = (before == a).astype(np.uint64) + np.uint64(2) * (end < stop)
+    return {
+        "m": grams[place[turn]], "s1": mix(span_hashes(h1, before, end, FIRST) + ends), "s2": mix(span_hashes(h2, before, end, SECOND) + ends),
+        "text": text, "at": a - chunk.first[text], "n": end - a - width,
+    }
 
 
 def _strands(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
@@ -117,28 +128,27 @@ def _lists(column: pa.Array, rows: slice) -> tuple[np.ndarray, dict[str, np.ndar
 
 
 def _edges(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The edges of listed strands with their nodes; a strand's first edge carries the strand's words.
+    """The edges of listed strands with their nodes; a strand that is alone is one edge of several.
 
-    An edge's ``home`` is k times its strand plus its place in the strand.
+    An edge's ``home`` is k times its strand plus its place in the strand; the first one carries the strand's words.
     """
     for batch in batches:
         for c in chunks(batch.column(0), SPACED, AS_IS):
             row, f = _lists(batch.column(1), c.rows)
             h1, h2 = c.hashes(FIRST), c.hashes(SECOND)
-            e1, e2, nodes = run_hashes(h1, k), run_hashes(h2, k, SECOND), run_hashes(h1, k - 1)
-            begin, n, raw = c.first[row] + f["at"], f["n"].astype(np.int64), c.data.tobytes()
+            e1, e2, nodes, raw = signed(run_hashes(h1, k)), signed(run_hashes(h2, k, SECOND)), signed(run_hashes(h1, k - 1)), c.data.tobytes()
             # A few strands of a text at a time: all of a long text's edges would be many rows.
-            for at in range(0, len(n), 20_000):
-                some, first = n[at : at + 20_000], begin[at : at + 20_000]
-                inside = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-                edge = np.repeat(first, some) + inside
-                own, lead = np.repeat(f["sid"][at : at + 20_000], some), np.flatnonzero(inside == 0)
-                cuts = np.stack([c.start[first], c.end[first + some + k - 2]], 1)
+            for at in range(0, len(row), 20_000):
+                sid, n, weight, alone = (f[name][at : at + 20_000] for name in ("sid", "n", "weight", "alone"))
+                alone, n = alone.astype(bool), n.astype(np.int64)
+                first, some = c.first[row[at : at + 20_000]] + f["at"][at : at + 20_000], np.where(alone, np.minimum(n, 1), n)
+                inside, whole = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some), np.repeat(alone, some)
+                edge, own, size = np.repeat(first, some) + inside, np.repeat(sid, some), np.where(whole, np.repeat(n, some), 1)
                 words = np.full(len(edge), None, object)
-                words[lead] = [raw[a:b].decode() for a, b in cuts.tolist()]
+                words[inside == 0] = [raw[a:b].decode() for a, b in zip(c.start[first[some > 0]].tolist(), c.end[(first + n + k - 2)[some > 0]].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
-                    "e1": signed(e1[edge]), "e2": signed(e2[edge]), "u": signed(nodes[edge]), "v": signed(nodes[edge + 1]),
-                    "home": own * k + inside, "weight": np.repeat(f["weight"][at : at + 20_000], some), "words": pa.array(words, pa.string()),
+                    "e1": np.where(whole, own, e1[edge]), "e2": np.where(whole, -1, e2[edge]), "u": nodes[edge], "v": nodes[edge + size],
+                    "home": own * k + inside, "n": pa.array(size, pa.int32()), "weight": np.repeat(weight, some), "words": pa.array(words, pa.string()),
                 })
 
 
@@ -190,17 +200,17 @@ def _kept(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             })
 
 
-def _stretches(frame: DataFrame, group: str, at: str, n: str | int) -> DataFrame:
+def _stretches(frame: DataFrame, group: str, at: str) -> DataFrame:
     """Rows of a group (``at``, ``n`` edges, path, off) that continue each other along a path, put together."""
-    order, size = Window.partitionBy(group).orderBy(at), F.lit(n) if isinstance(n, int) else F.col(n)
-    ends = F.struct(F.col(at) + size, "path", F.col("off") + size)
+    order = Window.partitionBy(group).orderBy(at)
+    ends = F.struct(F.col(at) + F.col("n"), "path", F.col("off") + F.col("n"))
     fresh = F.coalesce(F.lag(ends).over(order) != F.struct(F.col(at), "path", "off"), F.lit(True))
     numbered = frame.withColumn("_fresh", fresh.cast("long")).withColumn("_run", F.sum("_fresh").over(order))
-    return numbered.groupBy(group, "_run").agg(F.min(at).alias("at"), F.sum(size).cast("int").alias("n"), F.first("path").alias("path"), F.min("off").alias("off")).drop("_run")
+    return numbered.groupBy(group, "_run").agg(F.min(at).alias("at"), F.sum("n").cast("int").alias("n"), F.first("path").alias("path"), F.min("off").alias("off")).drop("_run")
 
 
 def compacted(edges: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
-    """The nonbranching paths of a graph with edges (e1, e2, home, u, v).
+    """The nonbranching paths of a graph with edges (e1, e2, home, u, v, n: how many edges it stands for).
 
     Returns the edges with their pieces (e1, e2, piece, i: the edge's place in it) and the pieces with
     their place in a path (piece, n, path, off). A piece's id is the home of its first edge, a path's id its
@@ -213,8 +223,8 @@ def compacted(edges: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, Da
     order = Window.partitionBy("strand").orderBy("home")
     begins = F.col("inner").isNull() | F.coalesce(F.lag("home").over(order) != F.col("home") - 1, F.lit(True))
     pieced = flagged.withColumn("piece", F.when(begins, F.col("home"))).withColumn("piece", F.last("piece", True).over(order))
-    pieced = scratch.table(pieced.select("e1", "e2", "piece", (F.col("home") - F.col("piece")).cast("int").alias("i"), "u", "v", "inner"), "pieced")
-    pieces = pieced.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "u", "inner")).alias("head"), F.max(F.struct("i", "v")).alias("tail"))
+    pieced = scratch.table(pieced.select("e1", "e2", "piece", (F.col("home") - F.col("piece")).cast("int").alias("i"), "u", "v", "n", "inner"), "pieced")
+    pieces = pieced.groupBy("piece").agg(F.sum("n").alias("n"), F.min(F.struct("i", "u", "inner")).alias("head"), F.max(F.struct("i", "v")).alias("tail"))
     pieces = scratch.table(pieces.select("piece", "n", "head.u", "head.inner", "tail.v"), "pieces")
 
     # A piece's predecessor ends where it begins; pointers are doubled until all reach a path's first piece.
@@ -248,26 +258,28 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     texts = scratch.table(texts.select(F.monotonically_increasing_id().alias("tid"), *_KEY, "copies", "words"), "texts")
 
     # Strands whose minimizer occurs more than once, and one source of each different one.
-    found = texts.select("tid", "copies", "words").mapInArrow(lambda it: _strands(it, k, m), "m long, s1 long, s2 long, tid long, copies long, at int, n int")
+    found = texts.select("tid", "copies", "words").mapInArrow(lambda it: _strands(it, k, min(m, k // 2)), "m long, s1 long, s2 long, tid long, copies long, at int, n int")
     often = scratch.table(found.groupBy("m").agg(F.sum("copies").alias("total")).filter("total > 1").select("m"), "often")
-    places = scratch.table(found.join(often, "m", "left_semi").drop("m"), "places")
+    places = scratch.table(found.join(often, "m", "left_semi"), "places")
     scratch.drop("often")
-    sources = places.groupBy("s1", "s2").agg(F.sum("copies").alias("weight"), F.min(F.struct("tid", "at", "n")).alias("source"))
-    sources = scratch.table(sources.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "weight", "source"), "sources")
+    sources = places.groupBy("s1", "s2").agg(F.first("m").alias("m"), F.sum("copies").alias("weight"), F.min(F.struct("tid", "at", "n")).alias("source"))
+    sources = scratch.table(sources.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "m", "weight", "source"), "sources")
 
     # Their edges; those that occur more than once are the graph.
-    wanted = sources.groupBy("source.tid").agg(F.collect_list(F.struct("sid", "source.at", "source.n", "weight")).alias("strands"))
-    edges = texts.select("tid", "words").join(wanted, "tid").select("words", "strands").mapInArrow(lambda it: _edges(it, k), "e1 long, e2 long, u long, v long, home long, weight long, words string")
+    alone = sources.groupBy("m").agg(F.count(F.lit(1)).alias("strands")).filter("strands = 1").select("m", F.lit(1).alias("alone"))
+    mine = sources.filter("source.n > 0").join(alone, "m", "left")
+    wanted = mine.groupBy("source.tid").agg(F.collect_list(F.struct("sid", "source.at", "source.n", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))).alias("strands"))
+    edges = texts.select("tid", "words").join(wanted, "tid").select("words", "strands").mapInArrow(lambda it: _edges(it, k), "e1 long, e2 long, u long, v long, home long, n int, weight long, words string")
     edges = scratch.table(edges, "edges")
-    graph = edges.groupBy("e1", "e2").agg(F.sum("weight").alias("total"), F.min("home").alias("home"), F.first("u").alias("u"), F.first("v").alias("v")).filter("total > 1").drop("total")
+    graph = edges.groupBy("e1", "e2").agg(F.sum("weight").alias("total"), F.min("home").alias("home"), F.first("u").alias("u"), F.first("v").alias("v"), F.first("n").alias("n")).filter("total > 1").drop("total")
     pieced, pieces = compacted(scratch.table(graph, "graph"), scratch, k)
     pieces = scratch.table(pieces, "placed")
     scratch.drop("graph")
 
     # Where each strand runs along which path, and so each of its places.
-    along = edges.select("e1", "e2", "home").join(pieced, ["e1", "e2"]).select("home", "piece", "i").join(pieces.select("piece", "path", "off"), "piece")
-    along = along.select(F.expr(f"home div {k}").alias("sid"), F.expr(f"cast(home % {k} as int)").alias("rel"), "path", (F.col("off") + F.col("i")).alias("off"))
-    runs = _stretches(along, "sid", "rel", 1).groupBy("sid").agg(F.collect_list(F.struct("at", "n", "path", "off")).alias("runs"))
+    along = edges.select("e1", "e2", "home", "n").join(pieced, ["e1", "e2"]).select("home", "n", "piece", "i").join(pieces.select("piece", "path", "off"), "piece")
+    along = along.select(F.expr(f"home div {k}").alias("sid"), F.expr(f"cast(home % {k} as int)").alias("rel"), "n", "path", (F.col("off") + F.col("i")).alias("off"))
+    runs = _stretches(along, "sid", "rel").groupBy("sid").agg(F.collect_list(F.struct("at", "n", "path", "off")).alias("runs"))
     runs = scratch.table(sources.select("sid", "s1", "s2").join(runs, "sid").drop("sid"), "runs")
     marks = places.filter("copies = 1").select("s1", "s2", "tid", F.col("at").alias("begin")).join(runs, ["s1", "s2"]).select("tid", "begin", F.explode("runs").alias("r"))
     marks = marks.select("tid", (F.col("begin") + F.col("r.at")).alias("at"), "r.n", "r.path", "r.off")
@@ -281,7 +293,7 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     blocks = scratch.table(blocks.select("path", "block", F.expr("ps[0].off").alias("base"), joined_words.alias("path_words")), "blocks")
     scratch.drop("edges", "pieced", "pieces", "placed")
 
-    long = _stretches(marks, "tid", "at", "n").withColumn("block", F.explode(cut))
+    long = _stretches(marks, "tid", "at").withColumn("block", F.explode(cut))
     begin, end = F.greatest(F.col("off"), F.col("block") * BLOCK), F.least(F.col("off") + F.col("n"), (F.col("block") + 1) * BLOCK)
     long = long.select("tid", (F.col("at") + begin - F.col("off")).cast("int").alias("at"), (end - begin).cast("int").alias("n"), begin.alias("off"), "path", "block")
     listed = long.join(blocks, ["path", "block"]).groupBy("tid").agg(F.collect_list(F.struct("at", "n", (F.col("off") - F.col("base")).cast("int").alias("skip"), "path_words")).alias("stretches"))

@@ -105,8 +105,8 @@ def test_paths_equal_brute_force(spark):
     names = {e: n for n, e in enumerate(sorted(homes))}
     nodes = {x: n for n, x in enumerate(sorted({e[:-1] for e in names} | {e[1:] for e in names}))}
     edges = [(n, nodes[e[:-1]], nodes[e[1:]]) for e, n in names.items()]
-    rows = [(n, 0, homes[e], nodes[e[:-1]], nodes[e[1:]]) for e, n in names.items()]
-    pieced, pieces = compacted(spark.createDataFrame(rows, "e1 long, e2 long, home long, u long, v long"), Scratch(spark, "t"), k)
+    rows = [(n, 0, homes[e], nodes[e[:-1]], nodes[e[1:]], 1) for e, n in names.items()]
+    pieced, pieces = compacted(spark.createDataFrame(rows, "e1 long, e2 long, home long, u long, v long, n int"), Scratch(spark, "t"), k)
     place = {r.piece: (r.path, r.off) for r in pieces.collect()}
     found = {}
     for r in pieced.collect():
