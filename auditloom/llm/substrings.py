@@ -255,7 +255,7 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     """
     long_texts = docs.select("text").mapInArrow(lambda it: _long_texts(it, k), "t1 long, t2 long, words string")
     texts = long_texts.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
-    texts = scratch.table(texts.select(F.monotonically_increasing_id().alias("tid"), *_KEY, "copies", "words"), "texts")
+    texts = scratch.table(texts.select(F.monotonically_increasing_id().alias("tid"), *_KEY, "copies", "words"), "texts", "zstd")
 
     # Strands whose minimizer occurs more than once, and one source of each different one.
     found = texts.select("tid", "copies", "words").mapInArrow(lambda it: _strands(it, k, min(m, k // 2)), "m long, s1 long, s2 long, tid long, copies long, at int, n int")
@@ -266,11 +266,11 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     sources = scratch.table(sources.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "m", "weight", "source"), "sources")
 
     # Their edges; those that occur more than once are the graph.
-    alone = sources.groupBy("m").agg(F.count(F.lit(1)).alias("strands")).filter("strands = 1").select("m", F.lit(1).alias("alone"))
-    mine = sources.filter("source.n > 0").join(alone, "m", "left")
+    alone = sources.groupBy("m").agg(F.count(F.lit(1)).alias("strands"), F.min("sid").alias("sid")).filter("strands = 1").select("sid", F.lit(1).alias("alone"))
+    mine = sources.filter("source.n > 0").join(alone, "sid", "left")
     wanted = mine.groupBy("source.tid").agg(F.collect_list(F.struct("sid", "source.at", "source.n", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))).alias("strands"))
     edges = texts.select("tid", "words").join(wanted, "tid").select("words", "strands").mapInArrow(lambda it: _edges(it, k), "e1 long, e2 long, u long, v long, home long, n int, weight long, words string")
-    edges = scratch.table(edges, "edges")
+    edges = scratch.table(edges, "edges", "zstd")
     graph = edges.groupBy("e1", "e2").agg(F.sum("weight").alias("total"), F.min("home").alias("home"), F.first("u").alias("u"), F.first("v").alias("v"), F.first("n").alias("n")).filter("total > 1").drop("total")
     pieced, pieces = compacted(scratch.table(graph, "graph"), scratch, k)
     pieces = scratch.table(pieces, "placed")
@@ -293,7 +293,9 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     blocks = scratch.table(blocks.select("path", "block", F.expr("ps[0].off").alias("base"), joined_words.alias("path_words")), "blocks")
     scratch.drop("edges", "pieced", "pieces", "placed")
 
-    long = _stretches(marks, "tid", "at").withColumn("block", F.explode(cut))
+    long = scratch.table(_stretches(marks, "tid", "at"), "long")
+    scratch.drop("places", "sources", "runs")
+    long = long.withColumn("block", F.explode(cut))
     begin, end = F.greatest(F.col("off"), F.col("block") * BLOCK), F.least(F.col("off") + F.col("n"), (F.col("block") + 1) * BLOCK)
     long = long.select("tid", (F.col("at") + begin - F.col("off")).cast("int").alias("at"), (end - begin).cast("int").alias("n"), begin.alias("off"), "path", "block")
     listed = long.join(blocks, ["path", "block"]).groupBy("tid").agg(F.collect_list(F.struct("at", "n", (F.col("off") - F.col("base")).cast("int").alias("skip"), "path_words")).alias("stretches"))
@@ -303,7 +305,7 @@ def repeated(docs: DataFrame, scratch: Scratch, k: int = WINDOW, m: int = MINIMI
     spans = F.array(F.struct(F.lit(0).alias("first"), n_words.cast("int").alias("stop")))
     copied = texts.filter("copies > 1").select("t1", "t2", n_words.alias("n_removed"), F.lit(_EMPTY).alias("kept_sha256"), F.lit("").alias("kept"), spans.alias("spans"))
     out = scratch.table(once.unionByName(copied), "repeated")
-    scratch.drop("texts", "places", "sources", "runs", "blocks")
+    scratch.drop("texts", "blocks", "long")
     return out
 
 
