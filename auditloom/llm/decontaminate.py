@@ -268,6 +268,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = ITEM
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = ITEMS, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, in which fewer than ``least_items`` items have a window."""
+    """The rows of ``docs``, all columns, without those that hold passages of the benchmark.
+
+    A row goes if it has ``width`` consecutive words of any one item, or windows of ``least_items`` items: items
+    of fewer words than ``width`` are windows as a whole, and one of them alone may be chance. Null and empty
+    texts stay, as does every row where the benchmark is empty.
+    """
     own, restored = sheltered(docs, "text")
-    return restored(find_benchmark(own, benchmark, width).filter(F.size(F.array_distinct("_items")) < least_items))
+    found = find_benchmark(own, benchmark, width)
+    clean = (F.coalesce(F.col("_longest.length"), F.lit(0)) < width) & (F.size(F.array_distinct("_items")) < least_items)
+    return restored(found.filter(clean))

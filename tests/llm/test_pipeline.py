@@ -74,8 +74,9 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
                 assert removed or text == old[i]
             assert all(r.n_chars == len(r.text) for r in after.collect())
         elif name == "benchmark":
-            bad = {r[0] for r in test_decontaminate.brute(before, items) if r[5]}
-            assert bad and pairs(after) == [x for x in before if x[0] not in bad]
+            one = {r[0] for r in test_decontaminate.brute(before, items) if r[3] == 1}
+            bad = test_decontaminate.holding(before, items)
+            assert one & bad and pairs(after) == [x for x in before if x[0] not in bad]
         else:
             assert sorted(r.doc_id for r in after.collect()) == sorted(x[0] for x in before)
         docs = after
@@ -83,6 +84,20 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     assert whole == sorted(map(tuple, docs.collect()))
 
 
+def test_benchmark_stage_alone(spark, tmp_path):
+    rows, items = corpus()
+    items = [*items, (90, "short item"), (91, "three more words"), (92, None), (93, "")]
+    rows = [(i, t, lang) for i, t, lang in rows] + [(200, "a short item here", "en"), (201, "short item and three more words", "en"), (202, "x " * 40_000 + items[2][1], "en"), (203, "x " * 40_000, "en")]
+    folder, docs = stages(spark, rows, items, tmp_path)
+    before, bad = pairs(docs), test_decontaminate.holding([(i, t) for i, t, _ in rows], items)
+    assert {201, 202} <= bad and not {200, 203, 102, 104} & bad
+    assert pairs(corpus_pipeline.benchmark(spark, docs, folder)) == [x for x in before if x[0] not in bad]
+    folder, docs = stages(spark, rows, items[:0] or [(0, None)], tmp_path)
+    assert pairs(corpus_pipeline.benchmark(spark, docs, folder)) == before
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    assert pairs(corpus_pipeline.benchmark(spark, docs, folder)) == before
+
+
 def test_empty_documents(spark, tmp_path):
     folder, _ = stages(spark, [], corpus()[1], tmp_path)
     assert corpus_pipeline.run(spark, folder).count() == 0
