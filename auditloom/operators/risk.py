@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from auditloom.functions.deletes import classify_delete
+from auditloom.functions.deletes import delete_verdict, once
 from auditloom.operators.effects import backslashes
 from auditloom.schemas import SEVERITIES
 
@@ -67,58 +63,61 @@ def outside_workspace(path: Column, cwd: Column) -> Column:
     return F.coalesce((cwd != "") & ~p.startswith(F.concat(root, F.lit("\\"))) & (p != root), F.lit(False))
 
 
-_VERDICTS = T.ArrayType(T.StructType([T.StructField("severity", T.StringType()), T.StructField("flag", T.StringType())]))
-_BY_TARGET = [(re.compile(p, re.IGNORECASE | re.ASCII), n) for p, n in DESTRUCTIVE if n in BY_TARGET]
+_VERDICTS = "array<struct<severity:string,flag:string>>"
+
+
+def delete_verdicts(command: Column, cwd: Column) -> Column:
+    """The verdicts on the first recursive delete of each kind that a command has."""
 
+    def one(pattern: str) -> Column:
+        at = F.regexp_instr(command, F.lit(f"(?i){pattern}"))
+        return F.when(at > 0, delete_verdict(command, cwd, at - 1))
 
-@F.pandas_udf(_VERDICTS)
-def delete_verdicts(command: pd.Series, cwd: pd.Series) -> pd.Series:
-    """The verdicts on a command's recursive deletes; only rows that have one get here."""
+    return F.filter(F.array(*[one(p) for p, n in DESTRUCTIVE if n in BY_TARGET]), lambda v: v.isNotNull())
 
-    def one(text: str, home: str | None) -> list[dict[str, str]]:
-        found = [p.search(text) for p, _ in _BY_TARGET]
-        return [dict(zip(("severity", "flag"), classify_delete(text, home, m.start()), strict=True)) for m in found if m]
 
-    return pd.Series([one(c, h) for c, h in zip(command, cwd, strict=True)])
+def has_delete(source: Column) -> Column:
+    return source.rlike("(?i)" + "|".join(f"(?:{p})" for p, n in DESTRUCTIVE if n in BY_TARGET))
 
 
 def delete_targets(effects: DataFrame) -> DataFrame:
     """Shell effects with a recursive delete, and the verdict on each."""
-    has = F.col("source").rlike("(?i)" + "|".join(f"(?:{p})" for p, n in DESTRUCTIVE if n in BY_TARGET))
-    return effects.filter((F.col("kind") == "shell") & has).withColumn("verdicts", delete_verdicts("source", "cwd"))
+    return effects.filter((F.col("kind") == "shell") & has_delete(F.col("source"))).withColumn("verdicts", delete_verdicts(F.col("source"), F.col("cwd")))
 
 
-def assess(effects: DataFrame) -> DataFrame:
-    """``effects`` (kind, fidelity, path, source, undecidable, cwd) with severity and flags.
-
-    All but the recursive deletes' targets is a few projections. Rows with such a delete, a small part, go
-    through the target reader; the others don't leave the generated code.
-    """
-    kind, path, source = F.col("kind"), F.col("path"), F.col("source")
-    shell = (kind == "shell") & (source != "")
-    has = F.coalesce(shell & source.rlike("(?i)" + "|".join(f"(?:{p})" for p, n in DESTRUCTIVE if n in BY_TARGET)), F.lit(False))
-    by_target = effects.filter(has).withColumn("_verdicts", delete_verdicts("source", "cwd"))
-    every = effects.filter(~has).withColumn("_verdicts", F.array().cast(_VERDICTS)).unionByName(by_target)
-
-    # What is looked up once, in columns of their own: expressions that use them twice don't repeat it.
+def assessed(kind: Column, fidelity: Column, path: Column, source: Column, undecidable: Column, cwd: Column) -> Column:
+    """Severity and flags (a struct) of one effect; only commands with a recursive delete have their targets read."""
+    shell, writes = F.coalesce((kind == "shell") & (source != ""), F.lit(False)), kind.isin("write", "edit")
     destroys = F.array(*[F.when(source.rlike(f"(?i){p}"), n) for p, n in DESTRUCTIVE if n not in BY_TARGET])
-    found = every.withColumns({
-        "_sensitive": sensitive_flag(F.when(path != "", path)), "_outside": kind.isin("write", "edit") & F.when(path != "", outside_workspace(path, F.col("cwd"))).otherwise(F.lit(False)),
-        "_destroys": F.when(shell, F.filter(destroys, lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>")),
-    })
-    sensitive, outside, writes = F.col("_sensitive"), F.col("_outside"), kind.isin("write", "edit")
-    worst = F.greatest(F.array_max(F.transform("_verdicts", lambda v: rank(v.severity))), F.array_max(F.transform("_destroys", lambda n: F.when(n.isin(*HIGH), 3).otherwise(4))), F.lit(2))
-    secret = F.when(sensitive.isNotNull(), 4).otherwise(0)
-    level = (
-        F.when(kind == "read", secret).when(writes, F.greatest(secret, F.when(outside, 3).otherwise(1)))
-        .when(kind == "shell", worst).when(kind == "network", 1).when(kind == "unknown", 2).otherwise(0)
-    )
-    flags = F.concat(
-        F.array(sensitive, F.when(outside, "outside-workspace"), F.when(kind == "shell", "shell"), F.when((kind == "shell") & F.col("undecidable"), "effects-undecidable"), F.when(kind == "unknown", "unclassified-tool")),
-        F.transform("_verdicts", lambda v: v.flag), F.transform("_destroys", lambda n: F.concat(F.lit("destructive:"), n)),
-        F.array(F.when(writes & (F.col("fidelity") == "partial"), "partial-fidelity")),
+    # What is looked up once, bound by names: expressions that use it twice don't repeat it.
+    looked = F.named_struct(
+        F.lit("verdicts"), F.when(shell & has_delete(source), delete_verdicts(source, cwd)).otherwise(F.array().cast(_VERDICTS)),
+        F.lit("sensitive"), sensitive_flag(F.when(path != "", path)), F.lit("outside"), F.when(writes & (path != ""), outside_workspace(path, cwd)).otherwise(F.lit(False)),
+        F.lit("destroys"), F.when(shell, F.filter(destroys, lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>")),
     )
-    return found.withColumns({"severity": named(level), "flags": F.filter(flags, lambda x: x.isNotNull())}).drop("_verdicts", "_sensitive", "_outside", "_destroys")
+
+    def judged(found: Column) -> Column:
+        verdicts, sensitive, outside, own = (found[n] for n in ("verdicts", "sensitive", "outside", "destroys"))
+        worst = F.greatest(F.array_max(F.transform(verdicts, lambda v: rank(v["severity"]))), F.array_max(F.transform(own, lambda n: F.when(n.isin(*HIGH), 3).otherwise(4))), F.lit(2))
+        secret = F.when(sensitive.isNotNull(), 4).otherwise(0)
+        level = (
+            F.when(kind == "read", secret).when(writes, F.greatest(secret, F.when(outside, 3).otherwise(1)))
+            .when(kind == "shell", worst).when(kind == "network", 1).when(kind == "unknown", 2).otherwise(0)
+        )
+        flags = F.concat(
+            F.array(sensitive, F.when(outside, "outside-workspace"), F.when(kind == "shell", "shell"), F.when((kind == "shell") & undecidable, "effects-undecidable"), F.when(kind == "unknown", "unclassified-tool")),
+            F.transform(verdicts, lambda v: v["flag"]), F.transform(own, lambda n: F.concat(F.lit("destructive:"), n)),
+            F.array(F.when(writes & (fidelity == "partial"), "partial-fidelity")),
+        )
+        return F.named_struct(F.lit("severity"), named(level), F.lit("flags"), F.filter(flags, lambda x: x.isNotNull()))
+
+    return once(looked, judged)
+
+
+def assess(effects: DataFrame) -> DataFrame:
+    """``effects`` (kind, fidelity, path, source, undecidable, cwd) with severity and flags, in projections alone."""
+    found = effects.withColumn("_risk", assessed(*[F.col(c) for c in ("kind", "fidelity", "path", "source", "undecidable", "cwd")]))
+    return found.withColumns({"severity": F.col("_risk.severity"), "flags": F.col("_risk.flags")}).drop("_risk")
 
 
 def severity_histogram(rows: DataFrame, *by: str) -> DataFrame:

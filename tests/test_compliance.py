@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom import read_ledger
 from auditloom.cli import main, parser
-from auditloom.functions.deletes import classify_delete, command_targets
+from auditloom.functions.deletes import command_targets, delete_verdict
 from auditloom.operators import audit_chain
 from auditloom.operators.risk import assess, outside_workspace, sensitive_flag
 from auditloom.report import pack, sidecar
@@ -70,16 +70,28 @@ def test_risk_rules(spark):
     ("rm -rf /", "/w", ("critical", "destructive:outside-workspace")),
     ("rm -rf /usr/lib", "/w", ("critical", "destructive:system-target")),
     ("rm -rf /w/a /tmp/b", "/w", ("high", "destructive:in-workspace")),
+    ("cd x; $d = '/w/$e/y'; $e=/tmp\n rm -rf $d", "/w", ("high", "destructive:in-workspace")),
+    ("$a='/tmp/1'; $a='/w/2'; rm -rf \"$a/x\"", "/w", ("high", "destructive:in-workspace")),
+    ("$p = $q; $q = '/tmp'; rm -rf $p", "/w", ("critical", "destructive:outside-workspace")),
+    ("$p = rel; rm -rf $p", "/w", ("high", "destructive:target-unresolved")),
+    ("rm -rf -- '/W/'", "/w", ("critical", "destructive:workspace-root")),
+    ("rm -rf C:\\*", "/w", ("critical", "destructive:system-target")),
+    ("Remove-Item 'C:\\Program Files (x86)\\a' -Recurse -Force", None, ("critical", "destructive:system-target")),
+    ("rm -rf /etcetera /w", "/w", ("critical", "destructive:workspace-root")),
+    ("rm -rf /opt-x", "/w", ("critical", "destructive:system-target")),
+    ("x | rm -rf { /a }", "/w", ("high", "destructive:target-unresolved")),
 ])
-def test_delete_targets(command, cwd, want):
+def test_delete_targets(spark, command, cwd, want):
     import re
 
     at = re.search(r"\brm\s|\bRemove-Item\b", command).start()
-    assert classify_delete(command, cwd, at) == want
+    row = spark.createDataFrame([(command, cwd, at)], "c string, d string, i int").select(delete_verdict(F.col("c"), F.col("d"), F.col("i")).alias("v")).first()
+    assert tuple(row.v) == want
 
 
-def test_command_targets():
-    assert command_targets("cp '/a b/c/' \"C:\\x\" rel /a /a; ls /z)") == ["/a b/c", "C:\\x", "/a", "/z"]
+def test_command_targets(spark):
+    row = spark.createDataFrame([("cp '/a b/c/' \"C:\\x\" rel /a /a; ls /z)",)], "c string").select(command_targets(F.col("c")).alias("t")).first()
+    assert row.t == ["/a b/c", "C:\\x", "/a", "/z"]
 
 
 @pytest.fixture(scope="module")

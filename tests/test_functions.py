@@ -18,6 +18,10 @@ def test_functions_in_sql(spark):
         stable_json('{"b":1,"a":[2.0]}') as j, stable_json('{') as bad, classify_delete('rm -rf /etc/a', '/w', 0) as d""").first()
     assert (one.s, one.n, one.h, one.q, one.j, one.bad) == ("sensitive-path:dotenv", None, 3, -1, '{"a":[2],"b":1}', None)
     assert one.d.flag == "destructive:system-target"
+    got = spark.sql("""select classify_delete("$t = 'C:\\\\proj\\\\t'; Remove-Item $t -Recurse -Force", 'C:\\\\proj', 20).flag as a, classify_delete('rm -rf x', '', 0).flag as b,
+        assess_effect('shell', 'undecidable', null, 'rm -rf /w; git push --force', true, '/w') as s, assess_effect('edit', 'partial', '/z/.npmrc', null, false, '/w') as e""").first()
+    assert (got.a, got.b, got.s.severity, got.e.severity) == ("destructive:in-workspace", "destructive:target-unresolved", "critical", "critical")
+    assert got.s.flags == ["shell", "effects-undecidable", "destructive:workspace-root", "destructive:git-push-force"] and got.e.flags == ["sensitive-path:npmrc", "outside-workspace", "partial-fidelity"]
 
 
 def test_merkle_aggregate_and_frame_walk(spark):
