@@ -9,10 +9,11 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from auditloom import report
 from auditloom.ledger import attest, read_ledger
-from auditloom.operators.audit_chain import verify_text
+from auditloom.operators.audit_chain import verify_with
 from auditloom.operators.manifest import generate_key, verify_manifest, verify_signature
 from auditloom.schemas import SEVERITIES
 from auditloom.sources.discover import find_session_logs, resolve_log
@@ -33,11 +34,12 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("log")
     sub.add_argument("-o", "--out", required=True, help="a folder, or a .zip file")
     sub.add_argument("--key", help="an Ed25519 private key to sign with")
-    sub.add_argument("--title", default="Execution evidence pack")
+    sub.add_argument("--title", default="Evidence from a session log")
     sub = commands.add_parser("verify", help="check a pack's folder or its compliance.jsonl")
     sub.add_argument("target")
     sub.add_argument("--manifest")
     sub.add_argument("--log")
+    sub.add_argument("--verifier", help="a package with verify_compliance_jsonl whose verdict is to count")
     commands.add_parser("keygen", help="make an Ed25519 key").add_argument("--out", default="ledger-key.pem")
     return top
 
@@ -51,26 +53,19 @@ def _verify(args: argparse.Namespace) -> int:
     if target.suffix.lower() == ".zip":
         print("unpack the .zip first, then name its folder", file=sys.stderr)
         return 1
-    text = (target / "compliance.jsonl" if target.is_dir() else target).read_text(encoding="utf-8")
-    chain = verify_text(text)
-    ok = chain["valid"]
-    print(f"compliance chain: {'VALID' if ok else 'INVALID'}\n  records={chain['records']} lines={chain['lines']} maxSeverity={chain.get('maxSeverity', '-')}")
-    for issue in chain["issues"][: report.ISSUES]:
-        print(f"  issue: {issue}")
+    chain = verify_with((target / "compliance.jsonl" if target.is_dir() else target).read_text(encoding="utf-8"), args.verifier)
     found = Path(args.manifest) if args.manifest else target / "manifest.json" if target.is_dir() else None
+    verdict: dict[str, object] = {"chain": chain | {"issues": chain["issues"][: report.ISSUES]}}
+    ok = chain["valid"]
     if found and found.is_file():
         manifest, spark = json.loads(found.read_text()), session()
-        print(f"manifest: frames={manifest['frames']} records={manifest['records']}")
-        if manifest.get("signature"):
-            good = verify_signature(spark, manifest)
-            ok = ok and good
-            print(f"  signature: {'VALID (Ed25519)' if good else 'INVALID'}")
-        else:
-            print("  signature: absent")
+        signed = verify_signature(spark, manifest) if manifest.get("signature") else None
+        verdict["manifest"] = {"frames": manifest["frames"], "records": manifest["records"], "signature": {True: "valid", False: "invalid", None: "absent"}[signed]}
+        ok = ok and signed is not False
         if args.log:
-            result = verify_manifest(spark, args.log, manifest)
+            verdict["log"] = result = verify_manifest(spark, args.log, manifest)
             ok = ok and result["ok"]
-            print(f"  against the log: {'MATCHES' if result['ok'] else 'MISMATCH (' + result['mismatch'] + ')'}")
+    print(json.dumps({"valid": ok} | verdict, indent=2, default=str))
     return 0 if ok else 1
 
 
@@ -91,15 +86,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"wrote {target} (Ed25519). Keep it secret; share the public half.")
         return 0
     if args.command == "list":
-        logs = [r.asDict() for r in find_session_logs(spark, args.home).collect()]
-        if args.json:
-            print(json.dumps(logs, indent=2))
-        elif not logs:
-            print(f"no session logs below {args.home}/sessions")
-        else:
-            print(f"{len(logs)} session(s), newest first:\n")
-            for r in logs[: report.LISTED]:
-                print(f"  {r['session_id'][:28]:<30} {r['bytes'] / (1 << 20):8.1f} MiB")
+        logs = report.View("Logs", find_session_logs(spark, args.home), (F.desc("modified_at"), F.col("path")))
+        print(json.dumps(report.as_data([logs])["logs"], indent=2) if args.json else report.as_text([logs], report.LISTED))
         return 0
     try:
         path = resolve_log(spark, args.log, args.home)
@@ -108,15 +96,14 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     if args.command == "pack":
         done = report.pack(spark, path, args.out, args.key, args.title)
-        print(f"packed {len(done['files'])} file(s) -> {args.out}\n  compliance records : {done['records']} (chain valid: {done['chain']['valid']})")
-        print("  risk distribution  : " + " ".join(f"{s}={done['severity'][s]}" for s in reversed(SEVERITIES)))
-        print(f"  manifest           : frames={done['manifest']['frames']} records={done['manifest']['records']} signed={'signature' in done['manifest']}")
+        print(json.dumps({"out": args.out, "files": done["files"], "records": done["records"], "severity": done["severity"], "chain_valid": done["chain"]["valid"], "signed": "signature" in done["manifest"]}, indent=2))
         return 0 if done["chain"]["valid"] else 1
     ledger = read_ledger(spark, path)
     if args.command == "report":
         manifest = attest(spark, path)
-        print(json.dumps(report.report_json(ledger, manifest), indent=2, default=str) if args.json else report.render_summary(ledger, manifest))
+        roots = {k: manifest[k] for k in ("frameRoot", "recordRoot", "bytes")}
+        views = report.overview(ledger)
+        print(json.dumps({"path": path, "integrity": roots} | report.as_data(views), indent=2, default=str) if args.json else report.as_text(views) + "\n".join(["## Integrity", "", *[f"- {k}: {v}" for k, v in roots.items()]]))
     else:
-        found = report.classify(ledger, args.min_severity)
-        print(json.dumps(found, indent=2) if args.json else report.render_classification(found, args.min_severity))
+        print(json.dumps(report.classify(ledger, args.min_severity), indent=2) if args.json else report.as_text(report.risks(ledger, args.min_severity)))
     return 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Iterator
+from importlib import import_module
 from typing import Any
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ from auditloom.schemas import CANONICAL_PREFIX, COMPLIANCE_SCHEMA, SEVERITIES, S
 
 #: Lines of a stretch that is checked as one group.
 SPAN = 1 << 16
+#: The name of the verifier here, beside a verdict.
+VERIFIER = "auditloom"
 
 
 def _camel(name: str) -> str:
@@ -150,15 +153,59 @@ def issues(read: DataFrame, hash_chain: bool = True) -> DataFrame:
     return _with_previous(read.filter("complete")).select("doc", "line_no", wrong.alias("issue")).filter("issue is not null").unionByName(broken)
 
 
-def verify_documents(lines: DataFrame, hash_chain: bool = True) -> DataFrame:
-    """Per document: records, number of issues, the first ten of them, and the highest severity."""
-    # Parsed once: three looks are taken at what the lines claim.
-    read = check_lines(lines).persist(StorageLevel.DISK_ONLY)
+def documents(payloads: DataFrame, at: int) -> DataFrame:
+    """Whole documents of all sessions, header lines too: doc, line_no from 1, line."""
+    fields = [F.lit(COMPLIANCE_SCHEMA).alias("schema"), F.lit(at).alias("generatedAt"), F.count(F.lit(1)).alias("count"), F.lit(True).alias("hashChain")]
+    heads = payloads.groupBy(F.col(KEY).alias("doc")).agg(*fields).select("doc", F.lit(1).cast("long").alias("line_no"), F.to_json(F.struct("schema", "generatedAt", "count", "hashChain")).alias("line"))
+    return heads.unionByName(chain(payloads).select(F.col(KEY).alias("doc"), (F.col("record_id") + 1).alias("line_no"), "line"))
+
+
+def _headers(lines: DataFrame, schema: str) -> DataFrame:
+    """What the first line of each document says, and what is wrong with it alone."""
+    top = F.from_json("line", "schema string, count double, hashChain boolean")
+    read = lines.filter("line_no = 1").select("doc", F.get_json_object("line", "$").isNotNull().alias("json"), top.alias("top"))
+    named = F.coalesce("top.schema", F.lit("undefined"))
+    wrong = F.when(~F.col("json"), "header is not JSON").when(named != schema, F.concat(F.lit("unexpected schema: "), named))
+    return read.select("doc", F.col("top.count").alias("claimed"), F.coalesce("top.hashChain", F.lit(False)).alias("hashed"), wrong.alias("issue"))
+
+
+def verify_documents(lines: DataFrame, schema: str = COMPLIANCE_SCHEMA, n: int = 10) -> DataFrame:
+    """Per document (doc, line_no from 1, line): records, issues, the first ``n`` of them, max_severity.
+
+    The header's schema and count are checked, and whether it says that lines are chained. A document without a
+    header line has that as an issue. Parsed lines are kept in memory or on disk by Spark until it needs the room.
+    """
+    read = check_lines(lines.filter("line_no > 1")).persist(StorageLevel.DISK_ONLY)
+    heads = _headers(lines, schema)
     top = read.groupBy("doc").agg(F.count_if("json").alias("records"), F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
-    found = issues(read, hash_chain)
-    counts = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "issue")).alias("first"))
+    every = heads.join(top, "doc", "full").select("doc", "claimed", F.coalesce("hashed", F.lit(False)).alias("hashed"), F.when(F.col("hashed").isNull(), "empty document").otherwise(F.col("issue")).alias("issue"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    count_issue = F.when(F.col("claimed") != F.col("records"), F.concat(F.lit("header count "), F.format_string("%.0f", "claimed"), F.lit(" does not match "), "records", F.lit(" record(s)")))
+    of_heads = every.select("doc", F.lit(1).cast("long").alias("line_no"), "issue").unionByName(every.select("doc", F.lit(1 << 62).alias("line_no"), count_issue.alias("issue"))).filter("issue is not null")
+    unchained, chained = every.filter("not hashed").select("doc"), every.filter("hashed").select("doc")
+    found = issues(read.join(chained, "doc", "left_semi")).unionByName(issues(read.join(unchained, "doc", "left_semi"), False)).unionByName(of_heads)
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("line_no", "issue"))
+    first = found.withColumn("_place", place).filter(F.col("_place") <= n).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("_place", "issue"))).alias("first"))
+    counts = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).join(first, "doc")
     severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("rank") + 1)
-    return top.join(counts, "doc", "left").select("doc", "records", F.coalesce("n", F.lit(0)).alias("issues"), F.col("first.issue").alias("first_issue"), severity.alias("max_severity"))
+    listed = F.coalesce(F.transform("first", lambda x: x.issue), F.array().cast("array<string>"))
+    return every.join(counts, "doc", "left").select("doc", "records", F.coalesce("n", F.lit(0)).alias("issues"), listed.alias("first_issues"), severity.alias("max_severity"))
+
+
+def verify_with(text: str, module: str | None = None) -> dict[str, Any]:
+    """The verdict on a document, and under ``verifier`` whose it is.
+
+    A third party's package that is installed and has ``verify_compliance_jsonl`` judges, so that the verdict isn't
+    this one's own; else ``verify_text`` does. The highest severity is always read here.
+    """
+    own = verify_text(text)
+    if module:
+        try:
+            judge = getattr(import_module(module), "verify_compliance_jsonl", None)
+        except ImportError:
+            judge = None
+        if judge is not None:
+            return own | dict(judge(text)) | {"maxSeverity": own.get("maxSeverity"), "verifier": module}
+    return own | {"verifier": VERIFIER}
 
 
 def verify_text(text: str, schema: str = COMPLIANCE_SCHEMA, strict: bool = False) -> dict[str, Any]:

@@ -17,29 +17,31 @@ def version_steps(effects: DataFrame) -> DataFrame:
     return steps.select(KEY, "path", F.row_number().over(order).alias("position"), "seq", "time", "call_id", "tool_name", "kind", "fidelity", "content_hash", "bytes", "detail")
 
 
-def _shell_index(effects: DataFrame) -> DataFrame:
-    """Shell effects by bucket of sequence numbers: how many came in earlier buckets, and each number's count.
+def _shell_buckets(effects: DataFrame) -> DataFrame:
+    """Shell effects by bucket of sequence numbers: each number's count, and the bucket's total.
 
     A bucket has at most SPAN different numbers, so its list is bounded however many shells ran.
     """
     by_seq = effects.filter("kind = 'shell' and seq is not null").groupBy(KEY, "seq").agg(F.count(F.lit(1)).alias("n"))
-    buckets = by_seq.groupBy(KEY, F.floor(F.col("seq") / SPAN).alias("bucket")).agg(F.collect_list(F.struct("seq", "n")).alias("own"), F.sum("n").alias("total"))
-    before = F.sum("total").over(Window.partitionBy(KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    after = F.lead("bucket").over(Window.partitionBy(KEY).orderBy("bucket"))
-    return buckets.select(KEY, "bucket", after.alias("next_bucket"), "own", "total", F.coalesce(before, F.lit(0)).alias("before"))
+    return by_seq.groupBy(KEY, F.floor(F.col("seq") / SPAN).alias("bucket")).agg(F.collect_list(F.struct("seq", "n")).alias("own"), F.sum("n").alias("total"))
+
 
+def _shells_upto(ends: DataFrame, buckets: DataFrame, seq: str, name: str, inclusive: bool) -> DataFrame:
+    """``ends`` with the number of shells up to a sequence number.
 
-def _shells_upto(ends: DataFrame, index: DataFrame, seq: str, name: str, inclusive: bool) -> DataFrame:
-    """``ends`` with the number of shells up to a sequence number, by the index bucket at or before it."""
-    own = index.select(F.col(KEY).alias("_key"), "bucket", "next_bucket", "own", "total", "before")
-    place = F.floor(F.col(seq) / SPAN)
-    here = (F.col(KEY) == F.col("_key")) & (F.col("bucket") <= place) & (F.col("next_bucket").isNull() | (F.col("next_bucket") > place))
+    Every bucket that an end falls in gets a row of its own, with the shells before it as a running sum over a
+    session's buckets; ends then meet their bucket by equality.
+    """
+    placed = ends.withColumn("bucket", F.floor(F.col(seq) / SPAN))
+    every = buckets.join(placed.select(KEY, "bucket").distinct(), [KEY, "bucket"], "full")
+    before = F.sum("total").over(Window.partitionBy(KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counted = every.select(KEY, "bucket", "own", F.coalesce(before, F.lit(0)).alias("before"))
 
-    def counted(x: Column) -> Column:
+    def upto(x: Column) -> Column:
         return (x.seq <= F.col(seq)) if inclusive else (x.seq < F.col(seq))
 
-    n = F.col("before") + F.aggregate(F.filter("own", counted), F.lit(0).cast("long"), lambda a, x: a + x.n)
-    return ends.join(own, here, "left").withColumn(name, F.coalesce(n, F.lit(0).cast("long"))).drop("_key", "bucket", "next_bucket", "own", "total", "before")
+    n = F.col("before") + F.coalesce(F.aggregate(F.filter("own", upto), F.lit(0).cast("long"), lambda a, x: a + x.n), F.lit(0))
+    return placed.join(counted, [KEY, "bucket"], "left").withColumn(name, F.coalesce(n, F.lit(0).cast("long"))).drop("bucket", "own", "before")
 
 
 def version_chains(effects: DataFrame) -> DataFrame:
@@ -55,8 +57,8 @@ def version_chains(effects: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("steps"), F.min_by(F.struct("kind", "fidelity"), order).alias("first"), F.max_by("content_hash", F.when(exact, order)).alias("last_exact_hash"),
         F.min("seq").alias("low"), F.max("seq").alias("high"),
     )
-    index = _shell_index(effects)
-    counted = _shells_upto(_shells_upto(chains, index, "low", "before_low", False), index, "high", "upto_high", True)
+    buckets = _shell_buckets(effects)
+    counted = _shells_upto(_shells_upto(chains, buckets, "low", "before_low", False), buckets, "high", "upto_high", True)
     shells = F.when(F.col("low").isNull(), F.lit(0).cast("long")).otherwise(F.col("upto_high") - F.col("before_low"))
     first = F.col("first.kind")
     return counted.select(

@@ -173,11 +173,36 @@ ORACLE: dict[str, str] = {
           union all select level + 1, pos // 2, coalesce(sha256(unhex('01') || unhex(hash) || unhex(right_hash)), hash), (n + 1) // 2 from (
             select *, lead(hash) over (order by pos) as right_hash from nodes) where pos % 2 = 0 and n > 1)
         select row_number() over (order by level) - 1 as step, hash, if((5 >> level) % 2 = 1, 'left', 'right') as side from nodes where pos = xor(5 >> level, 1) and n > 1""",
-    "hash_chain": _sql("""select session_key, count(*) as records, list_reduce(list(record_id || '|' || kind || '|' || summary order by record_id), lambda acc, x: sha256(acc || chr(10) || x), '') as digest
-        from payloads group by session_key""", _payloads),
+    "hash_chain": """
+        with rows as (select user_id::varchar as session_key, row_number() over (partition by user_id order by event_id) as n, event_id as id, event_type as t, epoch_us(ts) // 1000 as ms from events),
+        lines as (select session_key, n, '{"payload":{"actor":null,"argsDigest":null,"callId":null,"detail":null,"durationMs":null,"filesRead":[],"filesWritten":["/e/' || id || '"],"flags":["' || t || '"],"kind":"' || t
+            || '","network":[],"sessionId":"user-' || session_key || '","severity":"info","sourceSeq":' || id || ',"sourceType":"events","status":null,"step":null,"summary":"event ' || id || '","toolName":null,"ts":' || ms || ',"turn":1},"prevHash":' as head,
+            ',"recordId":' || n || '}' as tail from rows)
+        select session_key, count(*) as records, list_reduce(list({'h': head, 't': tail, 'x': ''} order by n), lambda a, r: {'h': '', 't': '', 'x': sha256(a.x || chr(10) || r.h || if(a.x = '', 'null', '"' || a.x || '"') || r.t || chr(10))}, {'h': '', 't': '', 'x': ''}).x as last_hash
+        from lines group by session_key""",
+    "chain_verify": _sql("""select session_key as doc, count(*) as records, 0::bigint as issues, 0 as listed,
+        (['info', 'low', 'medium', 'high', 'critical'])[max(list_position(['info', 'low', 'medium', 'high', 'critical'], severity))] as max_severity from payloads group by session_key""", _payloads),
     "prefix_metadata_scan": """select conv_id, turn, role as meta_type, turn as meta_seq from conversations""",
-    "sensitive_paths": """select doc_id, coalesce(case when regexp_matches(text, '(?i)(secret|credential|passwd|password|apikey|api_key|access_token)') then 'secret-named' end, '') as flag,
-        regexp_matches(text, '(?i)\\bcurl\\b[^\\n]*\\|\\s*(ba|z|fi)?sh\\b') as pipes from documents""",
+    "sensitive_paths": r"""select doc_id, case when regexp_matches(text, '(?i)(^|[\\/])\.env(\..*)?\z') then 'sensitive-path:dotenv' when regexp_matches(text, '(?i)(^|[\\/])id_(rsa|dsa|ecdsa|ed25519)(\.pub)?\z') then 'sensitive-path:ssh-key'
+        when regexp_matches(text, '(?i)(^|[\\/])\.(ssh|aws|gnupg|docker)[\\/]') then 'sensitive-path:credential-dir' when regexp_matches(text, '(?i)(^|[\\/])\.npmrc\z') then 'sensitive-path:npmrc'
+        when regexp_matches(text, '(?i)(^|[\\/])\.git-credentials\z') then 'sensitive-path:git-credentials' when regexp_matches(text, '(?i)(^|[\\/])\.git[\\/]config\z') then 'sensitive-path:git-config'
+        when regexp_matches(text, '(?i)\.(pem|pfx|p12|key|keystore|jks)\z') then 'sensitive-path:key-material' when regexp_matches(text, '(?i)(secret|credential|passwd|password|apikey|api_key|access_token)') then 'sensitive-path:secret-named'
+        when regexp_matches(text, '(?i)(^|[\\/])\.dsh[\\/]profiles[\\/]') then 'sensitive-path:dsh-profile' else '' end as flag,
+      array_to_string(list_filter([
+        case when regexp_matches(text, '(?i)\brm\s+(-[a-z]*r[a-z]*f|-[a-z]*f[a-z]*r)\b') then 'rm-recursive-force' end, case when regexp_matches(text, '(?i)\bRemove-Item\b[^\n]*-Recurse\b[^\n]*-Force\b') then 'remove-item-recursive' end,
+        case when regexp_matches(text, '(?i)\b(Format-Volume|format\s+[a-z]:)') then 'format-volume' end, case when regexp_matches(text, '(?i)\bgit\s+reset\s+--hard\b') then 'git-reset-hard' end,
+        case when regexp_matches(text, '(?i)\bgit\s+clean\s+-[a-z]*f') then 'git-clean-force' end, case when regexp_matches(text, '(?i)\b(DROP\s+(TABLE|DATABASE)|TRUNCATE\s+TABLE)\b') then 'sql-destructive' end,
+        case when regexp_matches(text, '(?i)\b(npm|pnpm|yarn)\s+publish\b') then 'package-publish' end, case when regexp_matches(text, '(?i)\bgit\s+push\b[^\n]*--force\b') then 'git-push-force' end,
+        case when regexp_matches(text, '(?i)\b(shutdown|Stop-Computer|Restart-Computer)\b') then 'host-power' end, case when regexp_matches(text, '(?i)[>]{1,2}\s*[A-Za-z]:[\\/](Windows|Program Files)') then 'system-path-write' end,
+        case when regexp_matches(text, '(?i)\bcurl\b[^\n]*\|\s*(ba|z|fi)?sh\b') then 'pipe-to-shell' end, case when regexp_matches(text, '(?i)\b(Invoke-Expression|iex)\b') then 'invoke-expression' end], lambda x: x is not null), ',') as destroys
+      from documents""",
+    # The verdicts on RISK_CASES and DELETE_CASES in their order, read off the rules by hand.
+    "risk_patterns": """select p_partkey::bigint as key, (['sensitive-path:dotenv', 'sensitive-path:dotenv', 'sensitive-path:ssh-key', 'sensitive-path:ssh-key', 'sensitive-path:credential-dir', 'sensitive-path:npmrc', 'sensitive-path:git-credentials',
+        'sensitive-path:git-config', 'sensitive-path:key-material', 'sensitive-path:secret-named', 'sensitive-path:dsh-profile', '', '', '', '', '', '', '', '', '', '', '', '', '', '', '', '', ''])[p_partkey % 28 + 1] as flag,
+      (['', '', '', '', '', '', '', '', '', '', '', '', '', 'rm-recursive-force', 'rm-recursive-force', 'remove-item-recursive', 'format-volume', 'git-reset-hard', 'git-clean-force', 'sql-destructive', 'sql-destructive', 'package-publish',
+        'git-push-force', 'host-power', 'system-path-write', 'pipe-to-shell', 'invoke-expression', ''])[p_partkey % 28 + 1] as destroys from part""",
+    "delete_targets": """select key, severity, 'destructive:' || flag as flag from (select p_partkey::bigint as key, (['high', 'high', 'critical', 'high', 'critical', 'critical', 'high', 'high', 'critical', 'high', 'critical', 'critical', 'critical', 'critical'])[p_partkey % 14 + 1] as severity,
+      (['in-workspace', 'in-workspace', 'workspace-root', 'in-workspace', 'system-target', 'outside-workspace', 'target-unresolved', 'in-workspace', 'outside-workspace', 'in-workspace', 'system-target', 'system-target', 'outside-workspace', 'system-target'])[p_partkey % 14 + 1] as flag from part)""",
 }
 
 #: Through real logs the calls are the same.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.ledger import read_lines, records_of
+from auditloom.functions.deletes import delete_verdict
 from auditloom.operators import audit_chain, chains, effects, graph, merkle, payloads, risk
 from auditloom.operators.records import prefix_metadata
 from auditloom.plans import adapter
@@ -49,7 +50,10 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.payloads(_records(spark, sf_dir))
+    """Audit records look at a session's records in a dozen ways: these are written once and read again, as from a log."""
+    folder, rows = shared_folder(spark, "records"), _records(spark, sf_dir)
+    rows.write.parquet(folder)
+    return payloads.payloads(spark.read.schema(rows.schema).parquet(folder))
 
 
 @query
@@ -248,18 +252,30 @@ def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain form of the chain, a digest over a session's records in order."""
-    rows = _payloads(spark, sf_dir).select(KEY, F.struct("record_id", F.concat_ws("|", "record_id", "kind", "summary").alias("x")).alias("r"))
-    ordered = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("records"), F.sort_array(F.collect_list("r")).alias("rs"))
-    digest = F.aggregate(F.transform("rs", lambda r: r.x), F.lit(""), lambda acc, x: F.sha2(F.encode(F.concat(acc, F.lit("\n"), x), "UTF-8"), 256))
-    return ordered.select(KEY, "records", digest.alias("digest"))
+    """The audit chain over each user's events as records: how many, and the last hash, which depends on all."""
+    from pyspark.sql import Window
+
+    raw, none = spark.read.parquet(f"{sf_dir}/events.parquet"), F.array().cast("array<string>")
+    given = {
+        "session_id": F.concat(F.lit("user-"), "user_id"), "ts": F.unix_millis(F.col("ts").cast("timestamp")), "kind": F.col("event_type"), "severity": F.lit("info"), "flags": F.array("event_type"), "summary": F.concat(F.lit("event "), "event_id"),
+        "files_read": none, "files_written": F.array(F.concat(F.lit("/e/"), "event_id")), "network": none, "source_type": F.lit("events"), "source_seq": F.col("event_id").cast("long"), "turn": F.lit(1).cast("long"),
+    }
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = raw.select(F.col("user_id").cast("string").alias(KEY), F.row_number().over(order).cast("long").alias("record_id"), *[given.get(f, F.lit(None).cast("long" if f in ("step", "duration_ms") else "string")).alias(f) for f in payloads.FIELDS])
+    lines = audit_chain.chain(rows)
+    return lines.groupBy(KEY).agg(F.count(F.lit(1)).alias("records"), F.max_by("hash_self", "record_id").alias("last_hash"))
 
 
 @query
 def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chained documents of all sessions, checked again: no issue, and the highest severity of each."""
-    lines = audit_chain.chain(_payloads(spark, sf_dir)).select(F.col(KEY).alias("doc"), (F.col("record_id") + 1).alias("line_no"), "line")
-    return audit_chain.verify_documents(lines)
+    # Documents are files: they are written and read again, as a verifier would.
+    folder = shared_folder(spark, "documents")
+    rows = _payloads(spark, sf_dir)
+    rows.write.mode("overwrite").parquet(f"{folder}/records")
+    audit_chain.documents(spark.read.schema(rows.schema).parquet(f"{folder}/records"), at=0).write.mode("overwrite").parquet(f"{folder}/lines")
+    found = audit_chain.verify_documents(spark.read.parquet(f"{folder}/lines"))
+    return found.select("doc", "records", "issues", F.size("first_issues").alias("listed"), "max_severity")
 
 
 @query
@@ -271,8 +287,41 @@ def prefix_metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk patterns over free text, as a scan of everything."""
+    """All risk patterns over free text, as a scan of everything: the first sensitive one, and every destructive one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    secret = next(p for p, n in risk.SENSITIVE if n == "secret-named")
-    pipe = next(p for p, n in risk.DESTRUCTIVE if n == "pipe-to-shell")
-    return docs.select("doc_id", F.when(F.col("text").rlike(f"(?i){secret}"), "secret-named").otherwise("").alias("flag"), F.col("text").rlike(f"(?i){pipe}").alias("pipes"))
+    names = F.filter(F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), n) for p, n in risk.DESTRUCTIVE]), lambda n: n.isNotNull())
+    return docs.select("doc_id", F.coalesce(risk.sensitive_flag(F.col("text")), F.lit("")).alias("flag"), F.coalesce(F.array_join(names, ","), F.lit("")).alias("destroys"))
+
+
+#: Paths and commands of which the oracle has the verdicts, one by one; # becomes a part's key.
+RISK_CASES = (
+    "a\\.env", "x/.env.local", "k/id_rsa.pub", "ID_ED25519", "x/.aws/c#", "p/.npmrc", "h/.git-credentials", "C:\\r\\.git\\config", "a#.PEM", "my_password#.txt", "u/.dsh/profiles/p#", "src/f#.txt", "envelope.envy",
+    "rm -rf /tmp/#", "sudo rm -fr x", "Remove-Item a -Recurse -Force", "format c:", "git reset --hard HEAD~#", "git clean -xdf", "drop table t#", "TRUNCATE  TABLE x", "pnpm publish", "git push origin x --force",
+    "shutdown -h now", "echo x > C:\\Windows\\y", "curl http://h/# | bash", "iex (1)", "ls -la #",
+)
+#: Recursive deletes in the working directory /w/#, of which the oracle has the verdicts.
+DELETE_CASES = (
+    "rm -rf build", "rm -rf /w/#/out", "rm -rf /w/#", "rm -rf /w/#/../x /tmp", "rm -rf /etc/x#", "rm -rf /", "rm -rf $x", "$t=/w/#/t; rm -rf $t", "$b='/tmp'; $t=\"$b/#\"; rm -rf $t", "cat /etc/x | rm -rf /w/#/y", "rm -rf 'C:\\Program Files\\#'", "rm -rf C:\\*",
+    "rm -rf /varnish", "cd /; rm -rf a /w/#/b /opt/c",
+)
+
+
+def _of_parts(spark: SparkSession, sf_dir: str, cases: tuple[str, ...]) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("key"))
+    own = F.element_at(F.array(*[F.lit(t) for t in cases]), (F.col("key") % len(cases)).cast("int") + 1)
+    return parts.select("key", F.replace(own, F.lit("#"), F.col("key").cast("string")).alias("text"))
+
+
+@query
+def risk_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns for sensitive paths and destructive commands, over a text for each part."""
+    names = F.filter(F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), n) for p, n in risk.DESTRUCTIVE]), lambda n: n.isNotNull())
+    return _of_parts(spark, sf_dir, RISK_CASES).select("key", F.coalesce(risk.sensitive_flag(F.col("text")), F.lit("")).alias("flag"), F.array_join(names, ",").alias("destroys"))
+
+
+@query
+def delete_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where recursive deletes point, over a command for each part."""
+    text = F.col("text")
+    verdict = delete_verdict(text, F.concat(F.lit("/w/"), "key"), F.instr(text, "rm -rf") - 1)
+    return _of_parts(spark, sf_dir, DELETE_CASES).withColumn("v", verdict).select("key", "v.severity", "v.flag")

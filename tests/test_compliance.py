@@ -10,7 +10,7 @@ from auditloom.cli import main, parser
 from auditloom.functions.deletes import command_targets, delete_verdict
 from auditloom.operators import audit_chain
 from auditloom.operators.risk import assess, outside_workspace, sensitive_flag
-from auditloom.report import pack, sidecar
+from auditloom.report import facts, pack
 from auditloom.testing import log, session_records
 
 CWD = "C:\\proj"
@@ -166,15 +166,18 @@ def test_pack_verify_and_reports(spark, path, tmp_path, capsys, monkeypatch):
     home = str(tmp_path / "none")
     assert main(["keygen", "--out", str(tmp_path / "k.pem")]) == 0 and (tmp_path / "k.pem").stat().st_mode & 0o777 == 0o600
     assert main(["--home", home, "pack", path, "-o", str(tmp_path / "p"), "--key", str(tmp_path / "k.pem"), "--title", "T"]) == 0
-    assert sorted(x.name for x in (tmp_path / "p").iterdir()) == ["REPORT.md", "VERIFY.md", "compliance.jsonl", "manifest.json", "sidecar.jsonl"]
+    assert sorted(x.name for x in (tmp_path / "p").iterdir()) == ["README.md", "compliance.jsonl", "facts.jsonl", "manifest.json"]
     assert main(["verify", str(tmp_path / "p"), "--log", path]) == 0
     out = capsys.readouterr().out
-    assert "VALID (Ed25519)" in out and "MATCHES" in out
+    verdict = json.loads(out[out.rindex('{\n  "valid"'):])
+    assert verdict["valid"] and verdict["manifest"]["signature"] == "valid" and verdict["log"]["ok"] and verdict["chain"]["verifier"] == "auditloom"
+    guide = (tmp_path / "p" / "README.md").read_text()
+    assert guide.startswith("# T\n") and "| severity | n |" in guide and "is signed" in guide
     text = (tmp_path / "p" / "compliance.jsonl").read_text()
     (tmp_path / "p" / "compliance.jsonl").write_text(text.replace("turn 1 started", "turn 7 started"))
     assert main(["verify", str(tmp_path / "p")]) == 1
     assert main(["--home", home, "report", "nothing"]) == 1 and main([]) == 0
-    assert main(["report", path]) == 0 and "integrity frameRoot" in capsys.readouterr().out
+    assert main(["report", path]) == 0 and "- frameRoot: " in capsys.readouterr().out
     assert main(["classify", "--json", "--min-severity", "medium", path]) == 0
     found = json.loads(capsys.readouterr().out)
     assert set(found["severity"]) == {"info", "low", "medium", "high", "critical"} and all(r["severity"] != "info" for r in found["records"])
@@ -182,8 +185,9 @@ def test_pack_verify_and_reports(spark, path, tmp_path, capsys, monkeypatch):
     with zipfile.ZipFile(tmp_path / "z" / "p.zip") as z:
         assert z.testzip() is None and {i.date_time for i in z.infolist()} == {(1980, 1, 1, 0, 0, 0)}
     assert main(["verify", str(tmp_path / "z" / "p.zip")]) == 1
-    kinds = [json.loads(x).get("record", "header") for x in sidecar(read_ledger(spark, path), 5)]
-    assert kinds[0] == "header" and {"effect", "version-chain", "anomaly"} <= set(kinds)
+    rows = [json.loads(x) for x in facts(read_ledger(spark, path), 5)]
+    assert rows[0]["tables"] == ["effects", "chains", "anomalies"] == list(dict.fromkeys(r["table"] for r in rows[1:]))
+    assert all("fidelity" in r for r in rows if r.get("table") == "effects")
     with pytest.raises(SystemExit):
         parser().parse_args(["unknown"])
 
@@ -194,3 +198,34 @@ def test_listing(spark, path, capsys, monkeypatch):
     assert main(["--home", home, "list", "--json"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["session_id"] == "s-1"
     assert main(["--home", home, "report", "s-", "--json"]) == 0
+
+
+def test_third_party_verdict(document, monkeypatch):
+    import sys
+    import types
+
+    other = types.ModuleType("other_verifier")
+    other.verify_compliance_jsonl = lambda text: {"valid": False, "lines": 1, "records": 0, "issues": ["no"]}
+    monkeypatch.setitem(sys.modules, "other_verifier", other)
+    theirs, own = audit_chain.verify_with(document, "other_verifier"), audit_chain.verify_with(document, "not_installed_verifier")
+    assert theirs["verifier"] == "other_verifier" and not theirs["valid"] and theirs["maxSeverity"] == own["maxSeverity"]
+    assert own["verifier"] == "auditloom" and own == audit_chain.verify_text(document) | {"verifier": "auditloom"}
+
+
+def test_whole_documents_side_by_side(spark, document):
+    """Headers, counts and chains of many documents at once, against the verdict on each text."""
+    header, *lines = document.splitlines()
+    top = json.loads(header)
+    texts = {
+        "good": [header, *lines], "schema": [json.dumps(top | {"schema": "x"}), *lines], "count": [json.dumps(top | {"count": 3}), *lines], "none": ["not json", *lines[:1]],
+        "cut": [header, *lines[:-1]], "moved": [header, lines[1], lines[0], *lines[2:]], "plain": [json.dumps(top | {"hashChain": False}), lines[1], lines[0], *lines[2:]], "many": [header, *["{}"] * 30],
+    }
+    rows = [(name, n, x) for name, text in texts.items() for n, x in enumerate(text, 1)]
+    got = {r.doc: r for r in audit_chain.verify_documents(spark.createDataFrame(rows, "doc string, line_no long, line string")).collect()}
+    for name, text in texts.items():
+        want = audit_chain.verify_text("\n".join(text))
+        if name == "none":  # nothing below an unread header counts in the text's verdict
+            assert got[name].first_issues[0] == "header is not JSON" and want["issues"][0].startswith("header is not JSON")
+            continue
+        assert (got[name].issues, got[name].records, got[name].max_severity) == (len(want["issues"]), want["records"], want["maxSeverity"]), name
+        assert sorted(got[name].first_issues) == sorted(want["issues"]) if got[name].issues <= 10 else len(got[name].first_issues) == 10
