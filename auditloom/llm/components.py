@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
+#: A node's edges are dealt into so many parts, so that no task gets all edges of a node with very many.
+PARTS = 1024
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of all edges of u.
+
+    The least is taken of each part of a node's edges, then of its parts, and goes back to the parts that there are.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts")).select("u", F.explode("parts").alias("part"), "m")
+    return dealt.join(least, ["u", "part"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least of itself and its neighbours."""
     both = edges.select("u", "v").union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    down = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    # Of a node's edges that to the least one gives itself.
+    out = down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return out.filter("u <> v").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:

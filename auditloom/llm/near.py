@@ -196,7 +196,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, num:
     members = scratch.table(each.join(shared, "bucket"), "members")
     scratch.drop("shared")
     nodes = scratch.table(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "doc_id", "th", "sign"), "nodes")
-    texts = hashed.join(nodes.select("node", "th", F.col("doc_id").alias("id")), "th").filter(F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    # By text and doc_id: copies of one text are many, rows that have both in common are not.
+    same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = hashed.join(nodes.select("node", F.col("th").alias("_th"), F.col("doc_id").alias("_id")), same).select("node", "text")
     sets = scratch.table(texts.mapInArrow(lambda it: _sets(it, size), "node long, members binary").groupBy("node").agg(F.first("members").alias("members")), "sets")
 
     # How many places of two signatures agree at the threshold, less 6.5 standard deviations.
@@ -234,12 +236,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, num:
     far = components(joins, scratch, "far").toDF("label", "component")
     placed = classes.select("node", "f1", "f2", "n", "first_id").join(near.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = scratch.table(placed.join(far, "label", "left").select("f1", "f2", "n", "first_id", F.coalesce("component", "label").alias("component")), "placed")
-    named = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written, so that the join with a component of very many classes can be split.
+    named = scratch.table(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "named")
     by_class = placed.join(named, "component").select("f1", "f2", "n", "component_id", F.col("component").alias("group"))
     component_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     out = signs.select("doc_id", "th", "f1", "f2", "n").join(by_class, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component_id, "th", "group")
     out = scratch.table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    scratch.drop("signs", "classes", "members", "nodes", "sets", "star", "open", "blocks", "placed")
+    scratch.drop("signs", "classes", "members", "nodes", "sets", "star", "open", "blocks", "placed", "named")
     return out
 
 

@@ -2,9 +2,10 @@
 
 Vectors are scaled to unit length and rotated so that the leading dimensions hold most of the variance.
 They are dealt into tiles of bounded size, neighbours together: by range of the first dimension over the
-cluster, by medians inside a partition. Two tiles are compared only if their first dimensions and
-their centres and radii leave room for a pair at the threshold. In a pair of tiles products are
-accumulated from the leading dimensions on; what the rest can add is bounded by the product of the
+cluster, by medians inside a partition. A tile is a file in the shared folder; what is joined and shuffled
+are tiles' outlines. Two tiles are compared only if their ranges in the two leading dimensions and
+their centres and radii leave room for a pair at the threshold; the task that compares them reads their files.
+In a pair of tiles products are accumulated from the leading dimensions on; what the rest can add is bounded by the product of the
 suffix norms, and a pair is given up as soon as its cosine cannot reach the threshold any more.
 
 Equal vectors are one vector with a count. A pair of tiles returns for each vector the number of its
@@ -13,6 +14,7 @@ links and one link to its local component, however many links there are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .files import mapped, writing
 from .scratch import Scratch
 
 THRESHOLD = 0.95
@@ -74,11 +77,14 @@ def _halves(y: np.ndarray, rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
     yield from _halves(y, order[len(order) // 2 :], size)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], rotations: dict[int, np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
-    """Tiles of a partition; a partition is read in pieces of some tiles, so none is held whole."""
+def _tiles(batches: Iterator[pa.RecordBatch], rotations: dict[int, np.ndarray], size: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Tiles of a partition, each in a file; a partition is read in pieces of some tiles, so none is held whole.
+
+    Files have names of their own in every attempt, and only those of an attempt that ends are listed.
+    """
     from pyspark import TaskContext
 
-    part, number = TaskContext.get().partitionId(), 0
+    part, number, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
 
     def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number
@@ -89,11 +95,14 @@ def _tiles(batches: Iterator[pa.RecordBatch], rotations: dict[int, np.ndarray],
                 y = _rotated(x, rotations)
                 nodes, copies = (batch.column(i).to_numpy()[rows] for i in (0, 2))
                 for own in _halves(y, np.arange(len(rows)), size):
-                    centre = y[own].mean(0)
+                    centre, name = y[own].mean(0), f"{attempt}-{number}"
+                    with writing(f"{folder}/{name}") as out:
+                        for column in (np.array([len(own)], "<i8"), nodes[own].astype("<i8"), copies[own].astype("<i8"), x[own].astype("<f8")):
+                            out.write(column.tobytes())
+                    low, high = (f(y[own, :2], 0).tolist() for f in (np.min, np.max))
                     yield pa.RecordBatch.from_pydict({
-                        "tile": [(part << 32) + number], "d": pa.array([d], pa.int32()), "low": [float(y[own, 0].min())], "high": [float(y[own, 0].max())],
+                        "tile": [(part << 32) + number], "name": [name], "d": pa.array([d], pa.int32()), "low": pa.array([low], pa.list_(pa.float64())), "high": pa.array([high], pa.list_(pa.float64())),
                         "centre": pa.array([centre], pa.list_(pa.float64())), "radius": [float(np.sqrt(((y[own] - centre) ** 2).sum(1).max()))],
-                        "nodes": [nodes[own].tobytes()], "copies": [copies[own].tobytes()], "x": [x[own].astype("<f8").tobytes()],
                     })
                     number += 1
 
@@ -146,14 +155,25 @@ def least_of_components(n: int, u: np.ndarray, v: np.ndarray, names: np.ndarray)
             return least
 
 
-def _compare(batches: Iterator[pa.RecordBatch], rotations: dict[int, np.ndarray], threshold: float) -> Iterator[pa.RecordBatch]:
+def _tile(folder: str, name: str, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's nodes, copies and vectors."""
+    raw = mapped(f"{folder}/{name}")
+    n = int(raw[:8].view("<i8")[0])
+    return raw[8 : 8 + 8 * n].view("<i8"), raw[8 + 8 * n : 8 + 16 * n].view("<i8"), raw[8 + 16 * n :].view("<f8").reshape(n, d)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], rotations: dict[int, np.ndarray], threshold: float, folder: str) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple] = {}
     for batch in batches:
-        for sides in batch.column(0):
-            sides = sides.as_py()
-            ids, copies, x = ([np.frombuffer(s[f], t) for s in sides] for f, t in (("nodes", np.int64), ("copies", np.int64), ("x", "<f8")))
-            x = [m.reshape(len(i), -1) for m, i in zip(x, ids, strict=True)]
-            a, b = 0, len(sides) - 1  # a tile with itself comes alone
-            y = [_rotated(m, rotations) for m in x]
+        for a_name, b_name, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            a, b = 0, int(a_name != b_name)  # a tile with itself comes alone
+            for name in (a_name, b_name):
+                if name not in held:
+                    if len(held) >= 4:
+                        held = {a_name: held[a_name]} if a_name in held else {}
+                    own = _tile(folder, name, d)
+                    held[name] = (*own, _rotated(own[2], rotations))
+            ids, copies, x, y = zip(*[held[name] for name in ([a_name] if a == b else [a_name, b_name])], strict=True)
             i, j, p = close_pairs(y[a], y[b], threshold)
             if a == b:
                 i, j, p = (w[i < j] for w in (i, j, p))
@@ -194,33 +214,42 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
     lead = classes.select("node", "v", "copies").mapInArrow(lambda it: _leading(it, rotations), "node long, v array<double>, copies long, d int, lead double")
     lead = scratch.table(lead, "lead")
     dealt = lead.repartitionByRange(parts, "d", "lead").sortWithinPartitions("d", "lead").select("node", "v", "copies")
-    tiles = scratch.table(dealt.mapInArrow(lambda it: _tiles(it, rotations, size), "tile long, d int, low double, high double, centre array<double>, radius double, nodes binary, copies binary, x binary"), "tiles")
+    folder = f"{scratch.path}/tile-files"
+    tiles = dealt.mapInArrow(lambda it: _tiles(it, rotations, size, folder), "tile long, name string, d int, low array<double>, high array<double>, centre array<double>, radius double")
+    tiles = scratch.table(tiles, "tiles")
     scratch.drop("lead")
 
     # Unit vectors with that cosine are at most so far apart.
     reach = (2 - 2 * threshold) ** 0.5 + 1e-9
-    about = tiles.select("tile", "d", "low", "high", "centre", "radius")
 
-    def cells(high) -> DataFrame:
-        return about.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / reach), F.floor(high / reach))))
+    def cells(side: str, room: float) -> DataFrame:
+        """Tiles with the cells of the two leading dimensions that they and ``room`` above them reach into."""
+        out = tiles.select(*[F.col(c).alias(f"{c}_{side}") for c in tiles.columns if c != "d"], "d")
+        for k in (0, 1):
+            low, high = (F.coalesce(F.get(f"{c}_{side}", F.lit(k)), F.lit(0.0)) for c in ("low", "high"))
+            out = out.withColumn(f"cell{k}", F.explode(F.sequence(F.floor((low - room) / reach), F.floor((high + room) / reach))))
+        return out
 
-    a = cells(F.col("high")).toDF("a", "d", "low_a", "high_a", "centre_a", "radius_a", "cell")
-    b = cells(F.col("high") + reach).toDF("b", "d", "low_b", "high_b", "centre_b", "radius_b", "cell")
     apart = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = (F.col("low_a") <= F.col("high_b") + reach) & (F.col("low_b") <= F.col("high_a") + reach) & (apart <= F.col("radius_a") + F.col("radius_b") + reach)
-    pairs = a.join(b, ["d", "cell"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sides = scratch.table(pairs, "pairs").select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    loaded = sides.join(tiles.select("tile", "nodes", "copies", "x"), "tile").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("tile", "nodes", "copies", "x"))).alias("sides")).select("sides")
-    found = scratch.table(loaded.mapInArrow(lambda it: _compare(it, rotations, threshold), "u long, v long, links long"), "found")
+    meet = F.forall(F.zip_with("low_a", "high_b", lambda x, y: x <= y + reach), lambda t: t) & F.forall(F.zip_with("low_b", "high_a", lambda x, y: x <= y + reach), lambda t: t)
+    near = (F.col("tile_a") <= F.col("tile_b")) & meet & (apart <= F.col("radius_a") + F.col("radius_b") + reach)
+    pairs = cells("a", 0.0).join(cells("b", reach), ["d", "cell0", "cell1"]).filter(near).groupBy("tile_a", "tile_b").agg(F.first("name_a").alias("name_a"), F.first("name_b").alias("name_b"), F.first("d").alias("d"))
+    # A task has pairs of one tile next to each other, and a tile's pairs are spread over some tasks.
+    pairs = scratch.table(pairs, "pairs")
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // 32))
+    dealt = pairs.repartition(tasks, "tile_a", F.pmod(F.col("tile_b"), F.lit(8))).sortWithinPartitions("tile_a", "tile_b").select("name_a", "name_b", "d")
+    found = scratch.table(dealt.mapInArrow(lambda it: _compare(it, rotations, threshold, folder), "u long, v long, links long"), "found")
+    scratch.drop("tile-files")
     scratch.drop("tiles", "pairs")
 
     links = found.groupBy("u").agg(F.sum("links").alias("others")).withColumnRenamed("u", "node")
     joined = components(found.select("u", "v"), scratch, "near")
     placed = classes.join(links, "node", "left").join(joined, "node", "left")
     placed = scratch.table(placed.select("v", "first_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "placed")
-    named = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    out = usable.join(placed.join(named, "component").select("v", "n_links", "component_id"), "v", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Written, so that the join with a component of very many vectors can be split.
+    named = scratch.table(placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "named")
+    out = usable.filter("v is not null").join(placed.join(named, "component").select("v", "n_links", "component_id"), "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.unionByName(usable.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     out = scratch.table(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result")
-    scratch.drop("classes", "found", "placed")
+    scratch.drop("classes", "found", "placed", "named")
     return out
