@@ -22,6 +22,8 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 TREES, DEPTH, BINS, RATE, RIDGE = 8, 3, 16, 0.4, 1.0
 #: Labelled URLs that the trees learn from at most, those with the least hash; suffix statistics count all of them.
 SAMPLE = 500_000
+#: Parts that labelled URLs are dealt into; a URL's suffix rate comes from the other parts.
+FOLDS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -165,33 +167,40 @@ def _best(node: dict, names: list[str], edges: dict[str, list[float]], g: float,
     return best
 
 
-def judge_urls(pages: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE, block_from: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE, block_from: float = 0.5, learn_from: Column | None = None) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, block_score.
 
     A null url, or one without '://', has an empty host and path; no rule fits it unless one has both
-    empty. Without labelled URLs the trees say allow. Repeated rows are judged alike.
+    empty. Without labelled URLs the trees say allow. Repeated rows are judged alike and are one URL to learn from,
+    whose suffix's rate is that of other folds; an empty table gives no row. ``learn_from``, a condition over
+    url, holds labelled URLs back from all learning.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).withColumn("host", host).withColumn("path", path)
     text, verdict = rule_column(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", text).withColumn("ruled", verdict).withColumn("suffix", suffix_of(F.col("host")))
-    labelled = parsed.filter("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-
-    # How often a suffix was blocked, shrunk towards one half.
-    suffixes = scratch.table(labelled.groupBy("suffix").agg(((F.sum("label") + 2.0) / (F.count(F.lit(1)) + 4.0)).alias("suffix_rate"), F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_count")), "suffixes")
+    labelled = parsed.filter(F.col("ruled").isNotNull() & (F.lit(True) if learn_from is None else learn_from))
+    blocked = F.sum((F.col("ruled") == "block").cast("double"))
+    urls = labelled.groupBy("url", "host", "path", "suffix").agg(F.count(F.lit(1)).cast("double").alias("url_n"), blocked.alias("url_b"))
+    urls = scratch.table(urls.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS))), "urls")
+    # What a URL learns from is its suffix's rate in all other folds: without its fold, not just without itself,
+    # as a rate that lacks one's own label alone gives that label away.
+    folds = urls.groupBy("suffix", "fold").agg(F.sum("url_n").alias("own_n"), F.sum("url_b").alias("own_b"))
+    suffixes = scratch.table(folds.groupBy("suffix").agg(F.sum("own_n").alias("n"), F.sum("own_b").alias("b")), "suffixes")
     features = lexical(F.col("url"), F.col("host"), F.col("path"))
     names = [*features, "suffix_rate", "suffix_count"]
 
-    def with_features(frame: DataFrame) -> DataFrame:
-        joined = frame.join(suffixes, "suffix", "left")
-        return joined.withColumns({**features, "suffix_rate": F.coalesce("suffix_rate", F.lit(0.5)), "suffix_count": F.coalesce("suffix_count", F.lit(0.0))})
+    def with_features(frame: DataFrame, own_n: Column, own_b: Column) -> DataFrame:
+        """How often a suffix was blocked elsewhere, shrunk towards one half, beside the lexical features."""
+        n, b = (F.coalesce(c, F.lit(0.0)) - own for c, own in ((F.col("n"), own_n), (F.col("b"), own_b)))
+        return frame.join(suffixes, "suffix", "left").withColumns({**features, "suffix_rate": (b + 2.0) / (n + 4.0), "suffix_count": F.log1p(n)})
 
-    n = labelled.count()
-    share = int(min(1.0, sample / max(n, 1)) * 1_000_000)
-    some = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) <= share)
-    rows = scratch.table(with_features(some).select("label", *names), "labelled")
+    count = urls.count()
+    share = int(min(1.0, sample / max(count, 1)) * 1_000_000)
+    some = with_features(urls.filter(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(1_000_000)) < share).join(folds, ["suffix", "fold"]), F.col("own_n"), F.col("own_b"))
+    rows = scratch.table(some.select((F.col("url_b") / F.col("url_n")).alias("label"), *names), "labelled")
     model = boost(rows, names, "label")
-    scratch.drop("labelled")
-    scored = with_features(parsed).withColumn("block_score", model.probability() if n else F.lit(0.0))
+    scratch.drop("labelled", "urls")
+    scored = with_features(parsed, F.lit(0.0), F.lit(0.0)).withColumn("block_score", model.probability() if count else F.lit(0.0))
     method = F.when(F.col("block_score") >= block_from, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "block_score")

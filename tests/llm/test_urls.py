@@ -64,3 +64,15 @@ def test_boosting_learns_an_interaction(spark):
     rows = rows.withColumn("y", ((F.col("a") > 17) & (F.col("b") <= 3)).cast("double"))
     model = boost(rows, ["a", "b"], "y")
     assert rows.filter((model.probability() >= 0.5) != (F.col("y") == 1)).count() < 60
+
+
+def test_labels_held_back_are_learned_from_others(spark):
+    """Held-out URLs of known suffixes are judged by the trees as the rules would, and copies of a URL count once."""
+    rng = random.Random(5)
+    data = [f"http://h{rng.randint(0, 60)}.{rng.choice(['com/en', 'net/de', 'org/es', 'net/fr'])}/{rng.randint(0, 10**6)}" for _ in range(1500)] + ["http://h1.com/en/7"] * 1500
+    pages = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    got = judge_urls(pages, Scratch(spark, "t"), learn_from=~held)
+    rows = got.join(pages, "page_id").filter(held & F.col("rule").isNotNull()).collect()
+    right = sum((r.block_score >= 0.5) == (r.verdict == "block") for r in rows) / len(rows)
+    assert len(rows) > 200 and right > 0.9
