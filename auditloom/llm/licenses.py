@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEXTS
 from .words import ALNUM, LOWER, Chunk, chunks
 
 #: Phrases of which each place counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening words of public licences and usual notices; label, text, mandatory phrases.
+#: Opening words and usual notices; label, text, mandatory phrases. Whole texts stand in licence_texts.
 TEMPLATES = [
     ("mit", "Released under the MIT License.", ["mit license"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ["permission is hereby granted free of charge"]),
@@ -39,12 +40,13 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0.", ["cc by sa"]),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution"]),
     ("unlicense", "This is free and unencumbered software released into the public domain.", ["released into the public domain"]),
+    *TEXTS,
 ]
 
 #: The least share of a template's IDF weight in its place, and how far a mandatory phrase may be from its place.
 LEAST, SLACK = 0.6, 4
-#: Alignments that are compared with the text at one time.
-_ALIGNED = 20_000
+#: Words of templates that are compared with the text at one time.
+_ALIGNED = 400_000
 
 
 class Index(NamedTuple):
@@ -145,8 +147,9 @@ def alignments(c: Chunk, hashes: np.ndarray, index: Index, idf: np.ndarray, leas
         votes = np.bincount(inverse, weights=weight[posting[near]], minlength=len(keys))
         # Words in place weigh half of the score, so with fewer votes it can't reach the least one.
         keys = keys[votes >= (2 * least - 1) * total - 1e-9]
-        for k in range(0, len(keys), _ALIGNED):
-            t, s = keys[k : k + _ALIGNED] // span, keys[k : k + _ALIGNED] % span - len(want)
+        step = max(1, _ALIGNED // len(want))
+        for k in range(0, len(keys), step):
+            t, s = keys[k : k + step] // span, keys[k : k + step] % span - len(want)
             moved = np.zeros((len(t), len(want)), bool)
             for shift in range(-slack, slack + 1):
                 place = (s + shift)[:, None] + np.arange(len(want))
