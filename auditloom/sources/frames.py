@@ -6,6 +6,7 @@ import struct
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import zstandard
 
 MAGIC = b"\x28\xb5\x2f\xfd"
@@ -88,6 +89,79 @@ def walk(data: bytes | memoryview, at: int = 0) -> Frame | Incomplete | Corrupt
     return Frame(at, cursor, content, False, blocks)
 
 
+#: Blocks that a frame may have to be measured together with others; longer ones are walked one by one.
+_ROUNDS = 16
+_CONTENT, _DICTIONARY = np.array(_SIZE_OF_CONTENT), np.array(_SIZE_OF_DICTIONARY)
+
+
+class Spans(NamedTuple):
+    """Frames from a place on, one after another, and what stands behind them as ``walk`` tells it."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    stop: Incomplete | Corrupt | None
+
+    def after(self, at: int) -> int:
+        """Where the last frame ends; ``at`` without one."""
+        return int(self.ends[-1]) if len(self.ends) else at
+
+
+def _measure(data: bytes | memoryview, starts: np.ndarray) -> np.ndarray:
+    """Where frames that begin at ``starts`` end, all at once; -1 where only ``walk`` can tell."""
+    view = np.frombuffer(data, np.uint8)
+    size, ends = len(view), np.full(len(starts), -1, np.int64)
+    # The longest header has 18 bytes, a block's three more.
+    which = np.flatnonzero(starts + 21 <= size)
+    descriptor = view[starts[which] + 4].astype(np.int64)
+    which, descriptor = which[descriptor & 0x08 == 0], descriptor[descriptor & 0x08 == 0]
+    single = descriptor >> 5 & 1
+    content = np.maximum(_CONTENT[descriptor >> 6], single)
+    cursor = starts[which] + 6 - single + _DICTIONARY[descriptor & 3] + content
+    for _ in range(_ROUNDS):
+        inside = cursor + 3 <= size
+        which, descriptor, cursor = which[inside], descriptor[inside], cursor[inside]
+        if not len(which):
+            break
+        header = view[cursor].astype(np.int64) | view[cursor + 1].astype(np.int64) << 8 | view[cursor + 2].astype(np.int64) << 16
+        kind = header >> 1 & 3
+        cursor = cursor + 3 + np.where(kind == _RLE, 1, header >> 3)
+        last = (header & 1 == 1) & (kind != _RESERVED)
+        ends[which[last]] = cursor[last] + (descriptor[last] & 0x04)
+        more = (header & 1 == 0) & (kind != _RESERVED)
+        which, descriptor, cursor = which[more], descriptor[more], cursor[more]
+    ends[ends > size] = -1
+    return ends
+
+
+def boundaries(data: bytes | memoryview, at: int = 0) -> Spans:
+    """All frames from ``at`` on, the same that repeated calls of ``walk`` find.
+
+    Every place of the magic number is measured as if a frame began there, in arrays. Frames that follow each other are
+    then taken in runs; where a run breaks (a skippable frame, many blocks, a magic number inside a frame) ``walk`` goes on.
+    """
+    raw, places, found = bytes(data) if isinstance(data, memoryview) else data, [], at - 1
+    while (found := raw.find(MAGIC, found + 1)) >= 0:
+        places.append(found)
+    starts = np.array(places, np.int64)
+    ends = _measure(raw, starts) if len(starts) else starts
+    breaks = np.flatnonzero(np.append(ends[:-1] != starts[1:], True)) if len(starts) else starts
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        i = int(np.searchsorted(starts, at))
+        if i < len(starts) and starts[i] == at and ends[i] >= 0:
+            last = int(breaks[np.searchsorted(breaks, i)]) + 1
+            last -= int(ends[last - 1] < 0)
+            parts.append((starts[i:last], ends[i:last]))
+            at = int(ends[last - 1])
+            continue
+        one = walk(raw, at)
+        if not isinstance(one, Frame):
+            none = np.zeros(0, np.int64)
+            return Spans(*(np.concatenate([none, *(p[k] for p in parts)]) for k in (0, 1)), one)
+        parts.append((np.array([one.start]), np.array([one.end])))
+        at = one.end
+
+
 @lru_cache(1)
 def _decompressor() -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor()
@@ -100,10 +174,16 @@ def next_magic(data: bytes, start: int = 0) -> int:
 
 def decode(data: bytes | memoryview, frame: Frame) -> str:
     """The frame's text; a skippable frame has none, bytes that aren't UTF-8 become U+FFFD."""
-    if frame.skippable:
+    return text_at(data, frame.start, frame.end)
+
+
+def text_at(data: bytes | memoryview, start: int, end: int) -> str:
+    """The text of the frame from ``start`` to ``end``."""
+    one = bytes(data[start:end])
+    if not one.startswith(MAGIC):
         return ""
     stream = _decompressor().decompressobj()
-    text = stream.decompress(bytes(data[frame.start : frame.end]))
+    text = stream.decompress(one)
     if not stream.eof:
         raise zstandard.ZstdError("the frame's data end early")
     return text.decode("utf-8", "replace")

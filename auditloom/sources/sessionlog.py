@@ -2,15 +2,19 @@
 
 Options: ``path`` (a log, or a folder of logs), ``mode`` (``tail``: lines may reach over frames and damage is
 skipped; ``strict``: rows for proofs), ``chunkBytes``, ``readAheadChunks``, ``maxFrameBytes``, ``maxBytes``
-(strict: the beginning of a log only), ``from`` (a byte offset to begin at), ``logName`` (of files in folders).
+(strict: the beginning of a log only), ``from`` (a byte offset to begin at), ``logName`` (of files in folders),
+``packBytes`` and ``tasks`` (how small logs share a task).
 
-One log is one task. A stream's offset has for each log the byte and the ordinal of the frame to go on
-from; the logs of a micro-batch are decoded on the executors, the driver only walks frame boundaries.
+A log is read by one task, as frames can be found only from the start; small logs share tasks of up to ``packBytes``, but at
+least ``tasks`` tasks are made as long as there are logs. A stream's offset has for each log the byte and the
+ordinal of the frame to go on from; the logs of a micro-batch are decoded on the executors, the driver
+walks the boundaries of new frames, of several logs at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pyarrow as pa
@@ -19,19 +23,45 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from auditloom.plans.workers import reach
 from auditloom.schemas import LINES
-from auditloom.sources.frames import Corrupt, Frame, Incomplete, decode, next_magic, walk
-from auditloom.sources.store import files_under, open_file, size_of
+from auditloom.sources.frames import Corrupt, Incomplete, boundaries, next_magic, text_at
+from auditloom.sources.store import files_under, open_file
 from auditloom.sources.tail import CHUNK_BYTES, MOST_FRAME_BYTES, READ_AHEAD, Tail, strict_rows
 
 LOG_NAME = "session.jsonl.zstd"
 _BATCH = 4096
+#: Bytes of small logs in a task, tasks to make at least, bytes that opening a log is worth, logs walked at a time.
+PACK_BYTES, TASKS, OPEN_COST, WALKERS = 64 << 20, 200, 1 << 20, 16
 
 
-class LogPart(InputPartition):
+class LogPart:
+    """A log, or what a micro-batch reads of it."""
+
     def __init__(self, path: str, start: int = 0, frame: int = 0, end: int | None = None):
         self.path, self.start, self.frame, self.end = path, start, frame, end
 
 
+class LogParts(InputPartition):
+    """The logs of a task."""
+
+    def __init__(self, parts: list[LogPart]):
+        self.parts = parts
+
+
+def packed(sized: Iterable[tuple[LogPart, int]], most: int, tasks: int) -> list[LogParts]:
+    """Logs in tasks of up to ``most`` bytes, each log in one; fewer bytes where that gives less than ``tasks`` tasks."""
+    logs = [(part, size + OPEN_COST) for part, size in sized]
+    target = min(most, -(-sum(cost for _, cost in logs) // max(1, tasks)))
+    out: list[list[LogPart]] = []
+    held = target
+    for part, cost in logs:
+        if held + cost > target:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += cost
+    return [LogParts(parts) for parts in out]
+
+
 class Options:
     def __init__(self, options: dict[str, str]):
         low = {k.lower(): v for k, v in options.items()}
@@ -45,16 +75,17 @@ class Options:
         self.limit = int(low["maxbytes"]) if "maxbytes" in low else None
         self.start = int(low.get("from", 0))
         self.name = low.get("logname", LOG_NAME)
+        self.pack, self.tasks = int(low.get("packbytes", PACK_BYTES)), int(low.get("tasks", TASKS))
 
-    def files(self) -> list[str]:
+    def files(self) -> list[tuple[str, int]]:
         return files_under(self.path, self.name)
 
 
 def read_part(part: LogPart, options: Options) -> Iterator[dict[str, Any]]:
-    """The rows of one log, in bounded memory in tail mode."""
+    """The rows of one log, in bounded memory."""
     with open_file(part.path) as f:
         if options.mode == "strict":
-            yield from strict_rows(f.read(options.limit) if options.limit else f.read())
+            yield from strict_rows(f, options.limit, options.chunk)
             return
         f.seek(part.start)
         tail, left = Tail(part.start, part.frame, options.most), None if part.end is None else part.end - part.start
@@ -90,13 +121,13 @@ class LogReader(DataSourceReader):
     def __init__(self, options: Options):
         self.options = options
 
-    def partitions(self) -> list[LogPart]:
-        return [LogPart(p, self.options.start) for p in self.options.files()]
+    def partitions(self) -> list[LogParts]:
+        logs = [(LogPart(p, self.options.start), size) for p, size in self.options.files()]
+        return packed(logs, self.options.pack, self.options.tasks)
 
-    def read(self, partition: LogPart) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return iter(())
-        return _batches(partition.path, read_part(partition, self.options), dense=True)
+    def read(self, partition: LogParts | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if partition else ():
+            yield from _batches(part.path, read_part(part, self.options), dense=True)
 
 
 def complete_until(path: str, start: int, frame: int, options: Options) -> tuple[int, int]:
@@ -109,20 +140,22 @@ def complete_until(path: str, start: int, frame: int, options: Options) -> tuple
         while True:
             f.seek(start)
             data = f.read(budget)
-            at, spans = 0, []
+            at, spans, found = 0, [], None
             while True:
-                found = walk(data, at)
-                if isinstance(found, Frame):
-                    spans.append(found)
-                    at = found.end
-                elif isinstance(found, Corrupt) and (n := next_magic(data, at + 1)) >= 0:
-                    at = n
-                else:
+                starts, ends, found = boundaries(data, at)
+                spans += zip(starts.tolist(), ends.tolist(), strict=True)
+                at = spans[-1][1] if len(starts) else at
+                if not isinstance(found, Corrupt) or (n := next_magic(data, at + 1)) < 0:
                     break
+                at = n
             used = len(spans)
-            while used and spans[used - 1].end == at and not _ends_line(data, spans[used - 1]):
+            while used and spans[used - 1][1] == at and not _ends_line(data, *spans[used - 1]):
                 used -= 1
-                at = spans[used].start
+                at = spans[used][0]
+            if at and len(data) == budget:
+                # There may be more, which is walked from here: a long log is never held as a whole.
+                start, frame, budget = start + at, frame + used, options.chunk * options.ahead
+                continue
             if at or len(data) < budget or isinstance(found, Corrupt):
                 if not at and isinstance(found, Corrupt):
                     return start, frame
@@ -132,9 +165,9 @@ def complete_until(path: str, start: int, frame: int, options: Options) -> tuple
             budget *= 2  # one frame, or one line, is longer than what was read
 
 
-def _ends_line(data: bytes, frame: Frame) -> bool:
+def _ends_line(data: bytes, start: int, end: int) -> bool:
     try:
-        text = decode(data, frame)
+        text = text_at(data, start, end)
     except Exception:  # what can't be decoded holds no line back
         return True
     return not text or text.endswith("\n")
@@ -149,24 +182,23 @@ class LogStreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
+        """The end of all complete frames. A stream that starts anew walks its logs from their beginning once, so an
+        offset never falls behind one that was recorded before."""
         now = dict(self.last or {})
-        for path in self.options.files():
-            start, frame = now.get(path, (self.options.start, 0))
-            if size_of(path) > start:
-                now[path] = list(complete_until(path, start, frame, self.options))
+        grown = [(path, *now.get(path, (self.options.start, 0))) for path, size in self.options.files() if size > now.get(path, (self.options.start, 0))[0]]
+        with ThreadPoolExecutor(WALKERS) as pool:
+            ends = list(pool.map(lambda log: complete_until(*log, self.options), grown))
+        now |= {path: list(end) for (path, _, _), end in zip(grown, ends, strict=True)}
         self.last = now
         return now
 
-    def partitions(self, start: dict, end: dict) -> list[LogPart]:
-        parts = []
-        for path, (stop, _) in sorted(end.items()):
-            begin, frame = start.get(path, (self.options.start, 0))
-            if stop > begin:
-                parts.append(LogPart(path, begin, frame, stop))
-        return parts
+    def partitions(self, start: dict, end: dict) -> list[LogParts]:
+        spans = [(path, *start.get(path, (self.options.start, 0)), stop) for path, (stop, _) in sorted(end.items())]
+        return packed([(LogPart(path, begin, frame, stop), stop - begin) for path, begin, frame, stop in spans if stop > begin], self.options.pack, self.options.tasks)
 
-    def read(self, partition: LogPart) -> Iterator[pa.RecordBatch]:
-        return _batches(partition.path, read_part(partition, self.options), dense=False)
+    def read(self, partition: LogParts | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if partition else ():
+            yield from _batches(part.path, read_part(part, self.options), dense=False)
 
     def commit(self, end: dict) -> None:
         return None

@@ -26,14 +26,14 @@ def size_of(path: str) -> int:
     return store.get_file_info(inside).size or 0
 
 
-def files_under(path: str, name: str) -> list[str]:
-    """``path`` itself if it is a file, else all files of that name below it, sorted."""
+def files_under(path: str, name: str) -> list[tuple[str, int]]:
+    """``path`` itself if it is a file, else all files of that name below it, sorted; each with its size."""
     store, inside = store_of(path)
     info = store.get_file_info(inside)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size or 0)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     head = path[: len(path) - len(inside)] if path.endswith(inside) else ""
     found = store.get_file_info(fs.FileSelector(inside, recursive=True))
-    return sorted(head + x.path for x in found if x.type == fs.FileType.File and x.base_name == name)
+    return sorted((head + x.path, x.size or 0) for x in found if x.type == fs.FileType.File and x.base_name == name)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from typing import Any
+from typing import IO, Any
 
 import zstandard
 
 from auditloom.functions.jsonish import parse
 from auditloom.schemas import TRIMMED
-from auditloom.sources.frames import MAGIC, Corrupt, Frame, Incomplete, decode, next_magic, walk
+from auditloom.sources.frames import MAGIC, Corrupt, Frame, Incomplete, boundaries, decode, next_magic, text_at, walk
+from auditloom.sources.store import open_file, size_of
 
 CHUNK_BYTES, READ_AHEAD, MOST_FRAME_BYTES = 1 << 20, 4, 64 << 20
 
@@ -119,29 +120,118 @@ class Tail:
         self.frame += 1
 
 
-def strict_rows(data: bytes) -> Iterator[dict[str, Any]]:
+class _Joined:
+    """Bytes in memory, read like a file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def read(self, n: int) -> bytes:
+        out = self.data[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+
+def strict_rows(source: bytes | IO[bytes], limit: int | None = None, chunk: int = CHUNK_BYTES) -> Iterator[dict[str, Any]]:
     """Frames and lines for proofs: up to the first byte that isn't a frame, each frame's lines by itself.
 
-    A frame that can't be decoded still has its own row, so damage can't take leaves away.
+    A frame that can't be decoded still has its own row, so damage can't take leaves away. What is held is a
+    chunk and the frame that it cuts; behind damage bytes are only counted.
     """
-    at, number, records = 0, 0, 0
-    while True:
-        frame = walk(data, at)
-        if not isinstance(frame, Frame):
-            if frame is not None:
-                reason = frame.reason if isinstance(frame, Corrupt) else "the data end inside a frame"
-                yield {"row_kind": "diagnostic", "frame_index": number, "frame_start": at, "kind": "corrupt", "detail": reason, "skipped_bytes": len(data) - at}
+    file = _Joined(source) if isinstance(source, bytes) else source
+    left = float("inf") if limit is None else limit
+
+    def read(n: int) -> bytes:
+        nonlocal left
+        data = file.read(int(min(n, left)))
+        left -= len(data)
+        return data
+
+    held, base, number, records, over = b"", 0, 0, 0, False
+    while not over:
+        # A frame of many chunks doubles what is read, so it isn't walked once for each.
+        data = read(max(chunk, len(held)))
+        over, held = not data, held + data
+        spans = boundaries(held)
+        for start, end in zip(spans.starts.tolist(), spans.ends.tolist(), strict=True):
+            for row in _strict_frame(held, start, end, base, number):
+                if row["row_kind"] == "line":
+                    row["record_index"] = records if row["valid"] else None
+                    records += row["valid"]
+                yield row
+            number += 1
+        at = spans.after(0)
+        base, held = base + at, held[at:]
+        if isinstance(spans.stop, Corrupt):
+            skipped = len(held)
+            while data := read(chunk):
+                skipped += len(data)
+            yield {"row_kind": "diagnostic", "frame_index": number, "frame_start": base, "kind": "corrupt", "detail": spans.stop.reason, "skipped_bytes": skipped}
             return
-        yield {"row_kind": "frame", "frame_index": number, "frame_start": at, "frame_end": frame.end, "leaf": leaf(data[at : frame.end]), "bytes": frame.end - at}
-        try:
-            text = decode(data, frame)
-        except zstandard.ZstdError:
-            text = ""
-        for n, line in enumerate(text.split("\n")):
-            line = line.strip(TRIMMED)
-            if line:
-                raw = line.encode("utf-8", "surrogatepass")
-                valid = is_json(line)
-                yield {"row_kind": "line", "frame_index": number, "frame_start": at, "frame_end": frame.end, "line_no": n, "line": line, "valid": valid, "record_index": records if valid else None, "leaf": leaf(raw), "bytes": len(raw)}
-                records += valid
-        at, number = frame.end, number + 1
+    if held:
+        yield {"row_kind": "diagnostic", "frame_index": number, "frame_start": base, "kind": "corrupt", "detail": "the data end inside a frame", "skipped_bytes": len(held)}
+
+
+def _strict_frame(held: bytes, start: int, end: int, base: int, number: int) -> Iterator[dict[str, Any]]:
+    here = {"frame_index": number, "frame_start": base + start, "frame_end": base + end}
+    yield {"row_kind": "frame", **here, "leaf": leaf(held[start:end]), "bytes": end - start}
+    try:
+        text = text_at(held, start, end)
+    except zstandard.ZstdError:
+        text = ""
+    for n, line in enumerate(text.split("\n")):
+        line = line.strip(TRIMMED)
+        if line:
+            raw = line.encode("utf-8", "surrogatepass")
+            yield {"row_kind": "line", **here, "line_no": n, "line": line, "valid": is_json(line), "leaf": leaf(raw), "bytes": len(raw)}
+
+
+class Follower:
+    """One growing log followed without Spark, by a process that keeps its place between polls.
+
+    ``poll`` gives the rows that are new, ``stats`` the counts since the place it began at; ``rewind`` forgets both and
+    begins anew, as after a checkpoint that the log no longer fits. A closed follower opens the log again when it polls.
+    """
+
+    def __init__(self, path: str, start: int = 0, frame: int = 0, chunk: int = CHUNK_BYTES, ahead: int = READ_AHEAD, most_frame_bytes: int = MOST_FRAME_BYTES):
+        self.path, self.budget, self.most = path, chunk * max(1, ahead), most_frame_bytes
+        self.file: IO[bytes] | None = None
+        self.rewind(start, frame)
+
+    def rewind(self, start: int = 0, frame: int = 0) -> None:
+        self.close()
+        self.tail, self.at, self.first = Tail(start, frame, self.most), start, frame
+        self.problems: list[dict[str, Any]] = []
+
+    def open(self) -> Follower:
+        if self.file is None:
+            self.file = open_file(self.path)
+        return self
+
+    def close(self) -> None:
+        file, self.file = self.file, None
+        if file is not None:
+            file.close()
+
+    __enter__ = open
+
+    def __exit__(self, *_: Any) -> None:
+        self.close()
+
+    def poll(self) -> list[dict[str, Any]]:
+        """The lines and diagnostics of the next bytes, as many as were allowed; none at the log's present end."""
+        self.open().file.seek(self.at)
+        data = self.file.read(self.budget)
+        self.at += len(data)
+        rows = list(self.tail.feed(data))
+        self.problems += [r for r in rows if r["row_kind"] == "diagnostic"]
+        return rows
+
+    @property
+    def at_end(self) -> bool:
+        return self.at >= size_of(self.path)
+
+    @property
+    def stats(self) -> dict[str, Any]:
+        t = self.tail
+        return {"frames": t.frame - self.first, "records": t.records, "checkpoint": t.checkpoint, "bytes_read": t.received, "pending_bytes": t.pending, "diagnostics": list(self.problems)}

@@ -1,9 +1,11 @@
 import os
+import random
+import struct
 
 import pytest
 import zstandard
 
-from auditloom.sources.frames import MAGIC, Corrupt, Frame, Incomplete, decode, next_magic, walk
+from auditloom.sources.frames import MAGIC, Corrupt, Frame, Incomplete, boundaries, decode, next_magic, walk
 from auditloom.testing import frame, skippable
 
 
@@ -62,3 +64,32 @@ def test_bad_utf8_is_replaced_and_bad_payload_raises():
     broken[-1] ^= 1
     with pytest.raises(zstandard.ZstdError):
         decode(bytes(broken), walk(bytes(broken)))
+
+
+def one_by_one(data, at=0):
+    spans = []
+    while isinstance(found := walk(data, at), Frame):
+        spans.append((found.start, found.end))
+        at = found.end
+    return spans, found
+
+
+def test_boundaries_equal_repeated_walks():
+    """Also over skippable frames, frames of many blocks, magic numbers inside frames, cuts and flipped bytes."""
+    rng = random.Random(4)
+    # Raw blocks, so that the magic number stands in the frame as it is.
+    raw = MAGIC + bytes([0]) + bytes([0x50]) + b"".join(struct.pack("<I", len(b) << 3 | last)[:3] + b for b, last in ((MAGIC * 40, 0), (b"x" + MAGIC, 0), (MAGIC, 1)))
+    blocks = MAGIC + bytes([0, 0x50]) + b"".join(struct.pack("<I", 1 << 3 | (i == 39))[:3] + b"a" for i in range(40))
+    kinds = [lambda: frame({"i": rng.random()}), lambda: skippable(MAGIC * rng.randint(0, 3)), lambda: raw, lambda: blocks, lambda: frame({"t": os.urandom(rng.randint(0, 300_000)).hex()}), lambda: zstandard.ZstdCompressor(write_checksum=True, write_content_size=False).compress(b"{}\n" * 99)]
+    for n in range(120):
+        data = b"".join(rng.choice(kinds[:4] + kinds[5:] if n % 10 else kinds)() for _ in range(rng.randint(0, 60)))
+        if n % 3 == 1:
+            data = data[: rng.randint(0, len(data))]
+        elif n % 3 == 2 and data:
+            at = rng.randrange(len(data))
+            data = data[:at] + bytes([rng.randrange(256)]) + data[at + 1 :]
+        spans = boundaries(data)
+        assert (list(zip(spans.starts.tolist(), spans.ends.tolist())), spans.stop) == one_by_one(data)
+        if len(spans.starts) > 3:
+            part = boundaries(memoryview(data), int(spans.starts[2]))
+            assert part.starts.tolist() == spans.starts[2:].tolist() and part.after(0) == spans.after(0)

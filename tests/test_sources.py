@@ -5,6 +5,7 @@ import pytest
 
 from auditloom import read_ledger, read_lines, records_of, tail
 from auditloom.sources.discover import find_session_logs, resolve_log
+from auditloom.sources.sessionlog import LogPart, Options, complete_until, packed
 from auditloom.streaming.pairing import calls_by_window, pair_stream
 from auditloom.streaming.sinks import once_per_line, to_parquet
 from auditloom.testing import frame, log, session_records
@@ -111,3 +112,22 @@ def test_windows(spark, tmp_path):
     write(tmp_path / "session.jsonl.zstd", log(session_records(4, 3)))
     records = records_of(read_lines(spark, str(tmp_path)))
     assert sum(r.calls for r in calls_by_window(records).collect()) == 12
+
+
+def test_small_logs_share_tasks(spark, tmp_path):
+    parts = packed([(LogPart(str(i)), 100) for i in range(1000)], 64 << 20, 10)
+    assert [p.path for t in parts for p in t.parts] == [str(i) for i in range(1000)] and 10 <= len(parts) <= 17
+    assert len(packed([(LogPart(str(i)), 100) for i in range(5)], 64 << 20, 200)) == 5 and packed([], 1, 1) == []
+    assert [len(t.parts) for t in packed([(LogPart("a"), 1 << 30), (LogPart("b"), 0), (LogPart("c"), 0)], 64 << 20, 1)] == [1, 2]
+    for i in range(12):
+        write(tmp_path / str(i) / "session.jsonl.zstd", log(session_records(2, 1)))
+    lines = read_lines(spark, str(tmp_path), tasks=3)
+    assert lines.rdd.getNumPartitions() == 3 and lines.groupBy("path").count().count() == 12
+
+
+def test_offsets_of_logs_longer_than_what_is_read_at_once(tmp_path):
+    data = log(session_records(30, 4)) + b"?" * 9 + frame(text='{"type":"a"}\n{"half')
+    path = write(tmp_path / "session.jsonl.zstd", data)
+    for chunk in (50, 333, 1 << 20):
+        got = complete_until(path, 0, 0, Options({"path": path, "chunkBytes": str(chunk), "readAheadChunks": "1"}))
+        assert got == (len(data) - len(frame(text='{"type":"a"}\n{"half')), len(session_records(30, 4)))

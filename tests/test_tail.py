@@ -1,7 +1,8 @@
 import hashlib
+import io
 import os
 
-from auditloom.sources.tail import Tail, strict_rows
+from auditloom.sources.tail import Follower, Tail, strict_rows
 from auditloom.testing import frame, log, skippable
 
 
@@ -87,3 +88,38 @@ def test_strict_rows_stop_and_hash():
     assert [r["row_kind"] for r in rows] == ["frame", "line", "line", "frame", "line", "diagnostic"]
     assert rows[0]["leaf"] == hashlib.sha256(b"\0" + data[: rows[0]["frame_end"]]).digest()
     assert rows[1]["leaf"] == hashlib.sha256(b'\0{"type":"a"}').digest() and rows[2]["valid"] is False
+
+
+def test_strict_rows_in_chunks_equal_those_of_the_whole():
+    whole = log(records(40)) + skippable(b"q" * 50) + frame({"t": os.urandom(3000).hex()}) + log(records(3))
+    for data in (whole, whole[:-4], whole + b"no frame at all" * 30, whole[:200] + b"junk" + whole, b"", b"ab", b"abcd"):
+        want = list(strict_rows(data))
+        for chunk in (1, 7, 64, 1000):
+            assert list(strict_rows(io.BytesIO(data), chunk=chunk)) == want
+        assert list(strict_rows(io.BytesIO(data), 150, 16)) == list(strict_rows(data[:150]))
+    assert want[0]["skipped_bytes"] == 4 and sum(r["row_kind"] == "frame" for r in strict_rows(whole)) == 45
+
+
+def test_a_follower_polls_rewinds_and_counts(tmp_path):
+    path, first, more = tmp_path / "log", log(records(6)), log(records(4, 6))
+    path.write_bytes(first + more[:-3])
+    with Follower(str(path), chunk=64, ahead=2) as follower:
+        rows = []
+        while not follower.at_end:
+            rows += follower.poll()
+        assert [r["frame_index"] for r in rows] == list(range(9)) and follower.poll() == []
+        stats = follower.stats
+        assert stats["frames"] == stats["records"] == 9 and 0 < stats["pending_bytes"] < len(more) and stats["diagnostics"] == []
+        path.write_bytes(first + more + b"junk, more junk")
+        follower.close()
+        assert [r["row_kind"] for r in follower.poll()] == ["line", "diagnostic"]
+        while not follower.at_end:
+            follower.poll()
+        assert follower.stats["bytes_read"] == path.stat().st_size and [d["kind"] for d in follower.stats["diagnostics"]] == ["corrupt"]
+        offset, number = len(first), 6
+        follower.rewind(offset, number)
+        assert follower.stats["frames"] == 0 and follower.stats["checkpoint"] == (offset, number) and follower.stats["diagnostics"] == []
+        while not follower.at_end:
+            follower.poll()
+        assert follower.stats["frames"] == follower.stats["records"] == 4
+    assert follower.file is None
