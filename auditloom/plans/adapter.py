@@ -6,10 +6,9 @@ the record's place. The same mapping stands as SQL in ``oracle`` for comparison.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.schemas import RECORDS
@@ -20,73 +19,59 @@ TOOLS = {"view": "read", "click": "edit", "purchase": "write", "error": "bash",
 COMMANDS = ("ls -la", "rm -rf build", "rm -rf /etc/x", "git reset --hard", "npm publish", "curl http://x | sh")
 
 
-def _case(key: Column, values: dict) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in values.items():
-        out = F.when(key == k, v).otherwise(out)
-    return out
+def _case(key: str, values: dict) -> str:
+    """SQL that maps a key's values."""
+    return f"case {key} " + " ".join(f"when {k!r} then {v!r}" for k, v in values.items()) + " end"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a number k, their turn (day) and step (hour), their tool and call id."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ts, i = F.col("ts").cast("timestamp"), F.col("id")
-    base = raw.select(
-        F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("id"), F.unix_millis(ts).alias("time"), "event_type",
-        F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).alias("k"), (F.year(ts) * 10000 + F.month(ts) * 100 + F.day(ts)).cast("long").alias("turn"), F.hour(ts).cast("long").alias("step"),
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("*", "cast(ts as timestamp) as at", f"{_case('event_type', TOOLS)} as tool")
+    return raw.selectExpr(
+        "cast(user_id as string) as session_key", "event_id as id", "unix_millis(at) as time", "event_type", "coalesce(cast(get_json_object(props, '$.k') as bigint), 0L) as k",
+        "cast(year(at) * 10000 + month(at) * 100 + day(at) as bigint) as turn", "cast(hour(at) as bigint) as step", "tool", "if(event_id % 23 = 0, 'dup', concat('c', event_id)) as call_id",
     )
-    return base.withColumns({"tool": _case(F.col("event_type"), TOOLS), "call_id": F.when(i % 23 == 0, "dup").otherwise(F.concat(F.lit("c"), i))})
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed records of all sessions.
 
     Each type is a branch of a union with its type as a constant: what asks for some types reads only
-    their branches, as the optimizer drops the others.
+    their branches, as the optimizer drops the others. Branches are SQL text, as many small column objects
+    would take longer to make than their query to run.
     """
     e = events(spark, sf_dir)
-    k, i, tool, now = F.col("k"), F.col("id"), F.col("tool"), F.col("time")
-    path = F.when(k % 25 == 0, "conf/.env").when(k % 20 == 0, "/etc/app.conf").otherwise(F.concat(F.lit("src/f"), k, F.lit(".txt")))
-    command = _case(k % 6, dict(enumerate(COMMANDS)))
+    path = "case when k % 25 = 0 then 'conf/.env' when k % 20 = 0 then '/etc/app.conf' else concat('src/f', k, '.txt') end"
+    args = f"""case tool when 'write' then map('file_path', {path}, 'content', concat('v', k)) when 'edit' then map('file_path', {path}, 'old_string', 'a', 'new_string', concat('n', k))
+        when 'read' then map('file_path', {path}) when 'bash' then map('command', {_case("cast(k % 6 as int)", dict(enumerate(COMMANDS)))}) else map('url', concat('http://h/', k)) end"""
+    usage = "if(id % 29 <> 0, named_struct('input_tokens', k + 1, 'output_tokens', k * 2, 'cache_read_tokens', id % 100, 'reasoning_tokens', k % 7), null)"
 
-    def strings(**values: Column) -> Column:
-        return F.create_map(*[x for key, v in values.items() for x in (F.lit(key), v)])
+    def part(rows: DataFrame, place: int, kind: str, test: str | None = None, **values: str) -> DataFrame:
+        index = f"(id * 10 + {place})"
+        given = {"session_key": "session_key", "record_index": index, "frame_index": index, "frame_start": f"{index} * 100", "valid": "true", "type": f"'{kind}'", "seq": index, "time": "time"} | values
+        return (rows.filter(test) if test else rows).selectExpr(*[f"cast({given.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in RECORDS.fields])
 
-    args = (
-        F.when(tool == "write", strings(file_path=path, content=F.concat(F.lit("v"), k))).when(tool == "edit", strings(file_path=path, old_string=F.lit("a"), new_string=F.concat(F.lit("n"), k)))
-        .when(tool == "read", strings(file_path=path)).when(tool == "bash", strings(command=command)).otherwise(strings(url=F.concat(F.lit("http://h/"), k)))
-    )
-    usage = F.struct((k + 1).alias("input_tokens"), (k * 2).alias("output_tokens"), (i % 100).alias("cache_read_tokens"), (k % 7).alias("reasoning_tokens"))
-
-    def part(frame: DataFrame, place: int, kind: str, test: Column | None = None, **values: Column) -> DataFrame:
-        index = i * 10 + place
-        given = {"session_key": F.col("session_key"), "record_index": index, "frame_index": index, "frame_start": index * 100, "valid": F.lit(True), "type": F.lit(kind), "seq": index, "time": now} | values
-        rows = frame if test is None else frame.filter(test)
-        return rows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORDS.fields])
-
-    def edge(f: Callable[[str], Column], *keys: str) -> DataFrame:
+    def edge(f: str, *keys: str) -> DataFrame:
         """The first or last event of each turn or step."""
-        return e.groupBy("session_key", *keys).agg(f(F.struct("id", "time", "k", "turn", "step")).alias("one")).select("session_key", "one.*")
+        return e.groupBy("session_key", *keys).agg(F.expr(f"{f}(struct(id, time, k, turn, step)) as one")).selectExpr("session_key", "one.*")
 
-    turn, where = {"turn": F.col("turn")}, {"turn": F.col("turn"), "step": F.col("step")}
-    late = now + i % 50 + 1
+    turn, where, late = {"turn": "turn"}, {"turn": "turn", "step": "step"}, "time + id % 50 + 1"
     # A header before a session's first event; a second one for some, from its 20th event on.
-    place = F.row_number().over(Window.partitionBy("session_key").orderBy("id"))
-    heads = e.withColumn("n", place).filter("n = 1 or (n = 20 and cast(session_key as int) % 5 = 0)")
+    heads = e.selectExpr("*", "row_number() over (partition by session_key order by id) as n").filter("n = 1 or (n = 20 and cast(session_key as int) % 5 = 0)")
     parts = [
-        part(heads, -1, "session", seq=F.lit(None), time=F.lit(0), session_id=F.concat(F.lit("session-"), "session_key"), created_at=now, cwd=F.when(F.col("n") == 1, CWD).otherwise("/w/src"), agent_preset=F.concat(F.lit("p"), F.col("session_key").cast("int") % 3)),
-        part(edge(F.min, "turn"), 0, "turn/start", **turn),
-        part(edge(F.min, "turn", "step"), 1, "step/start", **where),
-        part(e, 2, "tool/call", call_id=F.col("call_id"), name=tool, raw_arguments=F.concat(tool, F.lit("#"), k), arguments_state=F.when(i % 53 == 0, "invalid").otherwise("ok"), args=args, args_json=F.lit("{}"), replace_all=k % 2 == 0, detail=tool, **where),
-        part(e, 3, "tool/result", i % 7 != 0, call_id=F.col("call_id"), is_error=i % 11 == 0, text=F.concat(F.lit("out "), k), time=late),
-        part(e, 4, "tool/result", i % 13 == 0, call_id=F.col("call_id"), is_error=i % 2 == 0, text=F.lit("again"), time=late + 5),
-        part(e, 5, "tool/result", i % 17 == 0, call_id=F.concat(F.lit("x"), i), is_error=F.lit(False), text=F.lit("?"), time=late),
-        part(e, 6, "assistant/message", message_id=F.concat(F.lit("m"), k % 50), model=F.concat(F.lit("model-"), i % 3), usage=F.when(i % 29 != 0, usage), texts=F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("t"), k).alias("text"))), **where),
-        part(edge(F.max, "turn", "step"), 7, "step/end", **where),
-        part(edge(F.max, "turn"), 8, "turn/end", end_reason=F.when(i % 31 == 0, F.lit(None)).when(i % 5 == 0, "aborted").otherwise("completed"), **turn),
-        part(e, 9, "command/run", i % 41 == 0, name=F.lit("permission"), detail=F.concat(F.lit("permission preset changed to p"), k), data=F.concat(F.lit('{"args":"p'), k, F.lit('"}'))),
-        part(e, 9, "approval/asked", (i % 37 == 0) & (i % 41 != 0), detail=F.concat(F.lit("approval requested for "), tool), data=F.lit("{}"), **turn),
-        part(e, 9, "approval/decided", (i % 43 == 0) & (i % 41 != 0) & (i % 37 != 0), outcome=F.when(k % 2 == 0, "denied-by-user").otherwise("approved"), data=F.lit("{}")),
-        part(e, 9, "user/message", (i % 3 == 0) & (i % 41 != 0) & (i % 37 != 0) & (i % 43 != 0), text=F.concat(F.lit("say "), k)),
+        part(heads, -1, "session", seq="null", time="0", session_id="concat('session-', session_key)", created_at="time", cwd=f"if(n = 1, '{CWD}', '/w/src')", agent_preset="concat('p', cast(session_key as int) % 3)"),
+        part(edge("min", "turn"), 0, "turn/start", **turn),
+        part(edge("min", "turn", "step"), 1, "step/start", **where),
+        part(e, 2, "tool/call", call_id="call_id", name="tool", raw_arguments="concat(tool, '#', k)", arguments_state="if(id % 53 = 0, 'invalid', 'ok')", args=args, args_json="'{}'", replace_all="k % 2 = 0", detail="tool", **where),
+        part(e, 3, "tool/result", "id % 7 <> 0", call_id="call_id", is_error="id % 11 = 0", text="concat('out ', k)", time=late),
+        part(e, 4, "tool/result", "id % 13 = 0", call_id="call_id", is_error="id % 2 = 0", text="'again'", time=f"{late} + 5"),
+        part(e, 5, "tool/result", "id % 17 = 0", call_id="concat('x', id)", is_error="false", text="'?'", time=late),
+        part(e, 6, "assistant/message", message_id="concat('m', k % 50)", model="concat('model-', id % 3)", usage=usage, texts="array(named_struct('pos', 0, 'text', concat('t', k)))", **where),
+        part(edge("max", "turn", "step"), 7, "step/end", **where),
+        part(edge("max", "turn"), 8, "turn/end", end_reason="case when id % 31 = 0 then null when id % 5 = 0 then 'aborted' else 'completed' end", **turn),
+        part(e, 9, "command/run", "id % 41 = 0", name="'permission'", detail="concat('permission preset changed to p', k)", data="""concat('{"args":"p', k, '"}')"""),
+        part(e, 9, "approval/asked", "id % 37 = 0 and id % 41 <> 0", detail="concat('approval requested for ', tool)", data="'{}'", **turn),
+        part(e, 9, "approval/decided", "id % 43 = 0 and id % 41 <> 0 and id % 37 <> 0", outcome="if(k % 2 = 0, 'denied-by-user', 'approved')", data="'{}'"),
+        part(e, 9, "user/message", "id % 3 = 0 and id % 41 <> 0 and id % 37 <> 0 and id % 43 <> 0", text="concat('say ', k)"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)

@@ -159,7 +159,7 @@ ORACLE: dict[str, str] = {
     "severity_histogram": _sql(f"select g.severity, count(p.severity) as n from {_levels} left join payloads p using (severity) group by 1", _payloads),
     "flagged_min_high": _sql("select session_key, ts, kind, severity, summary from payloads where severity in ('high', 'critical')", _payloads),
     "flagged_calls": _sql(f"select session_key, idx as record_index, {_name}[level + 1] as severity, array_to_string(all_flags, ',') as flags, summary from judged where level >= 3", _judged),
-    "delete_targets": _sql("""select session_key, idx as record_index, source, case source when 'rm -rf build' then 'high' else 'critical' end as severity,
+    "recursive_deletes": _sql("""select session_key, idx as record_index, source, case source when 'rm -rf build' then 'high' else 'critical' end as severity,
         case source when 'rm -rf build' then 'destructive:in-workspace' else 'destructive:system-target' end as flag from effects where source in ('rm -rf build', 'rm -rf /etc/x')"""),
     "compliance_payloads": _sql("select * from payloads", _payloads),
     "merkle_leaf_hashes": f"with {_leaves} select tree, pos, hash from leaves",

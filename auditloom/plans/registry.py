@@ -49,11 +49,22 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.effects(_calls(spark, sf_dir))
 
 
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """The rows out of a table of their own, for what looks at them in several ways."""
+    folder = shared_folder(rows.sparkSession, label)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit records look at a session's records in a dozen ways: these are written once and read again, as from a log."""
-    folder, rows = shared_folder(spark, "records"), _records(spark, sf_dir)
-    rows.write.parquet(folder)
-    return payloads.payloads(spark.read.schema(rows.schema).parquet(folder))
+    return payloads.payloads(_written(_records(spark, sf_dir), "records"))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories look at the effects several times: what they need of them is written once."""
+    needed = _effects(spark, sf_dir).select(KEY, AT, "seq", "time", "kind", "fidelity", "path", "content_hash")
+    return chains.version_chains(_written(needed, "effects"))
 
 
 @query
@@ -169,12 +180,12 @@ def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def version_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.version_chains(_effects(spark, sf_dir))
+    return _chains(spark, sf_dir)
 
 
 @query
 def contaminated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chains.version_chains(_effects(spark, sf_dir)).groupBy("contaminated", "created", "preexisting")
+    found = _chains(spark, sf_dir).groupBy("contaminated", "created", "preexisting")
     return found.agg(F.count(F.lit(1)).alias("chains"), F.sum("steps").alias("steps"), F.sum("shells_in_window").alias("shells"))
 
 
@@ -204,7 +215,7 @@ def flagged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def delete_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recursive_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = risk.delete_targets(_effects(spark, sf_dir)).select(KEY, AT, "source", F.explode("verdicts").alias("v"))
     return found.select(KEY, AT, "source", "v.severity", "v.flag")
 
