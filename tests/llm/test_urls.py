@@ -5,8 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from auditloom.llm import urls as module
 from auditloom.llm.scratch import Scratch
-from auditloom.llm.urls import RULES, boost, judge_urls, lexical
+from auditloom.llm.urls import RATE, RIDGE, RULES, Split, boost, judge_urls, lexical
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -76,3 +77,95 @@ def test_labels_held_back_are_learned_from_others(spark):
     rows = got.join(pages, "page_id").filter(held & F.col("rule").isNotNull()).collect()
     right = sum((r.block_score >= 0.5) == (r.verdict == "block") for r in rows) / len(rows)
     assert len(rows) > 200 and right > 0.9
+
+
+def value(node, row):
+    while isinstance(node, Split):
+        node = node.low if row[node.feature] <= node.threshold else node.high
+    return node
+
+
+def brute_boost(rows, names, trees, depth, edges):
+    """The same trees by looking at every row for every possible split."""
+    mean = sum(r["y"] for r in rows) / len(rows)
+    base, grown = math.log(mean / (1 - mean)), []
+
+    def grow(some, level):
+        g, h = math.fsum(r["g"] for r in some), math.fsum(r["h"] for r in some)
+        best, gain = None, 1e-6
+        for name in names if level < depth else ():
+            for edge in edges[name]:
+                left = [r for r in some if r[name] <= edge]
+                lg, lh = math.fsum(r["g"] for r in left), math.fsum(r["h"] for r in left)
+                if lh < 1e-3 or h - lh < 1e-3:
+                    continue
+                now = lg**2 / (lh + RIDGE) + (g - lg) ** 2 / (h - lh + RIDGE) - g**2 / (h + RIDGE)
+                if now > gain * (1 + 1e-9):
+                    best, gain = (name, edge), now
+        if not best:
+            return RATE * g / (h + RIDGE)
+        return Split(*best, *(grow([r for r in some if (r[best[0]] <= best[1]) == side], level + 1) for side in (True, False)))
+
+    for _ in range(trees):
+        for r in rows:
+            p = 1 / (1 + math.exp(-(base + sum(value(t, r) for t in grown))))
+            r["g"], r["h"] = r["y"] - p, p * (1 - p)
+        grown.append(grow(rows, 0))
+    return base, grown
+
+
+def same(a, b):
+    if isinstance(a, Split) and isinstance(b, Split):
+        return (a.feature, a.threshold) == (b.feature, b.threshold) and same(a.low, b.low) and same(a.high, b.high)
+    # A split whose two sides got the same value stands for a leaf.
+    return not isinstance(a, Split) and not isinstance(b, Split) and abs(a - b) < 1e-9
+
+
+def test_trees_equal_brute_force(spark):
+    rng = random.Random(8)
+    data = [{"a": float(rng.randint(0, 30)), "b": rng.random(), "c": float(rng.randint(0, 2))} for _ in range(700)]
+    for r in data:
+        r["y"] = float((r["a"] > 12) != (r["b"] < 0.3) or rng.random() < 0.1)
+    frame = spark.createDataFrame([tuple(r.values()) for r in data], "a double, b double, c double, y double")
+    cuts = [k / 16 for k in range(1, 16)]
+    edges = {n: sorted({sorted(r[n] for r in data)[math.ceil(c * len(data)) - 1] for c in cuts}) for n in "abc"}
+    model = boost(frame, ["a", "b", "c"], "y", trees=4)
+    base, grown = brute_boost(data, ["a", "b", "c"], 4, module.DEPTH, edges)
+    assert abs(model.base - base) < 1e-12 and len(model.trees) == 4 and all(same(x, y) for x, y in zip(model.trees, grown))
+    got = frame.select(model.probability().alias("p")).collect()
+    assert max(abs(r.p - 1 / (1 + math.exp(-(base + sum(value(t, d) for t in grown))))) for r, d in zip(got, data)) < 1e-9
+
+
+def brute_features(url):
+    host, path = parse(url)
+    n, entropy = Counter(url), 0.0
+    for x in n.values():
+        entropy -= x / len(url) * math.log2(x / len(url))
+    digits = "0123456789"
+    return {
+        "length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "dots": host.count("."), "hyphens": url.count("-"), "digits": sum(n[d] for d in digits) / max(len(url), 1),
+        "entropy": entropy, "parameters": n["="] + n["&"], "marks": n["?"] + n["#"] + n["%"], "host_digits": sum(host.count(d) for d in digits),
+    }
+
+
+def test_verdicts_of_the_method_equal_brute_force(spark, monkeypatch):
+    """Every row's score from its own characters and from counts of suffixes over all rows."""
+    models, plain = [], module.boost
+    monkeypatch.setattr(module, "boost", lambda *a: models.append(plain(*a)) or models[-1])
+    data = urls() + ["", "http://h.io/" + "a1-" * 3000, "http://net/de/9"] * 3
+    got = judge_urls(spark.createDataFrame(list(enumerate(data)), "page_id long, url string"), Scratch(spark, "t")).collect()
+    seen, blocked = Counter(), Counter()
+    for u in data:
+        host, path = parse(u)
+        suffix, verdict = ".".join(host.split(".")[-2:]), rule(host, path)[1]
+        seen[suffix] += verdict is not None
+        blocked[suffix] += verdict == "block"
+    assert len(got) == len(data) and len(models[0].trees) == module.TREES
+    for r in got:
+        host, path = parse(data[r.page_id])
+        suffix = ".".join(host.split(".")[-2:])
+        row = brute_features(data[r.page_id] or "") | {"suffix_rate": (blocked[suffix] + 2) / (seen[suffix] + 4), "suffix_count": math.log1p(seen[suffix])}
+        score = 1 / (1 + math.exp(-(models[0].base + sum(value(t, row) for t in models[0].trees))))
+        # A feature within rounding of a threshold may fall on either side of it.
+        assert abs(r.block_score - score) < 1e-9, (data[r.page_id][:80], r.block_score, score)
+        assert r.verdict == (rule(host, path)[1] or ("block" if r.block_score >= 0.5 else "allow"))
