@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -135,3 +136,40 @@ def test_probabilities_in_parts_equal_the_whole():
     got = language.probabilities(c, model)
     slots, begin = language.features(c.folded, c.start, c.end, c.hashes(), model.lexicon)
     assert np.allclose(got, forward_backward(language.emissions(model.weights, slots, begin).astype(np.float64), model.transitions, c.first), atol=1e-5)
+
+
+def test_rows_equal_brute_force(spark, rows):
+    """Each word's features by itself, sums over all ways through a text in logarithms, means word by word."""
+    model = fit(frame(spark, rows))
+    some = [r for r in rows if r[0] is None or r[0] % 6 == 0 or r[0] >= 900 and r[0] != 904] + [(5000, "x", None), (5001, "Ka ka-KA 77 ÇAO", None), (5002, "1 2 3", None)]
+    got = {(r.doc_id, r.text): r for r in identify(frame(spark, some), model).collect()}
+    assert len(got) == len(some)
+
+    def logsum(x):
+        top = max(x)
+        return top + np.log(sum(np.exp(v - top) for v in x))
+
+    def scores_of(word):
+        (c,) = language.words_of(language.pa.array([word]))
+        slots, begin = language.features(c.folded, c.start, c.end, c.hashes(), model.lexicon)
+        one = language.emissions(model.weights, slots, begin)
+        assert len(one) == 1
+        return one[0].astype(float).tolist()
+
+    n, t = range(len(model.labels)), model.transitions.tolist()
+    for doc_id, text, _ in some:
+        words = [w for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", text or "")]
+        r = got[(doc_id, text)]
+        if not any(map(str.isalpha, text or "")):
+            assert (r._pred, r._score, r._lettered) == ("und", 0.0, False)
+            continue
+        e = [scores_of(w) for w in words]
+        ahead = [[logsum([t[x][y] for x in n]) + e[0][y] for y in n]]
+        for own in e[1:]:
+            ahead.append([logsum([ahead[-1][x] + t[x][y] for x in n]) + own[y] for y in n])
+        back = [[0.0 for _ in n]]
+        for own in e[:0:-1]:
+            back.insert(0, [logsum([t[x][y] + own[y] + back[0][y] for y in n]) for x in n])
+        total = logsum(ahead[-1])
+        mean = [sum(np.exp(a[y] + b[y] - total) for a, b in zip(ahead, back)) / len(words) for y in n]
+        assert r._pred == model.labels[int(np.argmax(mean))] and abs(r._score - max(mean)) < 1e-4, (doc_id, r._score, mean)

@@ -1,8 +1,10 @@
+import math
+import random
 import re
 
 import numpy as np
 
-from auditloom.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from auditloom.llm.licenses import LEAST, PHRASES, SLACK, TEMPLATES, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,3 +116,53 @@ def test_alignments_equal_a_search_of_all_places(spark):
     want = [search(t) for t in texts]
     assert [r.labels for r in sorted(rows)] == [x for x, _ in want]
     assert np.allclose([r.score for r in sorted(rows)], [x for _, x in want])
+
+
+def brute_labels(texts):
+    """Every template laid at every place of every text; labels and the best score."""
+    words = [WORD.findall((t or "").translate(FOLD)) for t in texts]
+    idf = {w: math.log((len(words) + 1) / (sum(w in set(x) for x in words) + 1)) + 1 for _, t, _ in TEMPLATES for w in WORD.findall(t.translate(FOLD))}
+    out = []
+    for own in words:
+        labels, best = set(), 0.0
+        for label, t, mandatory in TEMPLATES:
+            want = WORD.findall(t.translate(FOLD))
+            phrases = [p.split() for p in mandatory]
+            where = [next(i for i in range(len(want)) if want[i : i + len(p)] == p) for p in phrases]
+            stand = [[i for i in range(len(own)) if own[i : i + len(p)] == p] for p in phrases]
+            if not all(stand):
+                continue
+            total = math.fsum(idf[w] for w in want)
+            at = {}
+            for i, w in enumerate(own):
+                at.setdefault(w, set()).add(i)
+            for s in range(-len(want) + 1, len(own)):
+                if not all(any(abs(i - s - x) <= SLACK for i in found) for found, x in zip(stand, where)):
+                    continue
+                placed = math.fsum(idf[w] for j, w in enumerate(want) if s + j in at.get(w, ()))
+                moved = math.fsum(idf[w] for j, w in enumerate(want) if any(s + j + d in at.get(w, ()) for d in range(-SLACK, SLACK + 1)))
+                if (score := (placed + moved) / (2 * total)) >= LEAST:
+                    labels, best = labels | {label}, max(best, min(score, 1.0))
+        out.append((labels | set(filter(None, brute(" ".join(own))[4].split(","))), best))
+    return out
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(7)
+    for size in (1, 12, 40):
+        texts = []
+        for _ in range(size):
+            parts = []
+            for _, t, _ in rng.sample(TEMPLATES, rng.randint(0, 3)):
+                w = t.split()[:120]
+                for _ in range(rng.choice([0, 0, 1, 3, len(w) // 5])):
+                    k = rng.randrange(len(w))
+                    w[k : k + 1] = rng.choice([[], ["other"], [w[k], "more"]])
+                    w = w or ["x"]
+                parts += rng.choices(["some", "prose", "the", "license", "of", "mit"], k=rng.randint(0, 9)) + w
+            texts.append(" ".join(parts))
+        texts += [None, "", TEMPLATES[8][1]]
+        got = sorted(scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+        want = brute_labels(texts)
+        assert [r.labels for r in got] == [",".join(sorted(x)) for x, _ in want]
+        assert np.allclose([r.score for r in got], [x for _, x in want], atol=1e-9)
