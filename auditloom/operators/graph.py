@@ -14,6 +14,8 @@ from auditloom.operators.effects import effects_of
 from auditloom.schemas import STREAMING
 
 KEY, AT = "session_key", "record_index"
+#: Places of a stretch of a session.
+SPAN = 65_536
 _USAGE = ("input_tokens", "output_tokens", "cache_read_tokens", "reasoning_tokens")
 
 
@@ -21,6 +23,21 @@ def _upto(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def running_sum(rows: DataFrame, name: str, value: Column, stretch: Column, *order: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over their session's rows up to them, in order.
+
+    ``stretch`` never falls along the order. Sums run within a session's stretches, and what each adds up to is carried
+    on by a table with a row for each stretch: a session with a large part of all rows is many tasks.
+    """
+    cut = rows.withColumns({"_stretch": F.coalesce(stretch.cast("long"), F.lit(-(1 << 62))), "_value": value})
+    sums = cut.groupBy(F.col(KEY).alias("_of"), F.col("_stretch").alias("_at")).agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("_of", "_at", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    own = F.sum("_value").over(Window.partitionBy(KEY, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = cut.withColumn("_own", own).join(carried, F.col(KEY).eqNullSafe(F.col("_of")) & (F.col("_stretch") == F.col("_at")))
+    return joined.withColumn(name, F.col("_own") + F.col("_carried")).drop("_stretch", "_value", "_of", "_at", "_carried", "_own")
+
+
 def valid(records: DataFrame) -> DataFrame:
     """Objects with a type."""
     return records.filter("valid")
@@ -200,7 +217,7 @@ def user_messages(records: DataFrame) -> DataFrame:
     """User messages; their turn is the number of turns known before them."""
     first = _turn_events(records).groupBy(KEY, "turn").agg(F.min(AT).alias(AT)).select(KEY, AT, F.lit(1).alias("new"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("time"))
     said = of_type(records, "user/message").select(KEY, AT, F.lit(0).alias("new"), F.coalesce("text", F.lit("")).alias("text"), "time")
-    counted = said.unionByName(first).withColumn("turn", F.sum("new").over(_upto(KEY)))
+    counted = running_sum(said.unionByName(first), "turn", F.col("new"), F.floor(F.col(AT) / SPAN), AT)
     return counted.filter("new = 0").select(KEY, AT, "turn", "text", "time")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators import graph
@@ -16,6 +18,8 @@ FIELDS = (
     "summary", "detail", "files_read", "files_written", "network", "actor", "source_type", "source_seq",
 )
 SOURCE_TYPE = "auditloom"
+#: Milliseconds of a stretch in which a session's records are numbered together.
+STRETCH = 3_600_000
 _UNDECIDABLE = "effect surface is not reconstructible from the log; the command verbatim plus the effect fidelity live in the sidecar"
 
 
@@ -48,8 +52,19 @@ def summary_line(kind: Column, path: Column, source: Column, tool: Column) -> Co
     )
 
 
-def payloads(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:
-    """One row for each audit record, with record_id from 1 in the session's order of ts, rank and place."""
+def payloads(records: DataFrame, source_type: str = SOURCE_TYPE, written: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row for each audit record, with record_id from 1 in the session's order of ts, rank and place.
+
+    Numbering looks at the records twice, as it counts them first. ``written``, if given, puts them into a table in between
+    and gives it back, so they are made once.
+    """
+    every = unnumbered(records, source_type)
+    every, one = written(every) if written else every, F.lit(1).cast("long")
+    return graph.running_sum(every, "record_id", one, F.floor(F.col("ts") / STRETCH), "ts", "rank", "o1", "o2").select(KEY, "record_id", "rank", *FIELDS)
+
+
+def unnumbered(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:
+    """The audit records without their numbers; rank, o1 and o2 order those of one ts."""
     heads = graph.sessions(graph.of_type(records, "session")).select(F.col(KEY).alias("_key"), F.coalesce("session_id", F.lit("unknown-session")).alias("_session"), F.col("created_at").alias("_created"), F.col("agent_preset").alias("_preset"), F.col("cwd").alias("_cwd"))
     no_list, no_text, no_number = F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("long")
 
@@ -91,6 +106,4 @@ def payloads(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:
         loud, 3, [F.coalesce("seq", "time", F.lit(0)), F.col("order_index")], ts=F.coalesce("time", F.lit(0).cast("long")), kind=F.lit("session_live"), turn=turn, step=F.col("step"), status=F.col("kind"),
         severity=F.when(F.col("kind") == "approval-denied", "medium").otherwise("high"), flags=F.array("kind"), summary=F.col("detail"), detail=F.col("data"), actor=F.lit("governance"), source_seq=F.col("seq"),
     )
-    every = turns.unionByName(tools).unionByName(governance)
-    order = Window.partitionBy(KEY).orderBy("ts", "rank", "o1", "o2")
-    return every.withColumn("record_id", F.row_number().over(order).cast("long")).select(KEY, "record_id", "rank", *FIELDS)
+    return turns.unionByName(tools).unionByName(governance)

@@ -58,7 +58,11 @@ def _written(rows: DataFrame, label: str) -> DataFrame:
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit records look at a session's records in a dozen ways: these are written once and read again, as from a log."""
-    return payloads.payloads(_written(_records(spark, sf_dir), "records"))
+    return payloads.payloads(_written(_records(spark, sf_dir), "records"), written=lambda rows: _written(rows, "audit"))
+
+
+def _unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.unnumbered(_written(_records(spark, sf_dir), "records"))
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,17 +205,17 @@ def risk_by_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.severity_histogram(_payloads(spark, sf_dir))
+    return risk.severity_histogram(_unnumbered(spark, sf_dir))
 
 
 @query
 def flagged_min_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.at_least(_payloads(spark, sf_dir), "high").select(KEY, "ts", "kind", "severity", "summary")
+    return risk.at_least(_unnumbered(spark, sf_dir), "high").select(KEY, "ts", "kind", "severity", "summary")
 
 
 @query
 def flagged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.payloads(_records(spark, sf_dir)).filter("kind = 'tool_call' and severity in ('high', 'critical')").select(KEY, F.col("source_seq").alias(AT), "severity", _flags(), "summary")
+    return payloads.unnumbered(_records(spark, sf_dir)).filter("kind = 'tool_call' and severity in ('high', 'critical')").select(KEY, F.col("source_seq").alias(AT), "severity", _flags(), "summary")
 
 
 @query

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditloom.ledger import Ledger
 from auditloom.operators import graph
@@ -190,3 +191,14 @@ def test_narrowing_never_converts():
     assert narrow({"type": 5}) == {"valid": False} and narrow([1]) == {"valid": False}
     r = narrow({"type": "turn/start", "seq": "5", "seq0": 6, "time": True, "time0": 7.0, "data": {"turn": "1"}})
     assert (r["seq"], r["time"], r["turn"]) == (6, 7, None)
+
+
+def test_sums_over_stretches_equal_those_over_sessions(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, -7, 0, rng.randint(-50, 400)]), i, rng.randint(0, 3)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "session_key string, ts long, o long, v long")
+    got = graph.running_sum(frame, "n", F.col("v"), F.floor(F.col("ts") / 10), "ts", "o").collect()
+    want, sums = {}, {}
+    for k, ts, o, v in sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        want[o] = sums[k] = sums.get(k, 0) + v
+    assert {r.o: r.n for r in got} == want and len(got) == 500 and got[0].asDict().keys() == {"session_key", "ts", "o", "v", "n"}
