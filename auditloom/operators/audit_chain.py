@@ -2,7 +2,9 @@
 
 Writing is a fold by nature: a line's hash needs the one before. A session's lines are streamed in order
 through one task, with the last hash carried. Checking isn't: each line's hash is recomputed
-from the hash that the line before claims, so all lines are checked side by side.
+from the hash that the line before claims, so all lines are checked side by side. Lines that
+stand one after the other in a file are checked where they are read; only the first and last lines of such
+runs are matched over tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from auditloom.operators.payloads import FIELDS, KEY
 from auditloom.schemas import CANONICAL_PREFIX, COMPLIANCE_SCHEMA, SEVERITIES, SEVERITY_RANK, TRIMMED
 
 
-#: Lines of a stretch that is checked as one group.
+#: Lines of a stretch in which runs are matched as one group.
 SPAN = 1 << 16
 #: The name of the verifier here, beside a verdict.
 VERIFIER = "auditloom"
@@ -67,17 +69,19 @@ def header(count: int, hash_chain: bool = True, at: int | None = None, schema: s
     return dump({"schema": schema, "generatedAt": int(time.time() * 1000) if at is None else at, "count": count, "hashChain": hash_chain})
 
 
-def _chained(batches: Iterator[pa.RecordBatch], hash_chain: bool) -> Iterator[pa.RecordBatch]:
-    session, prev = None, ""
+def _chained(batches: Iterator[pa.RecordBatch], hash_chain: bool, numbered: bool) -> Iterator[pa.RecordBatch]:
+    session, prev, place = None, "", 0
     for batch in batches:
         out: dict[str, list] = {"session_key": [], "record_id": [], "prev_hash": [], "hash_self": [], "line": []}
         for row in batch.to_pylist():
             if row[KEY] != session:
-                session, prev = row[KEY], ""
-            signed = {"recordId": row["record_id"], "prevHash": prev or None, "payload": as_payload(row)}
+                session, prev, place = row[KEY], "", 0
+            place += 1
+            number = row["record_id"] if numbered else place
+            signed = {"recordId": number, "prevHash": prev or None, "payload": as_payload(row)}
             own = document_hash(prev, signed)
             out["session_key"].append(session)
-            out["record_id"].append(row["record_id"])
+            out["record_id"].append(number)
             out["prev_hash"].append(prev or None)
             out["hash_self"].append(own if hash_chain else None)
             out["line"].append(dump(signed | {"hashSelf": own} if hash_chain else signed))
@@ -85,10 +89,16 @@ def _chained(batches: Iterator[pa.RecordBatch], hash_chain: bool) -> Iterator[pa
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "record_id" else pa.string()) for k, v in out.items()})
 
 
-def chain(payloads: DataFrame, hash_chain: bool = True) -> DataFrame:
-    """session_key, record_id, prev_hash, hash_self and the document's line of each record."""
-    ordered = payloads.repartition(KEY).sortWithinPartitions(KEY, "record_id")
-    return ordered.mapInArrow(lambda it: _chained(it, hash_chain), "session_key string, record_id long, prev_hash string, hash_self string, line string")
+def _in_order(payloads: DataFrame, order: tuple[str, ...] | None) -> DataFrame:
+    return payloads.repartition(KEY).sortWithinPartitions(KEY, *(order or ("record_id",)))
+
+
+def chain(payloads: DataFrame, hash_chain: bool = True, order: tuple[str, ...] | None = None) -> DataFrame:
+    """session_key, record_id, prev_hash, hash_self and the document's line of each record.
+
+    Records without a number are given theirs here, from 1 in a session's ``order``: the fold passes them in order anyway.
+    """
+    return _in_order(payloads, order).mapInArrow(lambda it: _chained(it, hash_chain, order is None), "session_key string, record_id long, prev_hash string, hash_self string, line string")
 
 
 def document(payloads: DataFrame, hash_chain: bool = True, at: int | None = None) -> Iterator[str]:
@@ -116,48 +126,105 @@ def _claims(text: str) -> dict[str, Any]:
     return row
 
 
+_READ = pa.schema([
+    ("doc", pa.string()), ("line_no", pa.int64()), ("records", pa.int64()), ("rank", pa.int32()), ("record_id", pa.string()), ("hash_self", pa.string()), ("body", pa.binary()), ("last", pa.string()),
+    ("issue", pa.string()), ("chained", pa.bool_()),
+])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [("json", pa.bool_()), ("record_id", pa.string()), ("complete", pa.bool_()), ("hash_self", pa.string()), ("body", pa.string()), ("rank", pa.int32())]
+    """Runs of lines that come one after the other, each as a row, and a row for each issue inside them."""
+    run: dict[str, Any] | None = None
+    at = None
     for batch in batches:
-        rows = [_claims(text) for text in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r.get(n) for r in rows], t) for n, t in names)], names=["doc", "line_no", *(n for n, _ in names)])
+        rows: list[dict[str, Any]] = []
+        for doc, line_no, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if run is None or (doc, line_no) != at:
+                rows += [run] if run else []
+                # Nothing stands above a document's first record; above other runs, something may.
+                run = {"doc": doc, "line_no": line_no, "records": 0, "rank": 0, "last": "" if line_no <= 2 else None}
+            at = (doc, line_no + 1)
+            line = _claims(text)
+            if not line["json"]:
+                rows.append({"doc": doc, "line_no": line_no, "issue": f"line {line_no}: not JSON", "chained": False})
+                continue
+            run["records"] += 1
+            if not line["complete"]:
+                rows.append({"doc": doc, "line_no": line_no, "issue": f"record {line['record_id']} missing recordId/payload", "chained": False})
+                continue
+            if run["last"] is None:
+                run |= {"line_no": line_no, "record_id": line["record_id"], "hash_self": line["hash_self"], "body": line["body"].encode("utf-8", "surrogatepass")}
+            elif line["hash_self"] is None:
+                rows.append({"doc": doc, "line_no": line_no, "issue": f"record {line['record_id']} missing hashSelf", "chained": True})
+            elif sha256(f"{run['last']}\n{line['body']}\n") != line["hash_self"]:
+                rows.append({"doc": doc, "line_no": line_no, "issue": f"record {line['record_id']} hash mismatch", "chained": True})
+            run["last"], run["rank"] = line["hash_self"] or "", max(run["rank"], line["rank"])
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _READ)
+    if run:
+        yield pa.RecordBatch.from_pylist([run], _READ)
 
 
 def check_lines(lines: DataFrame) -> DataFrame:
-    """What the records of documents (doc, line_no from 2, line) claim, one row for each line."""
-    return lines.select("doc", F.col("line_no").cast("long"), "line").mapInArrow(_read, "doc string, line_no long, json boolean, record_id string, complete boolean, hash_self string, body string, rank int")
+    """What the records of documents (doc, line_no from 2, line) claim: a row for each run of lines, and for each issue in it.
+
+    A run is of lines that a task reads one after the other. It has how many records it holds, their highest rank, the
+    hash that its ``last`` record claims, and its first record, which can't be checked without the run above.
+    Lines in no order are runs of one line.
+    """
+    types = "doc string, line_no long, records long, rank int, record_id string, hash_self string, body binary, last string, issue string, chained boolean"
+    return lines.select("doc", F.col("line_no").cast("long"), "line").mapInArrow(_read, types)
 
 
-def _with_previous(whole: DataFrame) -> DataFrame:
-    """Complete lines with the hash that the complete line above claims.
+def _with_previous(runs: DataFrame) -> DataFrame:
+    """Runs with the hash that the last record of the run above claims.
 
     Windows reach over SPAN lines only; the last hash of each such stretch goes to the next one by a
     table with a row for each stretch, so a long document is many tasks.
     """
-    cut = whole.withColumn("stretch", F.floor(F.col("line_no") / SPAN)).withColumn("claimed", F.coalesce("hash_self", F.lit("")))
-    ends = cut.groupBy("doc", "stretch").agg(F.max_by("claimed", "line_no").alias("last"))
-    carried = ends.select("doc", "stretch", F.lag("last").over(Window.partitionBy("doc").orderBy("stretch")).alias("carried"))
-    above = F.lag("claimed").over(Window.partitionBy("doc", "stretch").orderBy("line_no"))
+    cut = runs.withColumn("stretch", F.floor(F.col("line_no") / SPAN))
+    ends = cut.groupBy("doc", "stretch").agg(F.max_by("last", "line_no").alias("end"))
+    carried = ends.select("doc", "stretch", F.lag("end").over(Window.partitionBy("doc").orderBy("stretch")).alias("carried"))
+    above = F.lag("last").over(Window.partitionBy("doc", "stretch").orderBy("line_no"))
     return cut.withColumn("above", above).join(carried, ["doc", "stretch"]).withColumn("prev", F.coalesce("above", "carried", F.lit("")))
 
 
 def issues(read: DataFrame, hash_chain: bool = True) -> DataFrame:
     """doc, line_no, issue of lines as check_lines reads them."""
+    told = read.filter("issue is not null" if hash_chain else "issue is not null and not chained").select("doc", "line_no", "issue")
+    if not hash_chain:
+        return told
     name = F.concat(F.lit("record "), F.col("record_id"))
-    expected = F.sha2(F.encode(F.concat("prev", F.lit("\n"), "body", F.lit("\n")), "UTF-8"), 256)
+    expected = F.sha2(F.concat(F.encode(F.concat("prev", F.lit("\n")), "UTF-8"), F.col("body"), F.encode(F.lit("\n"), "UTF-8")), 256)
     wrong = F.when(F.col("hash_self").isNull(), F.concat(name, F.lit(" missing hashSelf"))).when(expected != F.col("hash_self"), F.concat(name, F.lit(" hash mismatch")))
-    unread = F.when(~F.col("json"), F.concat(F.lit("line "), "line_no", F.lit(": not JSON"))).otherwise(F.concat(name, F.lit(" missing recordId/payload")))
-    broken = read.filter("not json or not complete").select("doc", "line_no", unread.alias("issue"))
-    if not hash_chain:
-        return broken
-    return _with_previous(read.filter("complete")).select("doc", "line_no", wrong.alias("issue")).filter("issue is not null").unionByName(broken)
+    # A run that begins a document without a complete line has nothing to carry on.
+    firsts = _with_previous(read.filter("last is not null and (line_no > 2 or last <> '')")).filter("body is not null")
+    return firsts.select("doc", "line_no", wrong.alias("issue")).filter("issue is not null").unionByName(told)
+
+
+def _documents(batches: Iterator[pa.RecordBatch], numbered: bool, at: int) -> Iterator[pa.RecordBatch]:
+    """Chained lines, and the header of each document behind its last one, when they are counted."""
+    doc, count = None, 0
+    for batch in _chained(batches, True, numbered):
+        out: list[tuple[str | None, int, str]] = []
+        for key, number, line in zip(*(batch.column(n).to_pylist() for n in ("session_key", "record_id", "line")), strict=True):
+            if key != doc and count:
+                out.append((doc, 1, header(count, at=at)))
+                count = 0
+            doc, count = key, count + 1
+            out.append((key, number + 1, line))
+        yield _lines(out)
+    if count:
+        yield _lines([(doc, 1, header(count, at=at))])
+
+
+def _lines(rows: list[tuple[str | None, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["doc", "line_no", "line"])
 
 
-def documents(payloads: DataFrame, at: int) -> DataFrame:
-    """Whole documents of all sessions, header lines too: doc, line_no from 1, line."""
-    fields = [F.lit(COMPLIANCE_SCHEMA).alias("schema"), F.lit(at).alias("generatedAt"), F.count(F.lit(1)).alias("count"), F.lit(True).alias("hashChain")]
-    heads = payloads.groupBy(F.col(KEY).alias("doc")).agg(*fields).select("doc", F.lit(1).cast("long").alias("line_no"), F.to_json(F.struct("schema", "generatedAt", "count", "hashChain")).alias("line"))
-    return heads.unionByName(chain(payloads).select(F.col(KEY).alias("doc"), (F.col("record_id") + 1).alias("line_no"), "line"))
+def documents(payloads: DataFrame, at: int, order: tuple[str, ...] | None = None) -> DataFrame:
+    """Whole documents of all sessions, header lines too: doc, line_no from 1, line. ``order`` as for ``chain``."""
+    return _in_order(payloads, order).mapInArrow(lambda it: _documents(it, order is None, at), "doc string, line_no long, line string")
 
 
 def _headers(lines: DataFrame, schema: str) -> DataFrame:
@@ -173,11 +240,11 @@ def verify_documents(lines: DataFrame, schema: str = COMPLIANCE_SCHEMA, n: int =
     """Per document (doc, line_no from 1, line): records, issues, the first ``n`` of them, max_severity.
 
     The header's schema and count are checked, and whether it says that lines are chained. A document without a
-    header line has that as an issue. Parsed lines are kept in memory or on disk by Spark until it needs the room.
+    header line has that as an issue. What was read of the lines, a row for each run and issue, is kept on disk by Spark.
     """
     read = check_lines(lines.filter("line_no > 1")).persist(StorageLevel.DISK_ONLY)
     heads = _headers(lines, schema)
-    top = read.groupBy("doc").agg(F.count_if("json").alias("records"), F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
+    top = read.groupBy("doc").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.max("rank"), F.lit(0)).alias("rank"))
     every = heads.join(top, "doc", "full").select("doc", "claimed", F.coalesce("hashed", F.lit(False)).alias("hashed"), F.when(F.col("hashed").isNull(), "empty document").otherwise(F.col("issue")).alias("issue"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("rank", F.lit(0)).alias("rank"))
     count_issue = F.when(F.col("claimed") != F.col("records"), F.concat(F.lit("header count "), F.format_string("%.0f", "claimed"), F.lit(" does not match "), "records", F.lit(" record(s)")))
     of_heads = every.select("doc", F.lit(1).cast("long").alias("line_no"), "issue").unionByName(every.select("doc", F.lit(1 << 62).alias("line_no"), count_issue.alias("issue"))).filter("issue is not null")

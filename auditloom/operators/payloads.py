@@ -18,6 +18,8 @@ FIELDS = (
     "summary", "detail", "files_read", "files_written", "network", "actor", "source_type", "source_seq",
 )
 SOURCE_TYPE = "auditloom"
+#: What orders a session's unnumbered records.
+ORDER = ("ts", "rank", "o1", "o2")
 #: Milliseconds of a stretch in which a session's records are numbered together.
 STRETCH = 3_600_000
 _UNDECIDABLE = "effect surface is not reconstructible from the log; the command verbatim plus the effect fidelity live in the sidecar"
@@ -60,7 +62,7 @@ def payloads(records: DataFrame, source_type: str = SOURCE_TYPE, written: Callab
     """
     every = unnumbered(records, source_type)
     every, one = written(every) if written else every, F.lit(1).cast("long")
-    return graph.running_sum(every, "record_id", one, F.floor(F.col("ts") / STRETCH), "ts", "rank", "o1", "o2").select(KEY, "record_id", "rank", *FIELDS)
+    return graph.running_sum(every, "record_id", one, F.floor(F.col("ts") / STRETCH), *ORDER).select(KEY, "record_id", "rank", *FIELDS)
 
 
 def unnumbered(records: DataFrame, source_type: str = SOURCE_TYPE) -> DataFrame:

@@ -52,7 +52,7 @@ def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(rows: DataFrame, label: str) -> DataFrame:
     """The rows out of a table of their own, for what looks at them in several ways."""
     folder = shared_folder(rows.sparkSession, label)
-    rows.write.parquet(folder)
+    rows.write.option("compression", "zstd").parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
@@ -286,10 +286,9 @@ def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chained documents of all sessions, checked again: no issue, and the highest severity of each."""
     # Documents are files: they are written and read again, as a verifier would.
     folder = shared_folder(spark, "documents")
-    rows = _payloads(spark, sf_dir)
-    rows.write.mode("overwrite").parquet(f"{folder}/records")
-    audit_chain.documents(spark.read.schema(rows.schema).parquet(f"{folder}/records"), at=0).write.mode("overwrite").parquet(f"{folder}/lines")
-    found = audit_chain.verify_documents(spark.read.parquet(f"{folder}/lines"))
+    lines = audit_chain.documents(_unnumbered(spark, sf_dir), at=0, order=payloads.ORDER)
+    lines.write.option("compression", "zstd").parquet(folder)
+    found = audit_chain.verify_documents(spark.read.schema(lines.schema).parquet(folder))
     return found.select("doc", "records", "issues", F.size("first_issues").alias("listed"), "max_severity")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom import read_ledger
 from auditloom.cli import main, parser
 from auditloom.functions.deletes import command_targets, delete_verdict
-from auditloom.operators import audit_chain
+from auditloom.operators import audit_chain, payloads
 from auditloom.operators.risk import assess, outside_workspace, sensitive_flag
 from auditloom.report import facts, pack
 from auditloom.testing import log, session_records
@@ -229,3 +229,27 @@ def test_whole_documents_side_by_side(spark, document):
             continue
         assert (got[name].issues, got[name].records, got[name].max_severity) == (len(want["issues"]), want["records"], want["maxSeverity"]), name
         assert sorted(got[name].first_issues) == sorted(want["issues"]) if got[name].issues <= 10 else len(got[name].first_issues) == 10
+
+
+def test_lines_of_a_file_are_checked_where_they_are_read(spark, document):
+    """A document in order is a run for each task, however long; cuts and damage at the ends of runs change no verdict."""
+    whole = document.splitlines()
+    cut = spark.createDataFrame([("d", n, x) for n, x in enumerate(whole, 1)], "doc string, line_no long, line string").filter("line_no > 1")
+    assert audit_chain.check_lines(cut.coalesce(1)).count() == 1
+    middle = len(whole) // 2
+    damage = [whole[:middle] + [damaged] + whole[middle + 1 :] for damaged in ("{}", "[", whole[middle].replace('"hashSelf":"', '"hashSelf":"0'), whole[middle - 1])]
+    for text in (whole, *damage):
+        rows = [("d", n, x) for n, x in enumerate(text, 1) if n > 1]
+        want = sorted(i for i in audit_chain.verify_text("\n".join(text))["issues"] if not i.startswith("header count"))
+        for at in (middle - 2, middle - 1, middle):
+            # One task reads two runs, as another document stands between them.
+            lines = spark.createDataFrame([*rows[:at], ("e", 2, whole[1]), *rows[at:]], "doc string, line_no long, line string").coalesce(1)
+            assert sorted(r.issue for r in audit_chain.issues(audit_chain.check_lines(lines)).collect()) == want
+
+
+def test_the_fold_numbers_records_as_payloads_are_numbered(spark, path):
+    rows = read_ledger(spark, path).records
+    numbered = audit_chain.documents(payloads.payloads(rows), at=0)
+    folded = audit_chain.documents(payloads.unnumbered(rows), at=0, order=payloads.ORDER)
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, numbered.collect()))
+    assert folded.filter("line_no = 1").count() == 1
