@@ -131,9 +131,10 @@ def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(narrow(parse(line)))
             except ValueError:
                 rows.append({"valid": None})
-        columns = list(batch.columns[:4])
+        columns, known = list(batch.columns[:4]), set().union(*rows)
         for name in _FIELDS:
-            columns.append(pa.array([r.get(name) for r in rows], schema.field(name).type))
+            kind = schema.field(name).type
+            columns.append(pa.array([r.get(name) for r in rows], kind) if name in known else pa.nulls(len(rows), kind))
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 

@@ -15,6 +15,10 @@ from auditloom.sources.store import store_of
 
 #: Lines of a frame.
 LINES = 16
+_ARGUMENTS = json.JSONEncoder(ensure_ascii=False).encode
+_LINE = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+#: What ``as_line`` writes of a record, and what orders it.
+WRITTEN = ("session_key", "record_index", "type", "seq", "time", "turn", "step", "session_id", "created_at", "cwd", "agent_preset", "call_id", "name", "args", "is_error", "text")
 
 
 def as_line(row: dict[str, Any]) -> dict[str, Any] | None:
@@ -23,7 +27,7 @@ def as_line(row: dict[str, Any]) -> dict[str, Any] | None:
     if kind == "session":
         return {"type": kind, "version": 1, "id": row["session_id"], "createdAt": row["created_at"], "cwd": row["cwd"], "agentPreset": row["agent_preset"]}
     if kind == "tool/call":
-        return head | {"data": {"turn": row["turn"], "step": row["step"], "callId": row["call_id"], "name": row["name"], "arguments": json.dumps(dict(row["args"]), ensure_ascii=False)}}
+        return head | {"data": {"turn": row["turn"], "step": row["step"], "callId": row["call_id"], "name": row["name"], "arguments": _ARGUMENTS(dict(row["args"]))}}
     if kind == "tool/result":
         return head | {"data": {"message": {"source": {"callId": row["call_id"]}, "content": [{"isError": row["is_error"], "content": [{"type": "text", "text": row["text"]}]}]}}}
     return None
@@ -50,7 +54,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 out = store.open_output_stream(inside)
             line = as_line(row)
             if line is not None:
-                held.append(json.dumps(line, ensure_ascii=False, separators=(",", ":")))
+                held.append(_LINE(line))
                 counts[session] = counts.get(session, 0) + 1
             if len(held) == LINES:
                 flush()
@@ -62,6 +66,6 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 def write_logs(records: DataFrame, folder: str) -> int:
     """Write each session's log below ``folder``; the number of lines. A task that runs again writes the same files."""
-    own = records.filter("type in ('session', 'tool/call', 'tool/result')").repartition("session_key").sortWithinPartitions("session_key", "record_index")
+    own = records.filter("type in ('session', 'tool/call', 'tool/result')").select(*WRITTEN).repartition("session_key").sortWithinPartitions("session_key", "record_index")
     done = own.mapInArrow(lambda it: _write(it, folder), "session_key string, lines bigint")
     return done.groupBy().sum("lines").first()[0] or 0

@@ -30,7 +30,7 @@ from auditloom.sources.tail import CHUNK_BYTES, MOST_FRAME_BYTES, READ_AHEAD, Ta
 LOG_NAME = "session.jsonl.zstd"
 _BATCH = 4096
 #: Bytes of small logs in a task, tasks to make at least, bytes that opening a log is worth, logs walked at a time.
-PACK_BYTES, TASKS, OPEN_COST, WALKERS = 64 << 20, 200, 1 << 20, 16
+PACK_BYTES, TASKS, OPEN_COST, WALKERS = 64 << 20, 200, 1 << 16, 16
 
 
 class LogPart:
@@ -97,22 +97,26 @@ def read_part(part: LogPart, options: Options) -> Iterator[dict[str, Any]]:
             yield from tail.feed(data)
 
 
-def _batches(path: str, rows: Iterator[dict[str, Any]], dense: bool) -> Iterator[pa.RecordBatch]:
+def _batches(parts: Iterable[LogPart], options: Options, dense: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's logs; a batch reaches over many small ones."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(LINES)
     held: list[dict[str, Any]] = []
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(held) if f.name == "path" else [r.get(f.name) for r in held], f.type) for f in schema], schema=schema)
-
-    for row in rows:
-        if not dense and row.get("record_index") is not None:
-            row["record_index"] = (row["frame_index"] << 24) + row["line_no"]
-        held.append(row)
-        if len(held) == _BATCH:
-            yield batch()
-            held = []
+        known = set().union(*held)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in held], f.type) if f.name in known else pa.nulls(len(held), f.type) for f in schema], schema=schema)
+
+    for part in parts:
+        for row in read_part(part, options):
+            row["path"] = part.path
+            if not dense and row.get("record_index") is not None:
+                row["record_index"] = (row["frame_index"] << 24) + row["line_no"]
+            held.append(row)
+            if len(held) == _BATCH:
+                yield batch()
+                held = []
     if held:
         yield batch()
 
@@ -126,8 +130,7 @@ class LogReader(DataSourceReader):
         return packed(logs, self.options.pack, self.options.tasks)
 
     def read(self, partition: LogParts | None) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts if partition else ():
-            yield from _batches(part.path, read_part(part, self.options), dense=True)
+        return _batches(partition.parts if partition else (), self.options, dense=True)
 
 
 def complete_until(path: str, start: int, frame: int, options: Options) -> tuple[int, int]:
@@ -197,8 +200,7 @@ class LogStreamReader(DataSourceStreamReader):
         return packed([(LogPart(path, begin, frame, stop), stop - begin) for path, begin, frame, stop in spans if stop > begin], self.options.pack, self.options.tasks)
 
     def read(self, partition: LogParts | None) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts if partition else ():
-            yield from _batches(part.path, read_part(part, self.options), dense=False)
+        return _batches(partition.parts if partition else (), self.options, dense=False)
 
     def commit(self, end: dict) -> None:
         return None

@@ -37,6 +37,15 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(names) == cols and got == want
 
 
+@needs_data
+def test_a_round_trip_reads_its_logs_once(spark):
+    """What counts the calls looks at their records twice; it reads a table, not the logs."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["log_round_trip"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "parquet" in plan
+
+
 def test_every_query_with_sql_is_a_query():
     import __spark_entry__
 

@@ -5,7 +5,7 @@ import pytest
 
 from auditloom import read_ledger, read_lines, records_of, tail
 from auditloom.sources.discover import find_session_logs, resolve_log
-from auditloom.sources.sessionlog import LogPart, Options, complete_until, packed
+from auditloom.sources.sessionlog import LogPart, Options, _batches, complete_until, packed
 from auditloom.streaming.pairing import calls_by_window, pair_stream
 from auditloom.streaming.sinks import once_per_line, to_parquet
 from auditloom.testing import frame, log, session_records
@@ -125,6 +125,15 @@ def test_small_logs_share_tasks(spark, tmp_path):
     assert lines.rdd.getNumPartitions() == 3 and lines.groupBy("path").count().count() == 12
 
 
+def test_many_small_logs_are_few_tasks_and_batches(tmp_path):
+    """The tasks of 100,000 small logs are those that were asked for, and a batch reaches over its task's logs."""
+    assert 200 <= len(packed([(LogPart(str(i)), 4096) for i in range(100_000)], 64 << 20, 200)) <= 210
+    paths = [write(tmp_path / str(i) / "session.jsonl.zstd", log(session_records(2, 1))) for i in range(5)]
+    (batch,) = _batches([LogPart(p) for p in paths], Options({}), dense=True)
+    each = [b for p in paths for b in _batches([LogPart(p)], Options({}), dense=True)]
+    assert batch.to_pylist() == [row for b in each for row in b.to_pylist()] and {r["path"] for r in batch.to_pylist()} == set(paths)
+
+
 def test_offsets_of_logs_longer_than_what_is_read_at_once(tmp_path):
     data = log(session_records(30, 4)) + b"?" * 9 + frame(text='{"type":"a"}\n{"half')
     path = write(tmp_path / "session.jsonl.zstd", data)
