@@ -90,7 +90,9 @@ def _chained(batches: Iterator[pa.RecordBatch], hash_chain: bool, numbered: bool
 
 
 def _in_order(payloads: DataFrame, order: tuple[str, ...] | None) -> DataFrame:
-    return payloads.repartition(KEY).sortWithinPartitions(KEY, *(order or ("record_id",)))
+    # By a hash of the key: above a union of parts that joins have dealt out by the key, Spark leaves out a shuffle by the key
+    # itself, and sessions were then seen in several tasks (each part's small partitions seem to be merged by themselves).
+    return payloads.repartition(F.xxhash64(KEY)).sortWithinPartitions(KEY, *(order or ("record_id",)))
 
 
 def chain(payloads: DataFrame, hash_chain: bool = True, order: tuple[str, ...] | None = None) -> DataFrame:

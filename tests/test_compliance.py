@@ -247,6 +247,14 @@ def test_lines_of_a_file_are_checked_where_they_are_read(spark, document):
             assert sorted(r.issue for r in audit_chain.issues(audit_chain.check_lines(lines)).collect()) == want
 
 
+def test_a_session_is_one_task_whatever_dealt_out_its_records(spark, path):
+    """The fold has a shuffle of its own above a union of parts that are dealt out by session already."""
+    rows = payloads.unnumbered(read_ledger(spark, path).records)
+    dealt = rows.repartition(4, "session_key").unionByName(rows.repartition(4, "session_key"))
+    plan = audit_chain.documents(dealt, at=0, order=payloads.ORDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("Union")
+
+
 def test_the_fold_numbers_records_as_payloads_are_numbered(spark, path):
     rows = read_ledger(spark, path).records
     numbered = audit_chain.documents(payloads.payloads(rows), at=0)
